@@ -1,0 +1,4 @@
+"""Queries of the structural operators, with the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
