@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op4_quality_rules": quality_rules.query,
 }
 
 ORACLES = {
+    "op1_warc": warc.SQL,
     "op4_quality_rules": quality_rules.SQL,
 }
