@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules, warc
+from . import bpe, quality_rules, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op4_quality_rules": quality_rules.query,
+    "op8_byte_bpe": bpe.query,
+    "op10_token_files": token_files.query,
 }
 
 ORACLES = {
