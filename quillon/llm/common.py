@@ -1,106 +1,12 @@
-"""Session and storage helpers shared by the operators of this subpackage.
-
-Anything that must outlive a stage goes to the folder the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
-folder of our own made and set.
-"""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_RECORDS = 2048
-MAX_BATCH_BYTES = 8 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to Python workers small in rows and in bytes, as texts may be long."""
-    for key, most in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", MAX_RECORDS),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", MAX_BATCH_BYTES),
-    ):
-        now = spark.conf.get(key, None)
-        number = int(now) if now and now.lstrip("-").isdigit() else 0
-        if number <= 0 or number > most:
-            spark.conf.set(key, str(most))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there and lost executors cost no rework."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def local_path(uri: str) -> str | None:
-    """The mounted path behind a ``file:`` URI or a bare path; None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return None if "://" in uri else uri
-
-
-def put_bytes(uri: str, chunks) -> int:
-    """Write an object whole or not at all; returns its length. Runs on executors."""
-    path = local_path(uri)
-    size = 0
-    if path is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        partial = f"{path}.{uuid.uuid4().hex}.part"
-        with open(partial, "wb") as sink:
-            for chunk in chunks:
-                size += sink.write(chunk)
-        os.replace(partial, path)
-        return size
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(inner), recursive=True)
-    with store.open_output_stream(inner, compression=None) as sink:
-        for chunk in chunks:
-            sink.write(chunk)
-            size += len(chunk)
-    return size
-
-
-def open_bytes(uri: str):
-    """A seekable reader of an object. Runs on executors."""
-    path = local_path(uri)
-    if path is not None:
-        return open(path, "rb")
-    from pyarrow import fs
+from ..sources.shared import bound_batches, local_path, new_folder, open_bytes, put_bytes, shared_dir, written
 
-    store, inner = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(inner)
+__all__ = ["bound_batches", "documents", "local_path", "new_folder", "open_bytes", "put_bytes", "shared_dir", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, token_files, warc
+from . import bpe, near_dedup, quality_rules, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op4_quality_rules": quality_rules.query,
+    "op6_near_dedup": near_dedup.query,
     "op8_byte_bpe": bpe.query,
     "op10_token_files": token_files.query,
 }
