@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, lm_scoring, near_dedup, quality_rules, token_files, warc
+from . import bpe, decontaminate, lm_scoring, near_dedup, quality_rules, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_lm_scoring": lm_scoring.query,
     "op4_quality_rules": quality_rules.query,
     "op6_near_dedup": near_dedup.query,
