@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lm_scoring, near_dedup, quality_rules, token_files, warc
+from . import bpe, decontaminate, lm_scoring, near_dedup, quality_rules, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op6_near_dedup": near_dedup.query,
     "op8_byte_bpe": bpe.query,
+    "op9_secret_scan": secret_scan.query,
     "op10_token_files": token_files.query,
 }
 
 ORACLES = {
     "op1_warc": warc.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op9_secret_scan": secret_scan.SQL,
 }
