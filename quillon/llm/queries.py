@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lm_scoring, near_dedup, quality_rules, secret_scan, token_files, warc
+from . import bpe, decontaminate, license_scan, lm_scoring, near_dedup, quality_rules, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_decontaminate": decontaminate.query,
     "op3_lm_scoring": lm_scoring.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_license_scan": license_scan.query,
     "op6_near_dedup": near_dedup.query,
     "op8_byte_bpe": bpe.query,
     "op9_secret_scan": secret_scan.query,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_warc": warc.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op5_license_scan": license_scan.SQL,
     "op9_secret_scan": secret_scan.SQL,
 }
