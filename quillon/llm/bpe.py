@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,10 +143,9 @@ def token_bytes(ids: Column | str, path: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def decode(lists: pa.Array) -> pa.Array:
-        rows = [x if x is not None else [] for x in lists.to_pylist()]
-        bounds = np.zeros(len(rows) + 1, np.int64)
-        np.cumsum([len(x) for x in rows], out=bounds[1:])
-        body, edges = codec(path).decode(np.array([i for x in rows for i in x], np.int64), bounds)
+        bounds = np.zeros(len(lists) + 1, np.int64)
+        np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=bounds[1:])
+        body, edges = codec(path).decode(lists.flatten().to_numpy(zero_copy_only=False), bounds)
         raw = body.tobytes()
         return pa.array([raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
 
@@ -183,5 +183,13 @@ def code_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", coded("text", path).alias("c")).select("doc_id", "c.*")
 
 
+def encode_rows(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids and round_trip (whether the ids decode to the text) for each row of ``docs``."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text", token_ids("text", path).alias("token_ids"))
+    rows = rows.select("doc_id", "token_ids", (token_bytes("token_ids", path) == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("round_trip"))
+    return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_documents(documents(spark, sf_dir), vocabulary())

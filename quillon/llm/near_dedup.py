@@ -1,6 +1,6 @@
 """Near-duplicate documents by circulant MinHash and exact Jaccard.
 
-A document's set is its distinct 4-word shingles. Two permutations of 32-bit
+A document's set is its distinct shingles of a few words. Two permutations of 32-bit
 words give all coordinates: the first scatters the shingles, the second, shifted
 circularly by k, ranks them for coordinate k. Bands of coordinates propose
 candidates; links are confirmed on full shingle sets.
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ from .common import bound_batches, documents, written
 from .spans import MUL_A, MUL_C, SPACE, U64, Texts, chunks_of, mix, owners, windows
 
 SHINGLE_WORDS = 4
+#: Words of a shingle where no contract says otherwise.
+STAGE_WORDS = 5
 LINK_PERCENT = 80
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
@@ -84,15 +86,15 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each, and their bounds by text."""
     t = Texts(texts, lower=True)
     starts, ends, bounds = t.runs(_WORD)
     h = t.hashes(starts, ends)
-    w, first = windows(h, bounds, SHINGLE_WORDS)
+    w, first = windows(h, bounds, size)
     own = owners(bounds)[first]
     sizes = np.diff(bounds)
-    for k in range(1, SHINGLE_WORDS):  # shorter texts are one shingle
+    for k in range(1, size):  # shorter texts are one shingle
         few = np.flatnonzero(sizes == k)
         if len(few):
             whole = np.full(len(few), k, np.uint64)
@@ -118,12 +120,11 @@ _SKETCH = T.StructType([T.StructField(n, k) for n, k in (
     ("n_shingles", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()))])
 
 
-@F.arrow_udf(_SKETCH)
-def sketches(texts: pa.Array) -> pa.Array:
+def sketch_texts(texts: pa.Array, size: int = SHINGLE_WORDS) -> pa.Array:
     """Set size, a 128-bit print of the set, a key for each band, and the low bytes of all coordinates."""
     sizes, one, two, keys, low = [], [], [], [], []
     for a, b in chunks_of(texts):
-        w, bounds = shingle_sets(texts.slice(a, b - a))
+        w, bounds = shingle_sets(texts.slice(a, b - a), size)
         sizes.append(np.diff(bounds))
         one.append(_sums(mix(w), bounds))
         two.append(_sums(mix(w ^ MUL_C), bounds))
@@ -142,12 +143,30 @@ def sketches(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(sizes)), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), bands, sketch], names=_SKETCH.names)
 
 
-@F.arrow_udf(T.BinaryType())
-def set_bytes(texts: pa.Array) -> pa.Array:
-    """The sorted shingle hashes of each text, eight bytes each."""
+def sketches(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
+    """The struct of ``sketch_texts`` for a text column."""
+
+    @F.arrow_udf(_SKETCH)
+    def sketch(texts: pa.Array) -> pa.Array:
+        return sketch_texts(texts, size)
+
+    return sketch(text)
+
+
+def set_bytes(text: Column | str, size: int = SHINGLE_WORDS) -> Column:
+    """The sorted shingle hashes of a text, eight bytes each."""
+
+    @F.arrow_udf(T.BinaryType())
+    def shingles(texts: pa.Array) -> pa.Array:
+        return _set_bytes(texts, size)
+
+    return shingles(text)
+
+
+def _set_bytes(texts: pa.Array, size: int) -> pa.Array:
     out = []
     for a, b in chunks_of(texts):
-        w, bounds = shingle_sets(texts.slice(a, b - a))
+        w, bounds = shingle_sets(texts.slice(a, b - a), size)
         raw = w.tobytes()
         out += [raw[8 * x : 8 * y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
     return pa.array(out, pa.binary())
@@ -207,9 +226,9 @@ def _forest(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Sketched rows, and one row for each distinct set that isn't empty."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), sketches("text").alias("s")).select("doc_id", "th", "s.*")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), sketches("text", size).alias("s")).select("doc_id", "th", "s.*")
     rows = written(rows, "dedup-rows")
     full = rows.filter("n_shingles > 0")
     grouped = full.groupBy("n_shingles", "s1", "s2").agg(
@@ -218,15 +237,15 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, classes
 
 
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(cid, shingles) of the wanted classes, from one row of each; read again rather than kept for all."""
     reps = classes.join(wanted, "cid", "left_semi").select("cid", "rep.doc_id", "rep.th")
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     same = texts.join(reps, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th")))
-    return written(same.select("cid", set_bytes("text").alias("shingles")).groupBy("cid").agg(F.first("shingles").alias("shingles")), "dedup-sets")
+    return written(same.select("cid", set_bytes("text", size).alias("shingles")).groupBy("cid").agg(F.first("shingles").alias("shingles")), "dedup-sets")
 
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """(node, label) of the classes that link with others."""
     keyed = classes.select("cid", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("size"))
@@ -238,7 +257,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = pairs.join(low, "cid").withColumnRenamed("sketch", "one").join(low.select(F.col("cid").alias("leader"), F.col("sketch").alias("two")), "leader")
     pairs = written(pairs.filter(agree("one", "two")).select("cid", "leader"), "dedup-stars")
     wanted = pairs.select("cid").union(pairs.select("leader")).distinct()
-    sets = _sets(docs, classes, wanted)
+    sets = _sets(docs, classes, wanted, size)
     full = pairs.join(sets.withColumnRenamed("shingles", "one"), "cid").join(sets.select(F.col("cid").alias("leader"), F.col("shingles").alias("two")), "leader")
     links = written(full.filter(confirmed("one", "two")).select(F.col("cid").alias("a"), F.col("leader").alias("b")), "dedup-links")
     stars = written(connected_components(links), "dedup-components")
@@ -252,7 +271,7 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     apart = written(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "dedup-apart")
     rest = others.join(apart, "key").select("key", "cid", "label", "blocks").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rest = written(rest, "dedup-rest")
-    more = _sets(docs, classes, rest.select("cid").distinct())
+    more = _sets(docs, classes, rest.select("cid").distinct(), size)
     ready = rest.join(low, "cid").join(more, "cid")
     meets = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) AS x, greatest(o, block) AS y))")
     dealt = ready.select("key", "cid", "label", "sketch", "shingles", F.col("block").alias("side"), F.explode(meets).alias("m")).select("*", "m.x", "m.y")
@@ -261,11 +280,11 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return connected_components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, th, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``."""
     bound_batches(docs.sparkSession)
-    rows, classes = _classes(docs.select("doc_id", "text"))
-    labels = class_links(docs.select("doc_id", "text"), classes)
+    rows, classes = _classes(docs.select("doc_id", "text"), size)
+    labels = class_links(docs.select("doc_id", "text"), classes, size)
     known = classes.select("cid", F.col("n_shingles").alias("n"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.withColumn("label", F.coalesce("label", "cid"))
     least = known.groupBy("label").agg(F.min("first_id").alias("least_id"))
@@ -275,9 +294,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
+def keep_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each component of ``docs``, all columns as they were; of rows that tie, one."""
-    found = written(link_documents(docs), "dedup-found")
+    found = written(link_documents(docs, size), "dedup-found")
     stay = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("component_id").alias("__component"), "n_shingles")
     ties = stay.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     names = [F.col(f"`{c}`") for c in docs.columns]

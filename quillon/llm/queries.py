@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, license_scan, lm_scoring, near_dedup, quality_rules, secret_scan, token_files, warc
+from . import bpe, decontaminate, license_scan, lm_scoring, near_dedup, quality_model, quality_rules, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op5_license_scan": license_scan.query,
     "op6_near_dedup": near_dedup.query,
+    "op7_quality_model": quality_model.query,
     "op8_byte_bpe": bpe.query,
     "op9_secret_scan": secret_scan.query,
     "op10_token_files": token_files.query,
