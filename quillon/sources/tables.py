@@ -21,7 +21,7 @@ def _name(key: str) -> str:
 
 
 def _module(key: str) -> str:
-    return f"'mod' || CAST({key} % 37 AS STRING)"
+    return f"'mod' || CAST({key} % 17 AS STRING)"
 
 
 def _path(key: str) -> str:
@@ -31,7 +31,7 @@ def _path(key: str) -> str:
 VIEWS: dict[str, str] = {
     # A function per part.
     "functions": f"""SELECT p_partkey AS id, {_path('p_partkey')} AS file_path, {_name('p_partkey')} AS name, CAST(p_size AS INT) AS line_number,
-        CASE WHEN p_size % 4 = 0 THEN 'int' WHEN p_size % 4 = 1 THEN 'Optional[Class' || CAST(p_partkey % 25 AS STRING) || ']' WHEN p_size % 4 = 2 THEN 'Missing' END AS return_type,
+        CASE WHEN p_size % 10 < 2 THEN 'Missing' WHEN p_partkey % 5 = 0 THEN 'Optional[Class' || CAST(p_partkey % 25 AS STRING) || ']' WHEN p_partkey % 5 = 1 THEN 'int' WHEN p_partkey % 5 = 2 THEN 'OrderRow' END AS return_type,
         CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN '' WHEN p_partkey % 6 = 2 THEN p_name || ' blocked on ' || p_brand || ' then requires OrderEngine' ELSE p_name || ' for Class' || CAST(p_partkey % 31 AS STRING) || ' and PartStore' END AS docstring,
         p_size <= 15 AS is_stub,
         CASE WHEN p_partkey % 29 = 0 THEN 'property' WHEN p_partkey % 31 = 0 THEN 'app.route' WHEN p_partkey % 23 = 0 THEN 'abstractmethod' ELSE '' END AS decorators,
@@ -39,10 +39,10 @@ VIEWS: dict[str, str] = {
         CASE WHEN p_partkey % 3 = 0 THEN 'Class' || CAST(p_partkey % 25 AS STRING) END AS class_name,
         CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 = 1 THEN 'order:Order' ELSE 'order:Order,row:Class' || CAST(p_partkey % 33 AS STRING) END AS param_types
         FROM {{part}}""",
-    # A call per pair of neighbouring lines of an order; duplicates and both spellings of a callee occur.
+    # A call per pair of neighbouring lines of an order, most of them to vendor code; duplicates and several spellings of a callee occur.
     "edges": f"""SELECT caller, callee, line_number, caller_file, resolved, edge_type, caller AS source_id, regexp_replace(callee, '^.*[.]', '') AS target_id FROM (
         SELECT {_name('a.l_partkey')} AS caller,
-        CASE WHEN a.l_linenumber % 3 = 0 THEN {_module('b.l_partkey')} || '.' || {_name('b.l_partkey')} WHEN a.l_linenumber % 7 = 1 THEN 'self.' || {_module('b.l_partkey')} || '.' || {_name('b.l_partkey')} ELSE {_name('b.l_partkey')} END AS callee,
+        CASE WHEN b.l_quantity > 5 THEN 'vendor.call_' || CAST(b.l_suppkey AS STRING) WHEN a.l_linenumber % 3 = 0 THEN {_module('b.l_partkey')} || '.' || {_name('b.l_partkey')} WHEN a.l_linenumber % 7 = 1 THEN 'self.' || {_module('b.l_partkey')} || '.' || {_name('b.l_partkey')} ELSE {_name('b.l_partkey')} END AS callee,
         CAST(a.l_linenumber AS INT) AS line_number, {_path('a.l_partkey')} AS caller_file, a.l_linestatus = 'F' AS resolved,
         CASE WHEN a.l_returnflag = 'R' THEN 'dynamic' WHEN a.l_returnflag = 'A' THEN 'static' WHEN a.l_shipdate < TIMESTAMP '1996-01-01 00:00:00' THEN 'function_reference' ELSE 'data_flow' END AS edge_type
         FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1) e""",
@@ -60,12 +60,13 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT 'cust.n' || CAST(c_nationkey AS STRING) || '.m', 'app' || CAST(c_nationkey % 5 AS STRING) || '.n' || CAST(c_nationkey AS STRING) || '.f' FROM {customer}
         UNION ALL SELECT 'app' || CAST(s_nationkey % 5 AS STRING) || '.n' || CAST(s_nationkey AS STRING) || '.g', 'supp.k' || CAST(s_suppkey % 11 AS STRING) || '.h' FROM {supplier}""",
     "files": """SELECT source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.txt' AS file_path, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS line_count, lang AS role, doc_id FROM {documents}""",
-    "classes": """SELECT k AS id, 'pkg' || CAST(k % 5 AS STRING) || '/sub' || CAST(k % 3 AS STRING) || '/mod' || CAST(k % 37 AS STRING) || '.py' AS file_path, 'Class' || CAST(k AS STRING) AS name, CAST(k AS INT) AS line_number,
+    "classes": """SELECT k AS id, 'pkg' || CAST(k % 5 AS STRING) || '/sub' || CAST(k % 3 AS STRING) || '/mod' || CAST(k % 17 AS STRING) || '.py' AS file_path, 'Class' || CAST(k AS STRING) AS name, CAST(k AS INT) AS line_number,
         CASE WHEN k % 4 = 0 THEN 'ABC' WHEN k % 4 = 3 THEN 'Protocol' ELSE 'Class' || CAST(k - k % 4 AS STRING) END AS base_class, methods,
         CASE WHEN k % 2 = 0 THEN 'holds ' || methods END AS docstring FROM (
         SELECT p_partkey % 25 AS k, CAST(count(*) AS STRING) AS methods FROM {part} GROUP BY p_partkey % 25) c""",
-    # A method per function with a class; abstract where its decorator says so.
-    "methods": f"""SELECT 'Class' || CAST(p_partkey % 25 AS STRING) AS class_name, CASE WHEN p_partkey % 2 = 0 THEN 'make_' ELSE 'on_' END || CAST(p_partkey % 13 AS STRING) AS method, p_partkey % 23 = 0 OR p_partkey % 17 = 0 AS is_abstract FROM {{part}} WHERE p_partkey % 3 = 0 OR p_partkey % 4 = 0""",
+    # Four methods a class; some of base classes and protocols are abstract.
+    "methods": """SELECT class_name, CASE WHEN m % 2 = 0 THEN 'make_' ELSE 'on_' END || CAST(m AS STRING) AS method, (k % 4 = 0 AND j < 3) OR (k % 4 = 3 AND j = 0) AS is_abstract FROM (
+        SELECT 'Class' || CAST(p_partkey % 25 AS STRING) AS class_name, p_partkey % 25 AS k, p_partkey % 4 AS j, (p_partkey % 25 * 7 + p_partkey % 4) % 13 AS m FROM {part}) p""",
     "refs": f"""SELECT {_path('l_partkey')} AS file_path, {_name('l_partkey')} AS caller,
         CASE WHEN l_quantity > 49 THEN NULL WHEN l_returnflag = 'A' THEN 'print' WHEN l_linenumber = 6 THEN 'self.' || {_name('l_suppkey')} || '.x' ELSE {_module('l_suppkey')} || '.' || {_name('l_suppkey')} END AS callee,
         CAST(l_linenumber AS INT) AS line_number, CASE WHEN l_returnflag = 'A' THEN 'builtin' WHEN l_returnflag = 'R' THEN 'project' WHEN l_linestatus = 'F' THEN NULL ELSE 'unknown' END AS bucket FROM {{lineitem}}""",
