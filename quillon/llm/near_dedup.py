@@ -281,29 +281,29 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS)
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, th, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``."""
+    """doc_id, th (hash of the text), n_shingles, label (of the component), component_id, kept for each row of ``docs(doc_id, text)``."""
     bound_batches(docs.sparkSession)
     rows, classes = _classes(docs.select("doc_id", "text"), size)
     labels = class_links(docs.select("doc_id", "text"), classes, size)
     known = classes.select("cid", F.col("n_shingles").alias("n"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.withColumn("label", F.coalesce("label", "cid"))
     least = known.groupBy("label").agg(F.min("first_id").alias("least_id"))
-    known = written(known.join(least, "label").select("n", "p1", "p2", "least_id"), "dedup-known")
+    known = written(known.join(least, "label").select("n", "p1", "p2", "label", "least_id"), "dedup-known")
     joined = rows.select("doc_id", "th", "n_shingles", "s1", "s2").join(known, (F.col("n_shingles") == F.col("n")) & (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "th", "n_shingles", "label", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each component of ``docs``, all columns as they were; of rows that tie, one."""
     found = written(link_documents(docs, size), "dedup-found")
-    stay = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("component_id").alias("__component"), "n_shingles")
+    stay = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("label").alias("__component"), F.col("n_shingles").alias("__size"))
     ties = stay.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     names = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.withColumn("__hash", F.xxhash64("text"))
     joined = marked.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
     if ties:
-        empty = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))  # empty sets link with nothing
+        empty = F.when(F.col("__size") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))  # empty sets link with nothing
         joined = joined.withColumn("__alone", empty).dropDuplicates(["__component", "__alone"])
     return joined.select(*names)
 
