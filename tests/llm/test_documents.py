@@ -1,0 +1,275 @@
+"""Document operators against brute-force versions on small fixtures."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, license_scan, lm_scoring, near_dedup, quality_model, quality_rules, secret_scan
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def make(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}x" for _ in range(n))
+
+
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = [make(rng, rng.randrange(1, 60)) for _ in range(60)]
+    passage = make(rng, 50)
+    for k in range(60):
+        base = texts[k % 20].split()
+        for _ in range(rng.randrange(0, 4)):
+            if base:
+                base[rng.randrange(len(base))] = f"z{rng.randrange(9)}"
+        texts.append(" ".join(base))
+        texts.append(passage + " " + make(rng, rng.randrange(0, 25)))
+    long = make(rng, 4000)
+    texts += ["", None, "  ", "One", "one", "one two", "ONE  two", long, long + " end", *texts[:10]]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in near_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit(1))).collect()}
+    sets = {}
+    for k, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w)} if 0 < len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    for k in sets:
+        assert (got[k]["n_shingles"], got[k]["component_id"], got[k]["kept"]) == (len(sets[k]), root(k), root(k) == k), k
+
+
+def test_near_dedup_blocks_keep_links(spark, monkeypatch):
+    """Many texts under one leader that link among themselves: the blocks' part."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(9)
+    base = make(rng, 100, 10**6).split()
+    rows = []
+    for k in range(30):  # a chain: neighbours link, far ones don't
+        w = list(base)
+        w[: 2 * k] = [f"c{j}" for j in range(2 * k)]
+        rows.append((k, " ".join(w)))
+    got = near_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_near_dedup_edges(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert near_dedup.link_documents(empty).count() == 0
+    rows = [(1, "a b c d e f", "x", "s", 1), (1, "a b c d e f", "x", "s", 1), (1, "quite another text of words", "x", "s", 1), (None, "a b c d e f", "x", "s", 1), (2, None, "x", "s", 1), (2, "", "x", "s", 1), (3, "a b c d e f", None, None, None)]
+    kept = near_dedup.keep_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, "a b c d e f"), (1, "quite another text of words"), (2, ""), (2, "")]
+    assert kept[0].__fields__ == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_quality_rules(spark):
+    good = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, good, "en", "a", 1), (2, "few words", "en", "a", 1), (3, "x " * 60, "en", "b", 1), (4, None, "en", None, 1), (5, good + " ### $$$ *** ### $$$", "en", "b", 1), (6, good, "en", "b", 1), (7, "w y " * 40, "en", "b", 1), (8, "u v " * 40, "en", "b", 1), (9, "", "en", "b", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in quality_rules.judge_documents(df.withColumn("kept", F.lit("clash"))).collect()}
+    assert got[1]["kept"] and not got[2]["kept"] and got[3]["n_repeat_words"] == 60 and got[4]["n_words"] == 0 and not got[4]["kept"]
+    assert not got[5]["base_failed"] and not got[5]["kept"], "a strict host asks for more"
+    assert got[6]["kept"], "a clean document stays on a strict host"
+    kept = quality_rules.keep_documents(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 6] and kept[0].__fields__ == df.columns
+    assert quality_rules.judge_documents(df.limit(0)).count() == 0 and quality_rules.keep_documents(df.limit(0)).count() == 0
+
+
+def test_quality_measures_equal_brute_force():
+    rng = random.Random(2)
+    texts = ["\n".join(" ".join(rng.choice(["a", "é##", "b|", "cc", "a"]) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(0, 12))) for _ in range(300)] + ["", "\n\n", "x"]
+    got = quality_rules.measure_texts(pa.array(texts))
+    for k, t in enumerate(texts):
+        w = words(t)
+        grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        inside = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert [int(c[k]) for c in got] == [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside)], repr(t)
+
+
+def brute_ctw(train, depth):
+    counts = [defaultdict(lambda: [0, 0]) for _ in range(depth + 1)]
+    for text in train:
+        s = b"\xff" * depth + (text or "").encode() + b"\xff"
+        for k in range(depth, len(s)):
+            for i in range(8):
+                for d in range(depth + 1):
+                    counts[d][s[k - d : k], (1 << i) | (s[k] >> (8 - i))][(s[k] >> (7 - i)) & 1] += 1
+    own = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted = [{} for _ in range(depth + 1)]
+    for d in range(depth, -1, -1):
+        below = defaultdict(float)
+        if d < depth:
+            for (c, p), v in weighted[d + 1].items():
+                below[c[1:], p] += v
+        for key, (a, b) in counts[d].items():
+            weighted[d][key] = own(a, b) if d == depth else np.logaddexp(own(a, b), below[key]) - math.log(2)
+
+    def one(context, p):
+        done, mass, last = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            key = (context[depth - d :], p)
+            if key not in counts[d]:
+                return last
+            a, b = counts[d][key]
+            kt = (b + 0.5) / (a + b + 1)
+            last = done + mass * kt
+            stay = 1 if d == depth else min(1, math.exp(own(a, b) - math.log(2) - weighted[d][key]))
+            done, mass = done + mass * stay * kt, mass * (1 - stay)
+        return last
+
+    def score(text):
+        s, total = b"\xff" * depth + (text or "").encode() + b"\xff", 0.0
+        for k in range(depth, len(s)):
+            for i in range(8):
+                q = one(s[k - depth : k], (1 << i) | (s[k] >> (8 - i)))
+                total += math.log10(q if (s[k] >> (7 - i)) & 1 else 1 - q)
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("shard", [500_000, 300])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(lm_scoring, "SHARD_ROWS", shard)
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["the", "then", "A", "éa", "the"]) for _ in range(rng.randrange(0, 12)))) for k in range(40)] + [(40, None), (41, "quite unseen Ω words"), (None, "the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm_scoring.train(docs.filter(~lm_scoring.held_out("doc_id")))
+    got = lm_scoring.score_documents(docs, model).collect()
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [t for i, t in rows if not out(i)]
+    counts = Counter(w for t in train for w in words((t or "").lower()))
+    counts["\0"] = len(train)
+    n, v = sum(counts.values()), len(counts)
+    score = brute_ctw(train, lm_scoring.DEPTH)
+    want = {(i, t): (out(i), len(words(t)) + 1, n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*words((t or "").lower()), "\0"]), score(t)) for i, t in rows}
+    texts = {i: t for i, t in rows}
+    for r in got:
+        h, tokens, total, base, s = want[r["doc_id"], texts[r["doc_id"]]]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (h, tokens, total)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(s)
+    nothing = lm_scoring.score_documents(docs, lm_scoring.train(docs.limit(0))).filter("doc_id = 41").first()
+    assert nothing["score"] == pytest.approx(-8 * math.log10(2) * (len("quite unseen Ω words".encode()) + 1)) and nothing["n_known"] == 0
+
+
+def test_decontamination(spark):
+    rng = random.Random(8)
+    items = [(k, make(rng, n, 10**6)) for k, n in enumerate([12, 20, 40, 70, 200])]
+    clean = [(k, make(rng, 300, 10**6)) for k in range(20)]
+    bad = []
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        dropped = [x for j, x in enumerate(w) if j % 7 != 3]
+        bad.append((100 + k, make(rng, 90, 10**6) + " " + text.upper() + ", " + make(rng, 50, 10**6)))
+        bad.append((200 + k, make(rng, 90, 10**6) + " " + " ".join(dropped) + " " + make(rng, 50, 10**6)))
+    docs = spark.createDataFrame([*clean, *bad, (900, None), (901, "")], "doc_id long, text string").withColumn("item_id", F.lit(1))
+    benchmark = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, decontaminate.fit_blocks(docs, benchmark)).collect()}
+    assert got == {(b + k, k) for b in (100, 200) for k in range(len(items))}
+    kept = decontaminate.keep_documents(docs, benchmark)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(20), 900, 901] and kept.columns == docs.columns
+    assert decontaminate.keep_documents(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_decontamination_recall_against_full_cosine(spark):
+    """Latent candidates hold at least 0.9 of those of the exact TF-IDF cosine."""
+    rng = random.Random(1)
+    items = [(k, make(rng, 40, 3000)) for k in range(150)]
+    docs = spark.createDataFrame([(k, make(rng, 40, 3000) + " " + items[k][1] + " " + make(rng, 20, 3000)) for k in range(150)], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, decontaminate.fit_blocks(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()
+    assert len({r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}) >= 0.9 * 150
+
+
+def test_common_subsequence():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = [[rng.randrange(6) for _ in range(rng.randrange(1, 15))] for _ in range(2)]
+        masks = {}
+        for k, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << k
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert decontaminate.common_words(masks, len(a), b) == table[-1][-1]
+
+
+def test_license_scan(spark):
+    mit = dict(license_scan.TEMPLATES)["mit"].replace("[[ including the next paragraph]]", " (including the next paragraph)")
+    rows = [(1, "Copyright (c) 2020 Some Body. All rights reserved."), (2, mit.upper()), (3, mit.replace("merge", "fuse")), (4, None), (5, ""), (6, "GNU General Public License; general\npublic-license"), (7, "Licensed under CC BY-NC 4.0."), (8, "it cc by x cc by")]
+    got = {r["doc_id"]: r for r in license_scan.find_licenses(spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit(0))).collect()}
+    assert (got[1]["labels"], got[1]["base_labels"], got[1]["first_word"], got[1]["last_word"]) == ("copyright-notice,reserved", "reserved", 5, 5)
+    assert "mit" in got[2]["labels"] and got[2]["score"] == 1.0
+    assert got[3]["labels"] == "", "mandatory wording must match exactly"
+    assert (got[4]["n_words"], got[4]["score"], got[4]["first_word"]) == (0, 0.0, None) and got[5]["n_base"] == 0
+    assert (got[6]["n_base"], got[6]["first_word"], got[6]["last_word"]) == (2, 1, 4)
+    assert got[7]["labels"] == "cc-by,cc-by-notice" and got[8]["n_base"] == 2
+    with pytest.raises(ValueError):
+        license_scan.compiled("x", "{2} words")
+
+
+def brute_secrets(text):
+    found = [(m.start(), "assign", m.end()) for m in re.finditer(secret_scan.ASSIGN.replace("(?i:", "(?:"), text, re.I) if len(m[2]) >= 6]
+    found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda x: (x[0], secret_scan.KINDS.index(x[1])))
+
+
+def test_secret_scan(spark):
+    rng = random.Random(7)
+    bits = ["password: ", "Token='", "api_key = \"", "secret=x", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "é", " ", "\n", "token=token=abcdef", "aB3/x9+Q" * 3, "12345678-1234-1234-1234-1234567890ab", "\U0001f600", "apikey:short"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 9))) for _ in range(300)] + [None, "", "q" * 20000 + " token = " + "f0" * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(1))
+    for r in secret_scan.find_secrets(df).collect():
+        base = brute_secrets(texts[r["doc_id"]] or "")
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("entropy")] == [f"{k}:{a}:{b}" for a, k, b in base]
+        assert r["n_assign"] + r["n_access"] + r["n_hex"] == len(base)
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact_documents(df).collect()}
+    assert red[len(texts) - 1] == "q" * 20000 + " [secret]" and red[300] is None and red[301] == ""
+
+
+def test_window_entropy(spark):
+    rng = random.Random(12)
+    strings = ["".join(rng.choice("ab1/" if k % 2 else secret_scan.ALPHABET) for _ in range(rng.randrange(20, 60))) for k in range(60)]
+    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", secret_scan.window_bits(F.col("s")).alias("b")).collect()
+    for s, b in got:
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+        assert b == pytest.approx(best)
+
+
+def test_quality_model_learns_without_the_fold(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(400):
+        good = k % 2
+        rows.append((k, " ".join(rng.choice(["river", "stone", "cloud", "tree"] if good else ["buy", "###", "click", "$$$"]) for _ in range(30))))
+        labels.append((k, good if zlib.crc32(str(k).encode()) % 5 else 1 - good))  # held-out labels lie
+    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").withColumn("label", F.lit(0))
+    known = spark.createDataFrame([*labels, (5, None), (None, 1), (7000, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_model.score_documents(docs, known).collect()}
+    assert np.mean([(got[k]["score"] >= 0.5) == bool(k % 2) for k in range(400)]) > 0.97
+    assert 0 <= got[900]["score"] <= 1 and got[900]["score"] == got[901]["score"]
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
+    assert quality_model.score_documents(docs, known.limit(0)).select("score").distinct().count() == 1
