@@ -37,7 +37,7 @@ from .spans import MUL_A, SPACE, U64, Texts, chunks_of, per_text
 
 DEPTH = 4
 #: Rows of a model shard; a task holds one shard at a time.
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 500_000
 HELD_OUT = (7, 2)
 PRIME = 1_000_003
 MARK = 0xFF

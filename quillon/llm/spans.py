@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text taken at once; the arrays made on the way are about a hundred times that.
+PIECE_BYTES = 1 << 20
+
 U64 = np.uint64
 MUL_A, MUL_B, MUL_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 BYTE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
@@ -33,7 +36,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks_of(texts: pa.Array, most_bytes: int = 4 << 20):
+def chunks_of(texts: pa.Array, most_bytes: int = PIECE_BYTES):
     """(first row, end row) of pieces of a column of about ``most_bytes``; a longer text is a piece alone."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
