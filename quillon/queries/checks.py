@@ -8,7 +8,7 @@ from ..functions import names as N
 from ..operators import assess as A
 from ..plans.algebra import Combine, Executor, Filter, Select
 from ..plans.views import views_of
-from .graphs import LAST
+from .graphs import HOTSPOTS, LAST
 from .registry import query
 
 _BUCKETS = "SELECT k.bucket, count(r.b) AS n FROM (VALUES ('project'), ('builtin'), ('classification_gap')) k(bucket) LEFT JOIN (SELECT CASE WHEN bucket IN ('project', 'builtin') THEN bucket ELSE 'classification_gap' END AS b FROM {refs}) r ON r.b = k.bucket GROUP BY k.bucket"
@@ -123,10 +123,10 @@ def algebra_intent_filtered(c):
     return Executor(views_of(c)).execute(Select("INTENT", "functions", Filter("file_path", "endswith", "mod3.py")))
 
 
-@query("SELECT 'hotspot' AS side, symbol AS item, degree AS n FROM (SELECT * FROM (" + "SELECT symbol, count(*) AS degree FROM (SELECT caller AS symbol FROM {edges} UNION ALL SELECT callee FROM {edges}) e GROUP BY symbol" + ") WHERE symbol = 'helper') UNION ALL SELECT 'unstable', file_path, v FROM (SELECT file_path, sum(violation)::BIGINT AS v FROM {contract_reports} GROUP BY file_path) WHERE v > 0")
+@query(f"SELECT 'hotspot' AS side, symbol AS item, degree AS n FROM ({HOTSPOTS}) WHERE degree > 3 UNION ALL SELECT 'unstable', file_path, v FROM (SELECT file_path, sum(violation)::BIGINT AS v FROM {{contract_reports}} GROUP BY file_path) WHERE v > 0")
 def algebra_combined(c):
     """A Combine pairs two results; here they are put one under the other."""
-    left, right = Executor(views_of(c)).execute(Combine(Select("STRUCTURE", "hotspots", Filter("symbol", "==", "helper")), Select("STABILITY", "unstable_files")))
+    left, right = Executor(views_of(c)).execute(Combine(Select("STRUCTURE", "hotspots", Filter("degree", ">", 3)), Select("STABILITY", "unstable_files")))
     return left.select(F.lit("hotspot").alias("side"), F.col("symbol").alias("item"), F.col("degree").alias("n")).unionByName(right.select(F.lit("unstable").alias("side"), F.col("file_path").alias("item"), F.col("violations").alias("n")))
 
 

@@ -33,9 +33,12 @@ PREFIXES = "list_transform(range(1, len(string_split({c}, '.')) + 1), lambda k:
 TWO = "array_to_string(string_split({0}, '.')[1:2], '.')"
 
 
-@query(f"""SELECT symbol, count(*) AS degree FROM (SELECT caller AS symbol FROM {{edges}} UNION ALL SELECT callee FROM {{edges}}) e
+HOTSPOTS = f"""SELECT symbol, count(*) AS degree FROM (SELECT caller AS symbol FROM {{edges}} UNION ALL SELECT callee FROM {{edges}}) e
 WHERE NOT {NOISE.replace('{c}', 'symbol')} AND symbol NOT IN (SELECT s FROM (SELECT caller AS s, bucket FROM {{refs}} UNION ALL SELECT callee, bucket FROM {{refs}}) WHERE s IS NOT NULL GROUP BY s HAVING min(bucket) = 'builtin' AND max(bucket) = 'builtin')
-GROUP BY symbol ORDER BY degree DESC, symbol LIMIT 10""")
+GROUP BY symbol ORDER BY degree DESC, symbol LIMIT 10"""
+
+
+@query(HOTSPOTS)
 def structure_hotspots(c):
     """The flagship: Select STRUCTURE.hotspots through the planner and executor of the query algebra."""
     from ..plans.algebra import Executor, Select
