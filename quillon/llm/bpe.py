@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, documents
 from .pretokens import ALL_CHARACTERS, LETTER, NUMBER, SPACE_CLASS, Memory, class_table, gather
-from .spans import chunks_of
+from .spans import Texts, chunks_of
 
 
 def byte_characters() -> list[str]:
@@ -183,12 +183,31 @@ def code_documents(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", coded("text", path).alias("c")).select("doc_id", "c.*")
 
 
+def checked_ids(text: Column | str, path: str) -> Column:
+    """token_ids of a text, and round_trip: whether they decode to it. One pass, one worker."""
+
+    @F.arrow_udf(T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
+    def encode(texts: pa.Array) -> pa.Array:
+        lists, same = [], []
+        for a, b in chunks_of(texts):
+            piece = texts.slice(a, b - a)
+            ids, bounds = codec(path).encode(piece)
+            body, edges = codec(path).decode(ids, bounds)
+            t = Texts(piece)
+            equal = np.array_equal(t.at, edges) and np.array_equal(t.data[: t.n], body)
+            same += [True] * (b - a) if equal else [np.array_equal(t.data[t.at[k] : t.at[k + 1]], body[edges[k] : edges[k + 1]]) for k in range(b - a)]
+            lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
+        ids_ = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([ids_, pa.array(same, pa.bool_())], names=["token_ids", "round_trip"])
+
+    return encode(text)
+
+
 def encode_rows(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, token_ids and round_trip (whether the ids decode to the text) for each row of ``docs``."""
     bound_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", token_ids("text", path).alias("token_ids"))
-    rows = rows.select("doc_id", "token_ids", (token_bytes("token_ids", path) == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("round_trip"))
-    return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+    rows = docs.select("doc_id", checked_ids("text", path).alias("c"))
+    return rows.select("doc_id", F.size("c.token_ids").cast("long").alias("n_tokens"), "c.token_ids", "c.round_trip")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

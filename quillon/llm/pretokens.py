@@ -90,7 +90,7 @@ def split(t: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 class Memory:
     """Ids of pre-tokens by 64-bit hash. Emptied when it has ``most`` entries, so its size is bounded."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, most: int = 1_000_000):
         self.encode, self.table, self.most = encode, table, most
         self.clear()
 

@@ -149,7 +149,8 @@ def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     seen = docs.select(F.col(f"`{host}`").alias("host"), measures("text").alias("m"))
     verdicts = host_verdicts(seen.select("host", _ruled(lambda c: F.col(f"m.{c}"))["base_failed"].alias("base_failed")))
     strict = verdicts.filter("host_strict").select(F.col("host").alias("__strict_host"))
-    rows = docs.withColumn("__measures", measures("text"))
+    # Not deterministic for the planner: else filters would be pushed down with a second evaluation each.
+    rows = docs.withColumn("__measures", measures.asNondeterministic()("text"))
     rules = _ruled(lambda c: F.col(f"__measures.{c}"))
     passed = rows.filter(~rules["base_failed"])
     joined = passed.join(strict, F.col(f"`{host}`").eqNullSafe(F.col("__strict_host")), "left")
