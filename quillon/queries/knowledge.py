@@ -127,12 +127,16 @@ def query_sessions(c):
     return c.sessions.withColumn("intent", R.intent_of("raw_query")).select("conv_id", "turn", "intent", R.primitives_of("intent").alias("primitives"))
 
 
-@query("""WITH q AS (SELECT DISTINCT query_id, token FROM (SELECT p_partkey AS query_id, unnest(regexp_split_to_array(lower(p_name || ' row item'), '[^\\p{L}\\p{N}]+')) AS token FROM {part}) WHERE token <> ''),
-n AS (SELECT DISTINCT name AS symbol, lower(t) AS token FROM (SELECT name, unnest(string_split(name, '_')) AS t FROM (SELECT DISTINCT name FROM {functions})) WHERE t <> '')
-SELECT query_id, symbol, sum(CASE WHEN length(token) >= 4 THEN 2 ELSE 1 END)::BIGINT AS score FROM q JOIN n USING (token) WHERE query_id < 5 GROUP BY ALL HAVING sum(CASE WHEN length(token) >= 4 THEN 2 ELSE 1 END) >= 2""")
+QUESTIONS = ((1, "Which function can load an order row?"), (2, "Where do we parse a row"), (3, "who calls get item"), (4, "helper"), (5, "set the item"))
+_ASKED = ", ".join(f"({k}, '{q}')" for k, q in QUESTIONS)
+
+
+@query(f"""WITH q AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest(regexp_split_to_array(lower(raw_query), '[^\\p{{L}}\\p{{N}}]+')) AS token FROM (VALUES {_ASKED}) v(query_id, raw_query)) WHERE token <> ''),
+n AS (SELECT DISTINCT name AS symbol, lower(t) AS token FROM (SELECT name, unnest(string_split(name, '_')) AS t FROM (SELECT DISTINCT name FROM {{functions}})) WHERE t <> '')
+SELECT query_id, symbol, sum(CASE WHEN length(token) >= 4 THEN 2 ELSE 1 END)::BIGINT AS score FROM q JOIN n USING (token) GROUP BY ALL HAVING sum(CASE WHEN length(token) >= 4 THEN 2 ELSE 1 END) >= 2""")
 def discover_seeds(c):
-    """Five questions against all names."""
-    questions = c.part.filter("p_partkey < 5").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" row item")).alias("raw_query"))
+    """A few questions against all names."""
+    questions = c.spark.createDataFrame(list(QUESTIONS), "query_id int, raw_query string")
     return R.token_seeds(questions, c.functions.select(F.col("name").alias("symbol")).distinct())
 
 
