@@ -287,7 +287,7 @@ def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     labels = class_links(docs.select("doc_id", "text"), classes, size)
     known = classes.select("cid", F.col("n_shingles").alias("n"), F.col("s1").alias("p1"), F.col("s2").alias("p2"), "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     known = known.withColumn("label", F.coalesce("label", "cid"))
-    least = known.groupBy("label").agg(F.min("first_id").alias("least_id"))
+    least = written(known.groupBy("label").agg(F.min("first_id").alias("least_id")), "dedup-least")  # a plain exchange in the join below, which can be split
     known = written(known.join(least, "label").select("n", "p1", "p2", "label", "least_id"), "dedup-known")
     joined = rows.select("doc_id", "th", "n_shingles", "s1", "s2").join(known, (F.col("n_shingles") == F.col("n")) & (F.col("s1") == F.col("p1")) & (F.col("s2") == F.col("p2")), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
