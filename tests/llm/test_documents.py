@@ -202,6 +202,29 @@ def test_decontamination_recall_against_full_cosine(spark):
     assert len({r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}) >= 0.9 * 150
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_decontamination_finds_short_and_common_copies(spark, share):
+    """Verbatim and shortened copies among long rare words, with the items' words rare, in a share of the documents, or in all of them."""
+    rng = random.Random(5)
+    items = [(k, make(rng, 15 + k % 45, 10**6)) for k in range(60)]
+    every = " ".join(t for _, t in items)
+    rows, want = [], set()
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        for b, part in ((0, w), (100, [x for j, x in enumerate(w) if j % 5 != 1]), (200, w[len(w) - math.ceil(0.6 * len(w)) :])):
+            rows.append((b + k, make(rng, rng.randrange(60, 300), 10**7) + " " + " ".join(part) + " " + make(rng, rng.randrange(60, 300), 10**7)))
+            want.add((b + k, k))
+    shuffled = every.split()
+    for k in range(200):
+        rng.shuffle(shuffled)
+        rows.append((1000 + k, " ".join(shuffled) if k < 200 * share else make(rng, 300, 10**7)))
+    if share == 1.0:
+        rows = [(i, t + " " + make(rng, 200, 10**7) + " " + " ".join(rng.sample(shuffled, len(shuffled))) if i < 1000 else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, decontaminate.fit_blocks(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()}
+    assert got == want
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
