@@ -225,6 +225,24 @@ def test_decontamination_finds_short_and_common_copies(spark, share):
     assert got == want
 
 
+def test_decontamination_skips_no_window_that_can_reach_the_cosine():
+    """Words that repeat in a window weigh more than their occurrences; the example is four times one item word among seven rarer words."""
+    rng = np.random.default_rng(3)
+    block = object.__new__(decontaminate.Block)
+    cases = [([0] * 4 + [9 + k for k in range(7)], {0: 1.0})] + [(rng.integers(0, 30, 32).tolist(), {}) for _ in range(300)]
+    skipped = 0
+    for words_, fixed in cases:
+        of = {w: fixed.get(w, 3.0 if fixed else float(rng.exponential())) for w in set(words_)}
+        h, weight = np.array(words_, np.uint64), np.array([of[w] for w in words_], np.float32)
+        place = np.where(h < 3, h.astype(np.int64), -1)
+        got = block._hopeful(h, weight, place, np.array([0]), np.array([len(h)]))
+        counts = Counter(words_)
+        share = sum((c * of[w]) ** 2 for w, c in counts.items() if w < 3) / sum((c * of[w]) ** 2 for w, c in counts.items())
+        assert len(got) or share < decontaminate.LEAST_COSINE**2
+        skipped += not len(got)
+    assert skipped
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
