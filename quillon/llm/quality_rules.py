@@ -2,10 +2,13 @@
 
 Each text is measured once in numpy (words, symbols, repeated lines, repeated
 8-word windows). Rules mark failures; failures are summed by host, the hosts'
-rates are shrunk by a beta prior fitted to all hosts by moments, and the
-verdicts are joined back. On a host whose shrunk rate is high, a document must
-also pass the stricter rules; elsewhere the base rules alone decide. So a clean
-document is kept wherever it comes from.
+rates are shrunk by beta priors fitted to all hosts by moments, and the
+verdicts are joined back. A host is strict if its shrunk rate of base failures
+is over a half, or if its rate of failures of any rule, base or stricter, is
+surely (by two deviations of its posterior) over twice the prior's mean, or
+over a half where that is less. On a strict host a document must also pass the
+stricter rules; elsewhere the base rules alone decide. So a clean document is
+kept wherever it comes from.
 
 Null or empty texts have no words and fail the base. A null host is a host of
 its own. Repeated rows count and are judged one by one. Extra columns pass
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +29,10 @@ from .spans import MUL_A, SPACE, U64, Texts, chunks_of, mix, owners, per_text, w
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
-#: A host is strict where its shrunk failure rate is over this.
+#: A host is strict where its shrunk rate of base failures is over this.
 STRICT_HOST_RATE = 0.5
+#: Or where its rate of any failures, less so many deviations, is over so many times the prior's mean (or the rate above).
+STRICT_DEVIATIONS, STRICT_TIMES_MEAN = 2.0, 2.0
 #: The stricter rules: symbols a hundred words, repeated lines a hundred words, code points a word.
 STRICT_SYMBOL_PERCENT = 10
 STRICT_LINE_PERCENT = 10
@@ -100,27 +105,39 @@ def _ruled(m) -> dict:
     return {"base_failed": base, "strict_failed": strict}
 
 
+def _shrunk(failed: Column, n: Column, mean: float, spread: float) -> tuple[Column, Column]:
+    """Means and deviations of the hosts' posterior rates under the beta prior of a mean and variance."""
+    strength = mean * (1 - mean) / spread - 1 if spread > 0 else float("inf")
+    if strength == float("inf"):
+        return F.lit(float(mean)), F.lit(0.0)
+    held = max(strength, 0.0)
+    rate = (failed + F.lit(held * mean)) / (n + F.lit(held)) if strength >= 0 else (failed / n).cast("double")
+    return rate, F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (n + F.lit(held + 1)))
+
+
 def host_verdicts(failures: DataFrame) -> DataFrame:
-    """One row per host of ``failures(host, base_failed)``: documents, failures, shrunk rate, strict.
+    """One row per host of ``failures(host, base_failed, strict_failed)``: documents, failures, shrunk rate of base failures, strict.
 
-    The prior is the beta distribution whose mean and variance are those of
+    A prior is the beta distribution whose mean and variance are those of
     the hosts' raw rates (each host one vote); without spread among hosts all
     shrink fully to the mean. Hosts are counted with partial sums, so a host
     with a third of all rows costs no single task.
     """
+    number = lambda failed: F.sum(failed.cast("long"))
     hosts = written(
-        failures.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")),
+        failures.groupBy("host").agg(
+            F.count(F.lit(1)).alias("host_docs"), number(F.col("base_failed")).alias("host_failed"),
+            number(F.col("base_failed") | F.col("strict_failed")).alias("host_any_failed")),
         "hosts",
     )
-    rate = F.col("host_failed") / F.col("host_docs")
-    got = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()  # one row
-    mean, spread = got["m"] or 0.0, got["v"] or 0.0
-    strength = mean * (1 - mean) / spread - 1 if spread > 0 else float("inf")
-    if strength == float("inf") or strength < 0:
-        shrunk = F.lit(float(mean)) if strength > 0 else rate.cast("double")
-    else:
-        shrunk = (F.col("host_failed") + F.lit(strength * mean)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_strict", F.col("host_rate") > STRICT_HOST_RATE)
+    n = F.col("host_docs")
+    rates = {c: F.col(c) / n for c in ("host_failed", "host_any_failed")}
+    got = hosts.agg(*(f(r).alias(f"{k}_{c}") for c, r in rates.items() for k, f in (("m", F.avg), ("v", F.var_pop)))).first()  # one row
+    prior = {c: (got[f"m_{c}"] or 0.0, got[f"v_{c}"] or 0.0) for c in rates}
+    base, _ = _shrunk(F.col("host_failed"), n, *prior["host_failed"])
+    every, deviation = _shrunk(F.col("host_any_failed"), n, *prior["host_any_failed"])
+    most = min(STRICT_HOST_RATE, STRICT_TIMES_MEAN * prior["host_any_failed"][0])
+    return hosts.withColumn("host_rate", base).withColumn("host_strict", (F.col("host_rate") > STRICT_HOST_RATE) | (every - STRICT_DEVIATIONS * deviation > most))
 
 
 def judge_documents(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -146,8 +163,10 @@ def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    seen = docs.select(F.col(f"`{host}`").alias("host"), measures("text").alias("m"))
-    verdicts = host_verdicts(seen.select("host", _ruled(lambda c: F.col(f"m.{c}"))["base_failed"].alias("base_failed")))
+    seen = docs.select(F.col(f"`{host}`").alias("host"), measures.asNondeterministic()("text").alias("m"))
+    # Measured once: each rule alone would evaluate the measures anew.
+    seen = seen.select("host", *(v.alias(k) for k, v in _ruled(lambda c: F.col(f"m.{c}")).items()))
+    verdicts = host_verdicts(seen)
     strict = verdicts.filter("host_strict").select(F.col("host").alias("__strict_host"))
     # Not deterministic for the planner: else filters would be pushed down with a second evaluation each.
     rows = docs.withColumn("__measures", measures.asNondeterministic()("text"))

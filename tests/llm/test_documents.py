@@ -96,6 +96,21 @@ def test_quality_rules(spark):
     assert quality_rules.judge_documents(df.limit(0)).count() == 0 and quality_rules.keep_documents(df.limit(0)).count() == 0
 
 
+def test_quality_rules_count_all_failures_by_host(spark):
+    """A host of symbol spam, or of more than its share, is strict though its pages pass the base; clean pages and other hosts' pages stay."""
+    good = " ".join(f"word{k}" for k in range(30))
+    spam = good + " ### $$$ *** ### $$$"
+    rows = [(100 * h + k, spam if k < 3 else good, "en", f"h{h}", 1) for h in range(8) for k in range(60)]
+    rows += [(1000 + k, spam if k < 150 else good, "en", "hot", 1) for k in range(152)]
+    rows += [(2000 + k, spam if k < 180 else good, "en", "much", 1) for k in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {r[0] for r in rows if r[0] < 1000 or r[1] == good}
+    assert {r["doc_id"] for r in quality_rules.judge_documents(df).filter("kept").collect()} == want
+    assert {r["doc_id"] for r in quality_rules.keep_documents(df).collect()} == want
+    alone = df.filter("source = 'hot'")
+    assert {r["doc_id"] for r in quality_rules.keep_documents(alone).collect()} == {1150, 1151}
+
+
 def test_quality_measures_equal_brute_force():
     rng = random.Random(2)
     texts = ["\n".join(" ".join(rng.choice(["a", "é##", "b|", "cc", "a"]) for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(0, 12))) for _ in range(300)] + ["", "\n\n", "x"]
