@@ -3,7 +3,8 @@
 Base kinds are patterns (assignments, access keys, hex strings). The method
 adds candidate strings: runs of the characters of keys, classed as hex,
 letters-and-digits or base64, whose Shannon entropy in some sliding window is
-over the class's threshold. The window's counts move by one character in and
+over the class's threshold; strings of letters or of digits alone are held to
+the threshold of the class they fall in, as any other. The window's counts move by one character in and
 one out, so a string of n characters takes n steps however wide the window.
 Candidates that match the allow-list are suppressed; base matches never are.
 
@@ -79,10 +80,8 @@ def window_bits(string: Column) -> Column:
 
 def _suspect(place: Column) -> Column:
     string = place["found"]
-    letters, digits = F.regexp_count(string, F.lit("[A-Za-z]")), F.regexp_count(string, F.lit("[0-9]"))
     most = F.when(string.rlike("^[0-9A-Fa-f]+$"), HEX_BITS).when(string.rlike("^[A-Za-z0-9]+$"), ALNUM_BITS).otherwise(BASE64_BITS)
-    plain = (letters >= 2) & (digits >= 2) & ~string.rlike(ALLOWED)
-    return F.when(plain, window_bits(string) > most).otherwise(False)
+    return F.when(~string.rlike(ALLOWED), window_bits(string) > most).otherwise(False)
 
 
 def _listed(spans: Column) -> Column:

@@ -306,6 +306,17 @@ def test_secret_scan(spark):
     assert red[len(texts) - 1] == "q" * 20000 + " [secret]" and red[300] is None and red[301] == ""
 
 
+def test_secret_scan_needs_no_digits_or_letters(spark):
+    """Entropy decides alone: keys of letters, of few digits and of digits are found and redacted, long words aren't."""
+    found = ["qZvXkTbWmYcJrLpHsGdNfQ", "hWqzVbnJtRkXcPydMgLsFu7", "QmVx/RtLp+KzYwBnHs/JdTcGf", "90817263549081726354"]
+    plain = ["thanbleshaningtionnt", "keitstlichschenverpf", "internationalizations", "11111111112222222222", "-" * 30, "exampleZvXkTbWmYcJrLpHsGdNfQ"]
+    df = spark.createDataFrame([(k, f"see {s} here") for k, s in enumerate(found + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(df).collect()}
+    assert got == {k: f"entropy:4:{4 + len(s)}" if s in found else "" for k, s in enumerate(found + plain)}
+    red = {r["doc_id"]: r["text"] for r in secret_scan.redact_documents(df).collect()}
+    assert red == {k: "see [secret] here" if s in found else f"see {s} here" for k, s in enumerate(found + plain)}
+
+
 def test_window_entropy(spark):
     rng = random.Random(12)
     strings = ["".join(rng.choice("ab1/" if k % 2 else secret_scan.ALPHABET) for _ in range(rng.randrange(20, 60))) for k in range(60)]
