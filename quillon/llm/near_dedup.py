@@ -10,9 +10,11 @@ How groups of any size stay cheap and whole:
 * documents with equal sets are one class from the start, by partial aggregation;
 * in each band bucket every class is compared with the bucket's first class
   alone, a star that joins most near copies in linear work;
-* what such stars leave apart is compared within the bucket in blocks of
-  bounded size, dealt over tasks: signatures first, then full sets, and each
-  block gives only a forest of confirmed links;
+* of what such stars leave apart, groups of a few are compared pair by pair; a
+  larger group gets a second star around the member that shares most with
+  others, and what that leaves apart can only link if it shares some of its
+  rarest differences from that member: such parts are the next groups, by an
+  exact bound (see ``_shared_differences``), until none is apart;
 * components are found by star contraction in the cluster.
 
 The chance that no band proposes a pair at exactly the threshold is
@@ -44,7 +46,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Signature agreement under which a pair isn't confirmed: over five standard deviations below the threshold.
 LEAST_AGREEMENT = 0.65
-BLOCK = 128
+#: Groups up to this are compared pair by pair; after so many levels of larger ones, whatever is left is.
+BLOCK, MAX_LEVELS = 16, 4
 
 _WORD = ~SPACE
 U32 = np.uint32
@@ -199,31 +202,23 @@ def confirmed(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_())
 
 
-def _forest(group: pa.Table) -> pa.Table:
-    """Confirmed links between the members of one block or pair of blocks, a forest of them."""
-    ids, labels, sides = (group.column(c).to_numpy() for c in ("cid", "label", "side"))
-    two = len(np.unique(sides)) > 1
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-    low = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    left, right = [], []
-    for i in range(len(ids)):
-        close = agreement((low[i + 1 :] == low[i]).sum(1)) >= LEAST_AGREEMENT
-        for j in np.flatnonzero(close & (labels[i + 1 :] != labels[i])) + i + 1:
-            if two and sides[i] == sides[j]:
-                continue
-            x, y = root(int(labels[i])), root(int(labels[j]))
-            if x != y and linked(sets[i], sets[j]):
-                parent[x] = y
-                left.append(ids[i])
-                right.append(ids[j])
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+_DIFFERENCE = T.StructType([T.StructField("size", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+#: Told apart from the shingle itself: that a set lacks it.
+_LACKS = U64(0x5851F42D4C957F2D)
+
+
+@F.arrow_udf(_DIFFERENCE)
+def differences(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Size of the first set, and one token for each shingle that it has and the second lacks, or the other way."""
+    sizes, tokens = [], []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+        sizes.append(len(x))
+        tokens.append(np.concatenate([more, mix(less ^ _LACKS)]).view(np.int64))
+    at = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
+    flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], names=_DIFFERENCE.names)
 
 
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -252,32 +247,87 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS)
     buckets = written(buckets.filter("leader <> last"), "dedup-buckets")
     members = written(keyed.join(buckets.select("key", "leader", "size"), "key"), "dedup-members")
 
-    pairs = members.filter("cid <> leader").select("cid", "leader").distinct()
     low = classes.select("cid", "sketch")
-    pairs = pairs.join(low, "cid").withColumnRenamed("sketch", "one").join(low.select(F.col("cid").alias("leader"), F.col("sketch").alias("two")), "leader")
-    pairs = written(pairs.filter(agree("one", "two")).select("cid", "leader"), "dedup-stars")
-    wanted = pairs.select("cid").union(pairs.select("leader")).distinct()
-    sets = _sets(docs, classes, wanted, size)
-    full = pairs.join(sets.withColumnRenamed("shingles", "one"), "cid").join(sets.select(F.col("cid").alias("leader"), F.col("shingles").alias("two")), "leader")
-    links = written(full.filter(confirmed("one", "two")).select(F.col("cid").alias("a"), F.col("leader").alias("b")), "dedup-links")
-    stars = written(connected_components(links), "dedup-components")
+    pairs = members.filter("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
+    close = _close(pairs, low)
+    sets = _sets(docs, classes, close.select(F.col("a").alias("cid")).union(close.select("b")).distinct(), size)
+    labels = written(connected_components(_confirmed(close, sets)), "dedup-components")
 
     # Buckets whose members, the first aside, are still apart: their other pairs haven't been compared.
-    others = members.filter("size > 2 AND cid <> leader").join(stars.withColumnRenamed("node", "cid"), "cid", "left")
-    others = others.withColumn("label", F.coalesce("label", "cid"))
-    apart = others.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
-    apart = apart.filter("low <> high").groupBy("n", "print").agg(F.min("key").alias("key"))  # bands often repeat a bucket
-    apart = written(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "dedup-apart")
-    rest = others.join(apart, "key").select("key", "cid", "label", "blocks").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rest = written(rest, "dedup-rest")
-    more = _sets(docs, classes, rest.select("cid").distinct(), size)
-    ready = rest.join(low, "cid").join(more, "cid")
-    meets = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) AS x, greatest(o, block) AS y))")
-    dealt = ready.select("key", "cid", "label", "sketch", "shingles", F.col("block").alias("side"), F.explode(meets).alias("m")).select("*", "m.x", "m.y")
-    found = dealt.groupBy("key", "x", "y").applyInArrow(_forest, "a long, b long")
-    found = written(found.distinct(), "dedup-more")
-    return connected_components(stars.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
+    groups = members.filter("size > 2 AND cid <> leader").select("key", "cid", F.lit(1).alias("short"))
+    sets = None
+    for level in range(MAX_LEVELS + 1):
+        rest = _apart(groups, labels)
+        if not rest.limit(1).count():
+            break
+        sets = sets or _sets(docs, classes, rest.select("cid").distinct(), size)
+        few = F.lit(True) if level == MAX_LEVELS else F.col("n") <= BLOCK
+        one, two = rest.filter(few).select("key", F.col("cid").alias("a"), F.col("label").alias("la")), rest.filter(few).select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
+        pairs = one.join(two, "key").filter("a < b AND la <> lb").select("a", "b").distinct()
+        many = rest.filter(~few)
+        weight = many.groupBy("cid").agg(F.sum("n").alias("weight"))  # who shares most with others is the likeliest to link with them
+        pivots = many.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid", "label")).alias("p"))
+        many = many.join(pivots.select("key", F.col("p.cid").alias("pivot"), F.col("p.label").alias("of_pivot")), "key").filter("cid <> pivot")
+        many = written(many.select("key", "cid", "pivot", "label", "of_pivot"), "dedup-pivots")
+        pairs = pairs.union(many.filter("label <> of_pivot").select("cid", "pivot")).distinct()
+        links = _confirmed(_close(pairs, low), sets)
+        labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "dedup-components")
+        if level == MAX_LEVELS:
+            break
+        left = _apart(many.select("key", "cid", F.lit(1).alias("short")), labels)
+        groups = _shared_differences(left.join(many.select("key", "cid", "pivot"), ["key", "cid"]).select("pivot", "cid").distinct(), sets)
+    return labels
+
+
+def _close(pairs: DataFrame, low: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree often enough."""
+    both = pairs.join(low.select(F.col("cid").alias("a"), F.col("sketch").alias("one")), "a").join(low.select(F.col("cid").alias("b"), F.col("sketch").alias("two")), "b")
+    return written(both.filter(agree("one", "two")).select("a", "b"), "dedup-close")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("two")), "b")
+    return written(both.filter(confirmed("one", "two")).select("a", "b"), "dedup-links")
+
+
+def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cid, label, n) of the groups (key, cid, short) that have several labels and a short list; of equal groups, one."""
+    named = groups.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = written(named, "dedup-named")
+    apart = named.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("short"),
+        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
+    apart = apart.filter("low <> high AND short = 1").groupBy("n", "print").agg(F.min("key").alias("key"))  # bands often repeat a bucket
+    return written(named.join(apart.select("key", "n"), "key").select("key", "cid", "label", "n"), "dedup-apart")
+
+
+def _shared_differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups (key, cid, short) of the members (pivot, cid) that share one of their rarest differences from the pivot.
+
+    Let X and Y be the differences of the sets x and y from the pivot's set,
+    |X| <= |Y|. If x and y link, they differ in at most (|x| + |y|) / 9
+    shingles, so X and Y have at least (|X| + |Y| - (|x| + |y|) / 9) / 2 in
+    common, which is over 0 unless both link with the pivot. In an order that
+    all members share, rare ones first, the first |X| and |Y| less so many, plus
+    one, then meet: a short list of (|x| + |y|) / 18 + 1 of X with a long list
+    of (|x| + |y|) / 9 + 1 of Y. The other's size is at most 5/4 of a set's own
+    and the largest of the group. Differences that only one member has meet
+    nothing and are left out of the lists, but not out of the count.
+    """
+    both = groups.join(sets, "cid").join(sets.select(F.col("cid").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
+    rows = both.select("pivot", "cid", differences.asNondeterministic()("shingles", "of_pivot").alias("d")).select("pivot", "cid", "d.*")
+    rows = written(rows, "dedup-differences")
+    most = rows.groupBy("pivot").agg(F.max("size").alias("most"))
+    tokens = rows.select("pivot", "cid", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = tokens.join(common, ["pivot", "token"]).groupBy("pivot", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
+    listed = held.join(rows.select("pivot", "cid", "size", F.size("tokens").alias("d")), ["pivot", "cid"]).join(most, "pivot")
+    sizes = F.col("size") + F.least(F.floor(F.col("size") * 5 / 4), F.col("most"))
+    alone = F.col("d") - F.size("held")
+    cut = listed.select("pivot", "cid", "held", (F.floor(sizes / 18) + 1 - alone).cast("int").alias("short"), (F.floor(sizes / 9) + 1 - alone).cast("int").alias("long"))
+    spots = cut.filter("long > 0").select("pivot", "cid", "short", F.posexplode(F.slice("held", 1, F.col("long"))).alias("at", "t"))
+    return written(spots.select(F.xxhash64("pivot", "t.token").alias("key"), "cid", (F.col("at") < F.col("short")).cast("int").alias("short")), "dedup-shared")
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:

@@ -74,6 +74,55 @@ def test_near_dedup_blocks_keep_links(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def links_by_brute_force(texts, size=4):
+    """Smallest place reachable from each text, by all pairs."""
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in map(str.split, texts)]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if label[a] != label[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("levels", [0, 1, 4])
+def test_near_dedup_of_a_large_group_mostly_unlike(spark, monkeypatch, levels):
+    """Edited copies of one text, most of them less alike than the threshold, some alike among themselves alone: no link is lost on any level."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "MAX_LEVELS", levels)
+    rng = random.Random(12)
+    base = make(rng, 150, 10**6).split()
+    texts = []
+    for k in range(450):
+        w = list(base)
+        for _ in range(rng.randrange(2, 14)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        if k % 9 == 0:  # families that lack the same part, of lengths of their own
+            w = w[: 90 + k % 20]
+        if k % 50 == 3:  # a further copy of a far one
+            w = texts[-1].split() + ["more"]
+        texts.append(" ".join(w))
+    want = links_by_brute_force(texts)
+    got = near_dedup.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+    assert len(set(want)) > 100
+
+
+def test_near_dedup_of_long_texts(spark):
+    rng = random.Random(13)
+    base = [make(rng, 12000, 10**6) for _ in range(2)]
+    texts = []
+    for k in range(24):
+        w = base[k % 2].split()
+        for j in rng.sample(range(len(w)), rng.randrange(0, 900)):
+            w[j] = f"n{j}k{k}"
+        texts.append(" ".join(w))
+    got = near_dedup.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(links_by_brute_force(texts)))
+
+
 def test_near_dedup_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near_dedup.link_documents(empty).count() == 0
