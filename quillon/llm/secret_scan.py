@@ -10,7 +10,9 @@ Candidates that match the allow-list are suppressed; base matches never are.
 
 Positions are code points. A null text is empty and has no secrets. Repeated
 rows are scanned one by one, extra columns pass ``redact_documents`` untouched.
-Texts are scanned whole.
+An empty table gives no rows. Spans of several kinds that start together are
+listed in the order of the kinds; where spans overlap, one mark stands for all.
+Texts are scanned whole, in time that grows with their length and matches.
 """
 
 from __future__ import annotations
@@ -34,27 +36,60 @@ HEX_BITS, ALNUM_BITS, BASE64_BITS = 2.951, 3.653, 3.753
 #: Candidates that are no secrets: identifiers of the UUID form, and placeholders.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|dummy|placeholder|changeme|xxxx|your[_-]"
 
-_SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: Running values are taken in two levels, chunks and items of a chunk, as each array appended to is copied.
+CHUNK = 512
+
+_SPAN = "array<struct<start:int,kind:int,stop:int,first:int,after:int>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(items: Column, start: Column, add) -> Column:
+    """For each item what ``add`` makes of those before it; associative, and ``start`` changes nothing."""
+
+    def scan(some: Column, first: Column) -> Column:
+        empty = F.filter(F.array(start), lambda x: F.lit(False))
+        step = lambda held, x: F.struct(add(held["at"], x).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out"))
+        return F.aggregate(some, F.struct(first.alias("at"), empty.alias("out")), step, lambda held: held["out"])
+
+    count = F.floor((F.size(items) + CHUNK - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+    split = lambda parts: F.flatten(F.zip_with(parts, scan(F.transform(parts, lambda some: F.aggregate(some, start, add)), start), scan))
+    return F.when(F.size(items) > 0, _let(chunks, split)).otherwise(F.filter(F.array(start), lambda x: F.lit(False)))
+
+
+def _pair(chars: Column, octets: Column) -> Column:
+    return F.struct(chars.cast("int").alias("chars"), octets.cast("int").alias("octets"))
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """(s, e, found) of the leftmost matches that don't overlap; matches are few, so the text is split only if there are any."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,found:string>>").alias("out"))
+    """(s, e, first, after, found) of the leftmost matches that don't overlap, in code points and bytes; the text is split only if there are any."""
+    none = F.array().cast("array<struct<s:int,e:int,first:int,after:int,found:string>>")
 
-    def step(held: Column, pair: Column) -> Column:
-        s = held["at"] + F.length(pair["piece"])
-        e = s + F.length(pair["match"])
-        return F.struct(e.alias("at"), F.concat(held["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["match"].alias("found")))).alias("out"))
+    def place(before: Column, pair: Column) -> Column:
+        s, first = before["chars"] + F.length(pair["piece"]), before["octets"] + F.octet_length(pair["piece"])
+        return F.struct(s.alias("s"), (s + F.length(pair["match"])).alias("e"), first.alias("first"), (first + F.octet_length(pair["match"])).alias("after"), pair["match"].alias("found"))
+
+    def sized(pair: Column) -> Column:
+        return _pair(F.length(pair["piece"]) + F.length(pair["match"]), F.octet_length(pair["piece"]) + F.octet_length(pair["match"]))
+
+    def located(pairs: Column) -> Column:
+        ahead = _running(F.transform(pairs, sized), _pair(F.lit(0), F.lit(0)), lambda a, b: _pair(a["chars"] + b["chars"], a["octets"] + b["octets"]))
+        return F.zip_with(ahead, pairs, place)
 
-    pairs = F.filter(F.arrays_zip(pieces.alias("piece"), found.alias("match")), lambda p: p["match"].isNotNull())
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda held: held["out"])).otherwise(start["out"])
+    def matched(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")))
+        return F.when(F.size(found) > 0, _let(pairs, located)).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), matched)
 
 
 def _spans(places: Column, kind: int, wanted=None) -> Column:
     kept = F.filter(places, wanted) if wanted else places
-    return F.transform(kept, lambda p: F.struct(p["s"].alias("start"), F.lit(kind).alias("kind"), p["e"].alias("stop"))).cast(_SPAN)
+    return F.transform(kept, lambda p: F.struct(p["s"].alias("start"), F.lit(kind).alias("kind"), p["e"].alias("stop"), p["first"].alias("first"), p["after"].alias("after"))).cast(_SPAN)
 
 
 def window_bits(string: Column) -> Column:
@@ -90,7 +125,7 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns __base and __all, arrays of (start, kind, stop) in order of start and kind."""
+    """``docs`` with columns __base and __all, arrays of (start, kind, stop, and both in bytes) in order of start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = _spans(_places(text, ASSIGN), 0, lambda p: F.length(F.regexp_extract(p["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(assign, _spans(_places(text, ACCESS), 1), _spans(_places(text, HEX), 2))
@@ -108,17 +143,23 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts replaced by a mark and n_chars (if there is one) as the text then has."""
     names = docs.columns
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(held: Column, span: Column) -> Column:
-        gap = F.concat(held["out"], F.col("text").substr(held["at"] + 1, span["start"] - held["at"]), F.lit(mark))
-        return F.struct(
-            F.when(span["start"] >= held["at"], gap).otherwise(held["out"]).alias("out"),
-            F.greatest(held["at"], span["stop"]).alias("at"))
+    def redacted(body: Column, spans: Column) -> Column:
+        ends = F.transform(spans, lambda x: x["after"])
+        covered = _running(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+
+        def piece(span: Column, at: Column) -> Column:
+            gap = F.substring(body, at + 1, span["first"] - at).cast("string")
+            return F.when(span["first"] >= at, F.concat(gap, F.lit(mark))).otherwise("")
+
+        last = F.array_max(ends)
+        tail = F.substring(body, last + 1, F.octet_length(body) - last).cast("string")
+        return F.array_join(F.concat(F.zip_with(spans, covered, piece), F.array(tail)), "")
 
-    tail = lambda held: F.concat(held["out"], F.col("text").substr(held["at"] + 1, F.length("text")))
     rows = scan(docs)
-    rows = rows.withColumn("text", F.when(F.size("__all") > 0, F.aggregate("__all", start, step, tail)).otherwise(F.col("text")))
+    # Bytes are cut at an offset; characters would be counted from the text's beginning for every span.
+    cut = _let(F.col("text").cast("binary"), lambda body: _let(F.col("__all"), lambda spans: redacted(body, spans)))
+    rows = rows.withColumn("text", F.when(F.size("__all") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*(F.col(f"`{c}`") for c in names))
