@@ -289,6 +289,59 @@ def test_decontamination_finds_short_and_common_copies(spark, share):
     assert got == want
 
 
+def test_decontamination_takes_items_in_blocks(spark, monkeypatch):
+    """Blocks of a few items find what one block finds; items without an id or with a common one, repeated rows and long texts are searched too."""
+    rng = random.Random(6)
+    items = [(None if k % 10 == 0 else k % 25, make(rng, 20 + k, 10**6)) for k in range(50)]
+    rows = [(k, make(rng, 40, 10**6) + " " + t + " " + make(rng, 30, 10**6)) for k, (_, t) in enumerate(items)]
+    rows += [(100, make(rng, 60000, 10**6) + " " + items[7][1] + " " + make(rng, 60000, 10**6)), *rows[:3]]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    places = decontaminate.fit_blocks(docs, benchmark)
+    found = lambda p: sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, p).collect()), key=str)
+    want = sorted([(k, i) for k, (i, _) in enumerate(items)] + [(100, items[7][0])] + [(k, items[k][0]) for k in range(3)], key=str)
+    assert len(places) == 1 and found(places) == want
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", 12)
+    few = decontaminate.fit_blocks(docs, benchmark)
+    assert len(few) == 5 and found(few) == want
+
+
+def test_latent_space_finds_paraphrases(spark, monkeypatch):
+    """Words that the corpus uses for one another fall together: the latent candidates hold at least 0.9 of the paraphrases, those of TF-IDF by brute force far fewer.
+
+    The space has far fewer dimensions than passages; the cosines are held against numpy's own SVD.
+    """
+    monkeypatch.setattr(decontaminate, "MAX_RANK", 60)
+    rng = random.Random(21)
+    topics, per = 40, 40  # words of a topic stand for one another
+    word = lambda t, j: f"t{t}w{j}x"
+    say = lambda ts: " ".join(word(t, rng.randrange(per)) for t in ts)
+    corpus = [(k, " ".join(say([rng.randrange(topics)] * 32) for _ in range(6))) for k in range(300)]
+    themes = [[rng.randrange(topics) for _ in range(3)] for _ in range(120)]
+    items = [(k, say([th[j % 3] for j in range(30)])) for k, th in enumerate(themes)]
+    told = [(1000 + k, say([th[j % 3] for j in range(32)])) for k, th in enumerate(themes)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    place, = decontaminate.fit_blocks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    block = decontaminate.Block(place)
+    assert block.space.shape[1] == 60 < len(block.images) and len(block.images) == 120
+    h, bounds = decontaminate._words(pa.array([t for _, t in told]))
+    weight, at = block.idf[decontaminate.cell(h)], block.vocabulary.find(h)
+    latent = np.concatenate([c for _, c in block._cosines(h, weight, at, bounds[:-1], bounds[1:], np.arange(len(told)))])
+    own = lambda c: np.mean([c[k, k] >= decontaminate.LEAST_COSINE for k in range(len(told))])
+    g, edges = decontaminate._words(pa.array([t for _, t in items]))
+    part = lambda h, b: decontaminate._matrix([h[x:y].view(np.int64) for x, y in zip(b[:-1], b[1:])], block.idf, block.vocabulary, len(block.space))
+    plain = part(h, bounds) @ part(g, edges).T
+    print(f"recall of paraphrases: latent {own(latent):.3f}, TF-IDF {own(plain):.3f}")
+    assert own(latent) >= 0.9 and own(plain) < 0.5
+    assert np.mean(latent >= decontaminate.LEAST_COSINE) < 0.25  # other items stay apart
+    # The space is that of a dense SVD of the same matrix.
+    hc, bc = decontaminate._words(pa.array([t for _, t in corpus]))
+    windows = [hc[x + a : x + z].view(np.int64) for x, y in zip(bc[:-1], bc[1:]) for a, z in decontaminate.cuts(int(y - x))]
+    dense = decontaminate._matrix([*windows, *(g[x:y].view(np.int64) for x, y in zip(edges[:-1], edges[1:]))], block.idf, block.vocabulary, len(block.space))
+    exact = np.linalg.svd(dense, full_matrices=False)
+    energy = np.linalg.norm(dense @ block.space) ** 2
+    assert energy >= 0.95 * np.sum(exact[1][:60] ** 2)
+
+
 def test_decontamination_skips_no_window_that_can_reach_the_cosine():
     """Words that repeat in a window weigh more than their occurrences; the example is four times one item word among seven rarer words."""
     rng = np.random.default_rng(3)
