@@ -1,8 +1,9 @@
 """Session and storage helpers shared by iterative and file-writing operators.
 
 Anything that must outlive a stage goes to the folder the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
-folder of our own made and set.
+``spark.checkpoint.dir``; only where that is unset and the master is local
+(tests, a laptop) is a folder of our own made and set. On a cluster without it
+the work stops: executors couldn't read each other's tables.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm.get() if jvm.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -55,6 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame, target: int = 64 << 20) -> int:
+    """Partitions for files of about ``target`` bytes by the planner's estimate of ``df``; the cluster's own number at least."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-size // target)) if size < 1 << 50 else least  # the planner's word for a size that it doesn't know is larger
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder through the file system that holds it."""
     jvm = spark.sparkContext._jvm
