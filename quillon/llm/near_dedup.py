@@ -13,8 +13,7 @@ How groups of any size stay cheap and whole:
 * of what such stars leave apart, groups of a few are compared pair by pair; a
   larger group gets a second star around the member that shares most with
   others, and what that leaves apart can only link if it shares some of its
-  rarest differences from that member: such parts are the next groups, by an
-  exact bound (see ``_shared_differences``), until none is apart;
+  rarest differences from that member, by an exact bound (see ``_candidates``);
 * components are found by star contraction in the cluster.
 
 The chance that no band proposes a pair at exactly the threshold is
@@ -46,8 +45,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Signature agreement under which a pair isn't confirmed: over five standard deviations below the threshold.
 LEAST_AGREEMENT = 0.65
-#: Groups up to this are compared pair by pair; after so many levels of larger ones, whatever is left is.
-BLOCK, MAX_LEVELS = 16, 4
+#: Groups up to this are compared pair by pair; larger ones by their differences from one member.
+BLOCK = 16
 
 _WORD = ~SPACE
 U32 = np.uint32
@@ -202,23 +201,26 @@ def confirmed(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_())
 
 
-_DIFFERENCE = T.StructType([T.StructField("size", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+_DIFFERENCE = T.StructType([
+    T.StructField("size", T.LongType()), T.StructField("of_pivot", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 #: Told apart from the shingle itself: that a set lacks it.
 _LACKS = U64(0x5851F42D4C957F2D)
 
 
 @F.arrow_udf(_DIFFERENCE)
 def differences(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Size of the first set, and one token for each shingle that it has and the second lacks, or the other way."""
-    sizes, tokens = [], []
+    """Sizes of two sets, whether they link, and one token for each shingle that the first has and the second lacks, or the other way."""
+    sizes, others, links, tokens = [], [], [], []
     for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
         sizes.append(len(x))
+        others.append(len(y))
+        links.append(linked(x, y))
         tokens.append(np.concatenate([more, mix(less ^ _LACKS)]).view(np.int64))
     at = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
     flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-    return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], names=_DIFFERENCE.names)
+    return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(others, pa.int64()), pa.array(links, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), flat)], names=_DIFFERENCE.names)
 
 
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -254,29 +256,23 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS)
     labels = written(connected_components(_confirmed(close, sets)), "dedup-components")
 
     # Buckets whose members, the first aside, are still apart: their other pairs haven't been compared.
-    groups = members.filter("size > 2 AND cid <> leader").select("key", "cid", F.lit(1).alias("short"))
-    sets = None
-    for level in range(MAX_LEVELS + 1):
-        rest = _apart(groups, labels)
-        if not rest.limit(1).count():
-            break
-        sets = sets or _sets(docs, classes, rest.select("cid").distinct(), size)
-        few = F.lit(True) if level == MAX_LEVELS else F.col("n") <= BLOCK
-        one, two = rest.filter(few).select("key", F.col("cid").alias("a"), F.col("label").alias("la")), rest.filter(few).select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
-        pairs = one.join(two, "key").filter("a < b AND la <> lb").select("a", "b").distinct()
-        many = rest.filter(~few)
-        weight = many.groupBy("cid").agg(F.sum("n").alias("weight"))  # who shares most with others is the likeliest to link with them
-        pivots = many.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid", "label")).alias("p"))
-        many = many.join(pivots.select("key", F.col("p.cid").alias("pivot"), F.col("p.label").alias("of_pivot")), "key").filter("cid <> pivot")
-        many = written(many.select("key", "cid", "pivot", "label", "of_pivot"), "dedup-pivots")
-        pairs = pairs.union(many.filter("label <> of_pivot").select("cid", "pivot")).distinct()
-        links = _confirmed(_close(pairs, low), sets)
-        labels = written(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links)), "dedup-components")
-        if level == MAX_LEVELS:
-            break
-        left = _apart(many.select("key", "cid", F.lit(1).alias("short")), labels)
-        groups = _shared_differences(left.join(many.select("key", "cid", "pivot"), ["key", "cid"]).select("pivot", "cid").distinct(), sets)
-    return labels
+    rest = _apart(members.filter("size > 2 AND cid <> leader").select("key", "cid"), labels)
+    if not rest.limit(1).count():
+        return labels
+    sets = _sets(docs, classes, rest.select("cid").distinct(), size)
+    few = rest.filter(F.col("n") <= BLOCK)
+    one, two = few.select("key", F.col("cid").alias("a"), F.col("label").alias("la")), few.select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
+    pairs = one.join(two, "key").filter("a < b AND la <> lb").select("a", "b")
+    many = rest.filter(F.col("n") > BLOCK)
+    weight = many.groupBy("cid", "label").agg(F.sum("n").alias("weight"))  # who shares most with others is the likeliest to link with them
+    best = weight.groupBy("label").agg(F.max(F.struct("weight", "cid")).alias("best"))
+    pivots = many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("votes")).join(best, "label").groupBy("key").agg(F.max(F.struct("votes", "best", "label")).alias("p"))
+    around = many.join(pivots.select("key", F.col("p.best.cid").alias("pivot"), F.col("p.label").alias("of_pivot")), "key").filter("cid <> pivot")
+    around = written(around.select("pivot", "cid", "label", "of_pivot").distinct(), "dedup-pivots")
+    pairs = pairs.union(around.filter("label <> of_pivot").select("cid", "pivot")).distinct()
+    labels = _merged(labels, _confirmed(_close(pairs, low), sets))
+    found = _confirmed(_close(_candidates(around.select("pivot", "cid"), labels, sets), low), sets)
+    return _merged(labels, found)
 
 
 def _close(pairs: DataFrame, low: DataFrame) -> DataFrame:
@@ -291,43 +287,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.filter(confirmed("one", "two")).select("a", "b"), "dedup-links")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame, cid: str = "cid") -> DataFrame:
+    """Rows with the label of their class; a class without links is its own."""
+    return rows.join(labels.withColumnRenamed("node", cid), cid, "left").withColumn("label", F.coalesce("label", cid))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links, which are few: components of labels, not of classes."""
+    edges = _labelled(_labelled(links, labels, "a").withColumnRenamed("label", "la"), labels, "b")
+    edges = written(edges.select("a", "b", "la", F.col("label").alias("lb")).filter("la <> lb"), "dedup-merges")
+    if not edges.limit(1).count():
+        return labels
+    parts = written(connected_components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "dedup-components")
+    new = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")), F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("e")).select("e.*")
+    all_ = labels.unionByName(new).distinct().join(parts.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return written(all_.select("node", F.coalesce("to", "label").alias("label")), "dedup-labels")
+
+
 def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, cid, label, n) of the groups (key, cid, short) that have several labels and a short list; of equal groups, one."""
-    named = groups.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = written(named, "dedup-named")
+    """(key, cid, label, n) of the groups (key, cid) with several labels; of equal groups, one."""
+    named = written(_labelled(groups, labels), "dedup-named")
     apart = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("short"),
-        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
-    apart = apart.filter("low <> high AND short = 1").groupBy("n", "print").agg(F.min("key").alias("key"))  # bands often repeat a bucket
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("print"))
+    apart = apart.filter("low <> high").groupBy("n", "print").agg(F.min("key").alias("key"))  # bands often repeat a bucket
     return written(named.join(apart.select("key", "n"), "key").select("key", "cid", "label", "n"), "dedup-apart")
 
 
-def _shared_differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Groups (key, cid, short) of the members (pivot, cid) that share one of their rarest differences from the pivot.
-
-    Let X and Y be the differences of the sets x and y from the pivot's set,
-    |X| <= |Y|. If x and y link, they differ in at most (|x| + |y|) / 9
-    shingles, so X and Y have at least (|X| + |Y| - (|x| + |y|) / 9) / 2 in
-    common, which is over 0 unless both link with the pivot. In an order that
-    all members share, rare ones first, the first |X| and |Y| less so many, plus
-    one, then meet: a short list of (|x| + |y|) / 18 + 1 of X with a long list
-    of (|x| + |y|) / 9 + 1 of Y. The other's size is at most 5/4 of a set's own
-    and the largest of the group. Differences that only one member has meet
-    nothing and are left out of the lists, but not out of the count.
+def _candidates(around: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels, of all members (pivot, cid) of a group, that an exact bound doesn't rule out.
+
+    Let X and Y be the differences of the sets x and y from the pivot's set p.
+    If x and y link, they differ in at most (|x| + |y|) / 9 shingles, so X and Y
+    have at least c = (|X| + |Y| - (|x| + |y|) / 9) / 2 in common, which is over
+    0 unless both link with the pivot and so have one label. Then in an order
+    that all members share, rare differences first, the first |X| - c + 1 of X
+    and |Y| - c + 1 of Y meet. A member that links with the pivot can only meet
+    one that doesn't, so its c is at least (|X| + (|p| - |x|) / 9) / 2; for the
+    others c is at least |X| - (|x| + |y|) / 9. Differences that only one member
+    has meet nothing: they come first and aren't listed. Where a listed
+    difference is met, what follows it in both orders must hold c. Members of
+    one label whose common differences and sizes are equal have equal overlap
+    with all others, so one stands for them.
     """
-    both = groups.join(sets, "cid").join(sets.select(F.col("cid").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
-    rows = both.select("pivot", "cid", differences.asNondeterministic()("shingles", "of_pivot").alias("d")).select("pivot", "cid", "d.*")
-    rows = written(rows, "dedup-differences")
+    named = _labelled(around, labels)
+    apart = named.groupBy("pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("pivot")
+    both = named.join(apart, "pivot").join(sets, "cid").join(sets.select(F.col("cid").alias("pivot"), F.col("shingles").alias("of")), "pivot")
+    rows = both.select("pivot", "cid", "label", differences.asNondeterministic()("shingles", "of").alias("d")).select("pivot", "cid", "label", "d.*")
+    rows = written(rows.withColumn("d", F.size("tokens")), "dedup-differences")
     most = rows.groupBy("pivot").agg(F.max("size").alias("most"))
     tokens = rows.select("pivot", "cid", F.explode("tokens").alias("token"))
     common = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = tokens.join(common, ["pivot", "token"]).groupBy("pivot", "cid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
-    listed = held.join(rows.select("pivot", "cid", "size", F.size("tokens").alias("d")), ["pivot", "cid"]).join(most, "pivot")
-    sizes = F.col("size") + F.least(F.floor(F.col("size") * 5 / 4), F.col("most"))
-    alone = F.col("d") - F.size("held")
-    cut = listed.select("pivot", "cid", "held", (F.floor(sizes / 18) + 1 - alone).cast("int").alias("short"), (F.floor(sizes / 9) + 1 - alone).cast("int").alias("long"))
-    spots = cut.filter("long > 0").select("pivot", "cid", "short", F.posexplode(F.slice("held", 1, F.col("long"))).alias("at", "t"))
-    return written(spots.select(F.xxhash64("pivot", "t.token").alias("key"), "cid", (F.col("at") < F.col("short")).cast("int").alias("short")), "dedup-shared")
+    full = rows.drop("tokens").join(held, ["pivot", "cid"]).join(most, "pivot")
+    one = full.groupBy("pivot", "label", "linked", "size", "of_pivot", "most", "d", "held").agg(F.min("cid").alias("cid")).withColumn("s", F.size("held"))
+    reach = F.floor((F.col("size") + F.least(F.floor(F.col("size") * 5 / 4), F.col("most"))) / 9)
+    least = 9 * F.col("d") + F.col("of_pivot") - F.col("size")  # 18 times the least c with a member that doesn't link with the pivot
+    some = one.filter((18 * F.col("s") >= least) | (~F.col("linked") & (F.col("s") >= F.col("d") - reach)))
+    length = F.when(F.col("linked"), F.floor((18 * F.col("d") - least) / 18)).otherwise(reach) + 1 - (F.col("d") - F.col("s"))
+    some = some.withColumn("length", F.greatest(length, F.lit(0)).cast("int")).filter("length > 0")
+    spots = some.select("pivot", "cid", "label", "linked", "size", "d", "s", F.posexplode(F.slice("held", 1, F.col("length"))).alias("at", "t"))
+    spots = written(spots.withColumn("token", F.col("t.token")).drop("t"), "dedup-spots")
+    x, y = spots.filter("NOT linked").alias("x"), spots.alias("y")
+    col = F.col
+    meets = (
+        (col("x.pivot") == col("y.pivot")) & (col("x.token") == col("y.token")) & (col("x.label") != col("y.label")) & (col("y.linked") | (col("y.cid") < col("x.cid")))
+        & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
+        & (18 * F.least(col("x.s") - col("x.at"), col("y.s") - col("y.at")) >= 9 * (col("x.d") + col("y.d")) - col("x.size") - col("y.size")))
+    return x.join(y, meets).select(col("x.cid").alias("a"), col("y.cid").alias("b")).distinct()
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
