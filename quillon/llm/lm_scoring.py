@@ -283,13 +283,29 @@ def _write_shards(rows: DataFrame, context: Column, tables, name: str) -> list[s
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     folder = new_folder(spark, name)
 
-    def write(group: pa.Table) -> pa.Table:
+    def write(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         uri = f"{folder}/{uuid.uuid4().hex}.table"
-        put_bytes(uri, [_table_bytes(*tables(group))])
-        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "uri": [uri]})
+        put_bytes(uri, [_table_bytes(*tables(pa.Table.from_batches(parts)))])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri])], names=["shard", "uri"])
+
+    def write_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            of = batch.column("shard").to_numpy()
+            heads = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+            for a, b in zip(heads, [*heads[1:], len(of)], strict=True):
+                if of[a] != now and held:
+                    yield write(now, held)
+                    held = []
+                now = int(of[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield write(now, held)
 
     dealt = rows.withColumn("shard", F.pmod(F.pmod(context, F.lit(PRIME)), F.lit(shards)).cast("int"))
-    done = written(dealt.groupBy("shard").applyInArrow(write, "shard int, uri string"), f"{name}-files")
+    # By range, as many parts as shards: by hash, shards would meet in a task.
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard")
+    done = written(dealt.mapInArrow(write_all, "shard int, uri string"), f"{name}-files")
     files = {r["shard"]: r["uri"] for r in done.collect()}  # a row for each shard
     if len(files) < shards:
         empty = f"{folder}/empty.table"
