@@ -88,10 +88,15 @@ def split(t: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Memory:
-    """Ids of pre-tokens by 64-bit hash. Emptied when it has ``most`` entries, so its size is bounded."""
+    """Ids of pre-tokens by 64-bit hash.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, most: int = 1_000_000):
-        self.encode, self.table, self.most = encode, table, most
+    Emptied before the next texts once it has more than ``most`` entries or
+    ``most_ids`` ids, so beside that it holds one piece of texts at most, or the
+    one longer text that is a piece alone, however long its pre-tokens are.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray, most: int = 1_000_000, most_ids: int = 8_000_000):
+        self.encode, self.table, self.most, self.most_ids = encode, table, most, most_ids
         self.clear()
 
     def clear(self) -> None:
@@ -148,7 +153,7 @@ class Memory:
         t = Texts(texts)
         begins, ends, bounds = split(t, self.table)
         keys = t.hashes(begins, ends)
-        if self.count > self.most:
+        if self.count > self.most or self.at[self.count] > self.most_ids:
             self.clear()
         got = self._find(keys)
         missing = np.flatnonzero(got < 0)

@@ -6,7 +6,8 @@ document after another, each closed by the end id. Frames are independent and
 checksummed, an index gives each document's frame, offset and length, and the
 seek table ends the file, so a reader decompresses only the frames it needs.
 The written manifest has one row for each file; where a file's ids begin in the
-whole is the running total over that manifest.
+whole is the running total over that manifest. The number of files follows the
+table's size, so a file and its index stay of one size however large the table.
 
 A null text has the end id alone. A null doc_id comes first and is written
 without a key. Rows that tie on doc_id keep their input order. An empty table
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, new_folder, written
+from .common import bound_batches, documents, new_folder, parts_for, written
 from .pretokens import ALL_CHARACTERS, LETTER, NUMBER, SPACE_CLASS, Memory, class_table
 from .seekable import SeekableReader, write_items
 from .spans import chunks_of
@@ -101,8 +102,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "file": [name], "n_docs": [count], "n_ids": [total]})
 
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
-    ordered = keyed.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
+    ordered = keyed.repartitionByRange(parts_for(docs.select("doc_id", "text")), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "ids-manifest")
 
 
@@ -132,9 +132,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    spark = manifest.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return files.repartition(parts, "file").mapInArrow(read, READ)
+    return files.repartition(max(parts_for(manifest), manifest.count()), "file").mapInArrow(read, READ)
 
 
 def read_document(file: str, doc_id: int) -> list[np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, documents, new_folder, written
+from .common import bound_batches, documents, new_folder, parts_for, written
 from .seekable import SeekableReader, write_items
 
 MIN_REVISIT_BYTES = 0
@@ -140,12 +140,7 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _record_batch(rows)
 
-    return manifest.select("bundle").repartition(_readers(manifest), "bundle").mapInArrow(read, RECORD)
-
-
-def _readers(manifest: DataFrame) -> int:
-    spark = manifest.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return manifest.select("bundle").repartition(max(parts_for(manifest), manifest.count()), "bundle").mapInArrow(read, RECORD)
 
 
 _TYPES = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}

@@ -53,6 +53,18 @@ def test_memory_forgets_and_stays_right():
     assert own.memory.count < 200
 
 
+def test_memory_is_bounded_in_ids():
+    """Pre-tokens as long as their texts are coded right and don't stay."""
+    own = bpe.PieceCodec(bpe.vocabulary())
+    own.memory.most_ids = 1000
+    plain = bpe.PieceCodec(bpe.vocabulary())
+    rows = [chr(97 + k) * 20000 + "qx" * 9000 for k in range(12)] + ["w" * 1_500_000, "short"]
+    for r in rows:
+        assert own.encode(pa.array([r]))[0].tolist() == plain.encode(pa.array([r]))[0].tolist()
+        assert own.memory.at[own.memory.count] <= 1000 + len(r)
+    assert own.memory.count == 1
+
+
 def test_bpe_documents(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(WEIRD)] + [(None, "x"), (1, "twice"), (1, "twice")], "doc_id long, text string")
     rows = bpe.code_documents(docs, bpe.vocabulary()).collect()

@@ -87,11 +87,10 @@ def links_by_brute_force(texts, size=4):
     return label
 
 
-@pytest.mark.parametrize("levels", [0, 1, 4])
-def test_near_dedup_of_a_large_group_mostly_unlike(spark, monkeypatch, levels):
-    """Edited copies of one text, most of them less alike than the threshold, some alike among themselves alone: no link is lost on any level."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "MAX_LEVELS", levels)
+@pytest.mark.parametrize("block", [0, 8, 1000])
+def test_near_dedup_of_a_large_group_mostly_unlike(spark, monkeypatch, block):
+    """Edited copies of one text, most of them less alike than the threshold, some alike among themselves alone: no link is lost, by pairs or by differences."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(12)
     base = make(rng, 150, 10**6).split()
     texts = []
@@ -473,3 +472,19 @@ def test_quality_model_learns_without_the_fold(spark):
     assert 0 <= got[900]["score"] <= 1 and got[900]["score"] == got[901]["score"]
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     assert quality_model.score_documents(docs, known.limit(0)).select("score").distinct().count() == 1
+
+
+def test_quality_model_bounds_repeated_rows(spark, monkeypatch):
+    """Documents and labels that repeat an id multiply; what is learnt from stays within the bound and is the same at each run."""
+    monkeypatch.setattr(quality_model, "MAX_TRAIN", 60)
+    rows = [(k % 30 * 7 + 1, f"{'river stone' if k % 2 else 'buy click'} {k} " * 5) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (None, "river"), (3, "stone " * 30000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 30 * 7 + 1, k % 2) for k in range(600)], "doc_id long, quality int")
+    seen = []
+    real = quality_model.Network.__init__
+    monkeypatch.setattr(quality_model.Network, "__init__", lambda self, x, y: seen.append((x, y)) or real(self, x, y))
+    one = sorted((r["doc_id"] or 0, r["score"]) for r in quality_model.score_documents(docs, labels).collect())
+    two = sorted((r["doc_id"] or 0, r["score"]) for r in quality_model.score_documents(docs.repartition(3), labels.repartition(5)).collect())
+    assert len(one) == 302 and one == pytest.approx(two, rel=1e-3)
+    assert all(len(y) <= 60 for _, y in seen) and (seen[0][1] == seen[1][1]).all()
+    assert quality_model.score_documents(docs.limit(0), labels).count() == 0
