@@ -7,6 +7,9 @@ equi-join. Underscores and letter case match only themselves.
 
 from __future__ import annotations
 
+import builtins
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,17 +69,14 @@ def is_pseudo(name: Column | str) -> Column:
 
 #: Segments that mark accessor chains.
 ACCESSOR_SEGMENTS = ("self", "cursor", "cls", "ctx")
-#: Common built-in functions of Python.
-PYTHON_BUILTINS = (
-    "abs", "all", "any", "bool", "bytes", "callable", "dict", "dir", "enumerate", "filter", "float", "format", "getattr", "hasattr", "hash", "id", "input", "int",
-    "isinstance", "issubclass", "iter", "len", "list", "map", "max", "min", "next", "object", "open", "ord", "pow", "print", "range", "repr", "reversed", "round",
-    "set", "setattr", "slice", "sorted", "str", "sum", "super", "tuple", "type", "vars", "zip",
-)
+#: Names of Python's built-ins and of its standard library's modules, as the interpreter lists them.
+PYTHON_BUILTINS = tuple(sorted(dir(builtins)))
+STDLIB_MODULES = tuple(sorted(sys.stdlib_module_names))
 
 
 def is_accessor_chain(name: Column | str) -> Column:
-    """A segment of accessors, or three segments and more with a middle one of at most two characters."""
-    parts = F.split(_col(name), r"\.")
+    """A segment of accessors in any case, or three segments and more with a middle one of at most two characters."""
+    parts = F.split(F.lower(_col(name)), r"\.")
     middle = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     return F.exists(parts, lambda p: p.isin(*ACCESSOR_SEGMENTS)) | ((F.size(parts) >= 3) & F.exists(middle, lambda p: F.length(p) <= 2))
 
@@ -134,9 +134,20 @@ def snake_case(name: Column | str) -> Column:
     return F.lower(F.regexp_replace(_col(name), "([a-z0-9])([A-Z])", "$1_$2"))
 
 
+#: Words that name no concept, and endings of architecture.
+CONCEPT_SKIP = (
+    "None", "True", "False", "Optional", "List", "Dict", "Any", "Union", "Query", "Get", "Set", "Use", "The", "This", "For", "Return", "Note", "Args", "Returns", "Raises", "Example",
+    "Check", "Call", "Handle", "Active", "Current", "New", "Old", "Data", "Info", "Type")
+CONCEPT_SUFFIXES = ("FSM", "Manager", "Engine", "System", "Controller", "Service", "Handler", "Registry", "Store", "State", "Model")
+CONCEPT_COMPOUND = r"\b([A-Z][a-z]+(?:[A-Z][a-zA-Z0-9]+)+)\b"
+CONCEPT_SUFFIXED = r"\b([A-Za-z][a-zA-Z0-9]*(?:FSM|Manager|Engine|Controller|Service|Handler|Registry|Store))\b"
+
+
 def concepts(text: Column | str) -> Column:
-    """Distinct CamelCase words of at least two humps, in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), F.lit(1)))
+    """Distinct concept names of a text: compound CamelCase words, then words with an ending of architecture."""
+    c = F.coalesce(_col(text), F.lit(""))
+    found = F.concat(F.regexp_extract_all(c, F.lit(CONCEPT_COMPOUND), F.lit(1)), F.regexp_extract_all(c, F.lit(CONCEPT_SUFFIXED), F.lit(1)))
+    return F.filter(F.array_distinct(found), lambda w: ~w.isin(*CONCEPT_SKIP))
 
 
 def prerequisites(text: Column | str) -> Column:
@@ -152,8 +163,8 @@ def named_type(declared: Column | str) -> Column:
 
 
 def concept_base(name: Column | str) -> Column:
-    """A class name without its architectural ending."""
-    return F.regexp_replace(_col(name), "(Engine|Manager|Service|Store|Handler|Factory|Controller|Provider)$", "")
+    """A name without its ending of architecture, if anything else is left."""
+    return F.regexp_replace(_col(name), "^(.+)(" + "|".join(CONCEPT_SUFFIXES) + ")$", "$1")
 
 
 def normalize_url(url: Column | str) -> Column:
@@ -181,9 +192,16 @@ def language(path: Column | str) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(F.regexp_extract(_col(path), r"\.([^./]*)$", 1)))
 
 
+#: Roles of a few names.
+SEMANTIC_ROLES = {"print": "runtime_noise", "str": "builtin_primitive", "sum": "builtin_primitive", "len": "builtin_primitive", "exec": "runtime_execution"}
+
+
 def semantic_role(symbol: Column | str) -> Column:
     c = _col(symbol)
-    return (F.when(c.startswith("test_"), "test").when(c.startswith("<"), "pseudo").when(c.contains("."), "qualified").when(c.rlike("^[A-Z]"), "type").otherwise("general"))
+    known = F.create_map(*(F.lit(x) for item in SEMANTIC_ROLES.items() for x in item))
+    named = F.try_element_at(known, F.lower(c))
+    return (F.when(c.isNull() | (c == ""), "unknown").when(named.isNotNull(), named).when(F.lower(c).startswith("test_"), "test_code").when(c.startswith("<"), "runtime_artifact")
+            .when(c.contains("."), "qualified_reference").when(c.rlike(r"^\p{Lu}"), "type_or_class").otherwise("general_symbol"))
 
 
 def edge_role(caller: Column | str, callee: Column | str) -> Column:
@@ -192,18 +210,29 @@ def edge_role(caller: Column | str, callee: Column | str) -> Column:
             .when(b.contains("."), "module_dependency").when(b.rlike("^[A-Z]"), "type_usage").otherwise("function_call"))
 
 
-def bucket(name: Column | str, builtins: tuple, runtime: tuple, stdlib: tuple, project_prefixes: tuple) -> Column:
-    """builtin, runtime, stdlib, project, external (dotted) or unknown, in that order; tests look at the raw name."""
+def symbol_class(name: Column | str, is_project: Column, resolved_by: Column) -> Column:
+    """project, builtin (by its last segment), stdlib (by its first), runtime (resolved at run time or by alias) or unknown, in that order."""
     c = _col(name)
-    root = first_segment(c)
-    any_of = lambda values: F.lit(False) if not values else root.isin(*values)
-    return (F.when(c.isNull() | (c == ""), "unknown").when(any_of(builtins), "builtin").when(any_of(runtime), "runtime").when(any_of(stdlib), "stdlib")
-            .when(any_of(project_prefixes), "project").when(c.contains("."), "external").otherwise("unknown"))
+    return (F.when(F.coalesce(is_project, F.lit(False)), "project").when(after_last_dot(c).isin(*PYTHON_BUILTINS), "builtin").when(first_segment(c).isin(*STDLIB_MODULES), "stdlib")
+            .when(resolved_by.isin("runtime", "alias"), "runtime").otherwise("unknown"))
+
+
+#: Converters that the language's or a store's protocols call.
+SERIAL_NAMES = ("to_dict", "from_dict", "to_json", "from_json", "to_yaml", "from_yaml", "serialize", "deserialize", "encode", "decode", "from_db", "to_db", "to_string", "from_string")
+SERIAL_PREFIXES = ("from_", "to_")
+DATA_ENDINGS = (".json", ".yaml", ".toml")
 
 
 def entry_tier(name: Column, path: Column, is_tool: Column, http_route: Column) -> Column:
+    """explicit_http, explicit_tool, protocol (dunders, converters, data files), test or inferred: the first that holds."""
+    file = F.translate(path, "\\", "/")
+    protocol = is_dunder(name) | name.isin(*SERIAL_NAMES)
+    for p in SERIAL_PREFIXES:
+        protocol = protocol | name.startswith(p)
+    for e in DATA_ENDINGS:
+        protocol = protocol | F.coalesce(file.endswith(e), F.lit(False))
     return (F.when(http_route.isNotNull() & (http_route != ""), "explicit_http").when(F.coalesce(is_tool, F.lit(False)), "explicit_tool")
-            .when(is_dunder(name), "protocol").when(is_test_path(path) | name.startswith("test_"), "test").otherwise("inferred"))
+            .when(protocol, "protocol").when(name.startswith("test_") | F.coalesce(file.contains("/test"), F.lit(False)), "test").otherwise("inferred"))
 
 
 def canonical_id(path: Column, kind: Column, name: Column, line: Column) -> Column:

@@ -80,14 +80,22 @@ def health(history: DataFrame) -> DataFrame:
     got = history.groupBy("contract_name").agg(F.count(F.lit(1)).alias("n"), is_("structural").alias("s"), is_("recurring").alias("r"), is_("transient").alias("t"))
     stability = F.greatest(F.lit(0.0), 1 - (3 * F.col("s") + 2 * F.col("r") + F.col("t")) / F.col("n") / 5)
     got = got.withColumn("stability", F.bround(stability, 3))
-    return got.select("contract_name", "n", "stability", F.when(F.col("s") > F.col("r") + F.col("t"), "worsening").when(F.col("s") > 0, "mixed").otherwise("steady").alias("trend"))
+    trend = F.when(F.col("s") > F.col("r"), "degrading").when((F.col("t") > F.col("s")) & (F.col("r") == 0), "improving").otherwise("stable")
+    return got.select("contract_name", "n", "stability", trend.alias("trend"))
+
+
+#: What is advised in each state.
+ADVICE = {
+    "ACTIVE": "no action", "STABLE": "monitor", "DEGRADING": "investigate usage shift", "UNSTABLE": "review contract definition", "STALE": "insufficient signal", "OBSOLETE": "candidate for removal"}
 
 
 def lifecycle(healths: DataFrame) -> DataFrame:
-    """(contract_name, state): the first state whose condition holds."""
-    s, n = F.col("stability"), F.col("n")
-    state = (F.when(n == 0, "OBSOLETE").when((n == 1) & (s >= 0.8), "STALE").when(s < 0.4, "UNSTABLE").when((s < 0.6) | (F.col("trend") == "worsening"), "DEGRADING").when(s >= 0.9, "STABLE").otherwise("ACTIVE"))
-    return healths.select("contract_name", state.alias("state"))
+    """(contract_name, state, recommendation): the first state whose condition holds."""
+    s, n, trend = F.col("stability"), F.col("n"), F.col("trend")
+    state = (F.when((s > 0.85) & (trend == "stable"), "ACTIVE").when(s.between(0.7, 0.85), "STABLE").when(trend == "degrading", "DEGRADING")
+             .when((s < 0.5) & (n > 5), "UNSTABLE").when(n <= 2, "STALE").otherwise("OBSOLETE"))
+    advice = F.create_map(*(F.lit(x) for item in ADVICE.items() for x in item))
+    return healths.select("contract_name", state.alias("state")).withColumn("recommendation", F.element_at(advice, F.col("state")))
 
 
 def file_contracts(refs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -103,16 +111,48 @@ def stability(reports: DataFrame) -> DataFrame:
     return got.withColumn("stable", F.col("violations") == 0)
 
 
-def epistemic_risk(has_cycles: bool, errors: int, warnings: int, unstable: int, files: int, edges: int, gaps: int, refs: int, roles: int) -> float:
-    """Nine additive terms within [0, 1]."""
-    terms = (
-        0.20 * bool(has_cycles), 0.20 * (errors > 0), 0.05 * (warnings > 0), 0.20 * (unstable / files if files else 0), 0.10 * (edges == 0), 0.05 * (0 < edges < 10),
-        0.10 * (gaps / refs if refs else 0), 0.05 * (files == 0), 0.05 * (roles == 0))
-    return max(0.0, min(1.0, sum(terms)))
+#: Weights and thresholds of the risk terms.
+CYCLE_RISK, HOTSPOT_THRESHOLD, HOTSPOT_RISK = 0.35, 50, 0.10
+ERROR_RISK, ERROR_CAP = 0.08, 0.40
+DRIFT_SCALE, DRIFT_THRESHOLD = 0.40, 0.30
+DENSITY_THRESHOLD, SCALE_RISK = 20, 0.10
+COMPLETENESS_RISK = 0.05
+SEED_ZERO_RISK, SEED_SPARSE_RISK, SEED_SPARSE_MAX = 0.25, 0.10, 3
+EXPANSION_SPARSE_RISK, EXPANSION_LEAST = 0.10, 2.0
+INTERPRETIVE_RISK, INTERPRETIVE = 0.10, ("debug_query", "general_query")
+RISK_TERMS = ("structure", "integrity", "stability", "scale", "complexity", "completeness", "query_grounding", "query_coverage", "query_intent")
+
+
+def epistemic_risk(states: DataFrame) -> DataFrame:
+    """``states`` with its risk terms, their sum within [0, 1] as severity, and the surfaces to be shown.
+
+    Columns taken: has_cycles, errors, unstable, contracts, edges, files,
+    top_degree, role_files; and of a question seed_count, expanded_count and
+    intent, which are null where there is none and then add nothing.
+    """
+    c, zero = F.col, F.lit(0.0)
+    ratio = F.when(c("contracts") > 0, c("unstable") / c("contracts")).otherwise(0.0)
+    asked = c("intent").isNotNull()
+    widened = c("expanded_count") / F.greatest(c("seed_count"), F.lit(1))
+    terms = {
+        "structure": F.when(c("has_cycles"), CYCLE_RISK), "integrity": F.least(c("errors") * ERROR_RISK, F.lit(ERROR_CAP)), "stability": ratio * DRIFT_SCALE,
+        "scale": F.when(c("edges") / F.greatest(c("files"), F.lit(1)) > DENSITY_THRESHOLD, SCALE_RISK), "complexity": F.when(c("top_degree") > HOTSPOT_THRESHOLD, HOTSPOT_RISK),
+        "completeness": F.when(c("role_files") == 0, COMPLETENESS_RISK),
+        "query_grounding": F.when(asked & (c("seed_count") == 0), SEED_ZERO_RISK).when(asked & (c("seed_count") <= SEED_SPARSE_MAX), SEED_SPARSE_RISK),
+        "query_coverage": F.when(asked & (widened < EXPANSION_LEAST), EXPANSION_SPARSE_RISK), "query_intent": F.when(c("intent").isin(*INTERPRETIVE), INTERPRETIVE_RISK),
+    }
+    rows = states.withColumns({f"risk_{k}": F.coalesce(v.cast("double"), zero) for k, v in terms.items()})
+    total = zero
+    for k in RISK_TERMS:
+        total = total + c(f"risk_{k}")
+    surfaces = F.array(F.lit("INTEGRITY"), F.when(c("has_cycles"), "STRUCTURE"), F.when(ratio > DRIFT_THRESHOLD, "STABILITY"), F.when(c("top_degree") > HOTSPOT_THRESHOLD, "SUMMARY"))
+    return rows.withColumn("severity", F.greatest(zero, F.least(F.lit(1.0), F.round(total, 9)))).withColumn("surfaces", F.array_join(surfaces, ","))
 
 
 #: Words by which paths and callees show a file's role.
-ROLE_WORDS = {"ingest": ("parse", "load", "read"), "store": ("set_", "save", "persist"), "serve": ("route", "handler", "get_"), "test": ("test",)}
+ROLE_WORDS = {
+    "ingestion": ("scan", "parse", "ast", "ingestion", "scanner"), "classification": ("classify", "semantic", "symbol", "reference"), "graph": ("graph", "edge", "node", "builder"),
+    "persistence": ("sqlite", "database", "persist", "insert", "update"), "reporting": ("report", "summary", "snapshot", "json", "print")}
 
 
 def responsibilities(refs: DataFrame) -> DataFrame:

@@ -347,8 +347,8 @@ def co_occurring_callees(edges: DataFrame, min_callers: int = 3) -> DataFrame:
 
 
 def symbol_rank(symbols: DataFrame, seeds: Column, edges: DataFrame, n: int = 40) -> DataFrame:
-    """Symbols by 5 for a seed, 2 for each seed's tail contained, and a tenth of the degree up to 3; the first n."""
-    placed = symbols.join(degree(edges), "symbol", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    """Symbols by 5 for a seed, 2 for each seed's tail contained, and a tenth of the degree up to 3; the first n. Degrees count distinct callees and callers."""
+    placed = symbols.join(degree(pairs(edges)), "symbol", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     tails = F.size(F.filter(F.transform(seeds, lambda s: F.element_at(F.split(s, r"\."), -1)), lambda t: F.col("symbol").contains(t)))
     score = 5 * F.array_contains(seeds, F.col("symbol")).cast("int") + 2 * tails + F.least(F.lit(0.1) * F.col("degree"), F.lit(3.0))
     return placed.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "symbol").limit(n)

@@ -8,31 +8,38 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from .graph import reach, reversed_edges, symbol_rank
 
-#: The ordered intent rules, the primitives of each intent, and its forward and reverse hops.
-INTENTS = (
-    ("impact_query", ("impact", "affect", "break if", "what happens")), ("reverse_query", ("who calls", "callers", "used by", "depends on")), ("surface_query", ("what does", "calls what", "surface")),
-    ("integrity_query", ("valid", "integrity", "broken")), ("subsystem_query", ("module", "subsystem", "architecture")), ("symbol_query", ("where is", "find", "define")),
-)
 GENERAL = "general_query"
-PRIMITIVES = {"impact_query": ("influence", "surface"), "reverse_query": ("influence",), "surface_query": ("surface",), "integrity_query": ("validate",), "subsystem_query": ("subsystems",), "symbol_query": ("context",), GENERAL: ("context", "surface", "influence")}
-BUDGETS = {"impact_query": (0, 2), "reverse_query": (0, 1), "surface_query": (2, 0), "integrity_query": (1, 1), "subsystem_query": (1, 1), "symbol_query": (1, 1), GENERAL: (1, 1)}
+#: The primitives of each intent, and its forward and reverse hops.
+PRIMITIVES = {
+    "impact_query": ("impact", "context"), "reverse_query": ("impact",), "surface_query": ("surface", "context"), "role_query": ("role",), "debug_query": ("findings", "impact", "context"),
+    "mutation_query": ("mutations", "impact", "context"), GENERAL: ("context", "surface", "impact")}
+BUDGETS = {
+    "surface_query": (2, 0), "impact_query": (0, 2), "reverse_query": (0, 1), GENERAL: (1, 1), "role_query": (0, 0), "debug_query": (0, 2), "mutation_query": (1, 1)}
+#: Phrases of the intents; the two-part ones need a word of either list.
+IMPACT, REVERSE, SURFACE = ("what depends", "impact"), ("what uses", "used by"), ("what does", "surface")
+BROKEN, WHY, FAULTS = ("broken", "failing", "crashed", "erroring", "not working"), ("why",), ("fail", "wrong", "error", "bug", "crash", "exception")
+MUTATES, CHANGED, ASKED = ("mutates", "who mutates"), ("modif", "changes"), ("where", "what", "who")
+ROLE = ("purpose", "why does", "why is", "role of", "what role", "what kind of")
 
 
 def intent_of(text: Column | str) -> Column:
-    """The first intent one of whose phrases a text holds."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    out = F.lit(GENERAL)
-    for name, phrases in reversed(INTENTS):
+    """The intent of a question: the first of impact, reverse, surface, debug, mutation and role whose phrases it holds, else general."""
+    low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+    def any_of(phrases: tuple) -> Column:
         found = F.lit(False)
         for p in phrases:
             found = found | low.contains(p)
-        out = F.when(found, name).otherwise(out)
-    return out
+        return found
+
+    return (F.when(any_of(IMPACT), "impact_query").when(any_of(REVERSE), "reverse_query").when(any_of(SURFACE), "surface_query")
+            .when(any_of(BROKEN) | (any_of(WHY) & any_of(FAULTS)), "debug_query").when(any_of(MUTATES) | (any_of(CHANGED) & any_of(ASKED)), "mutation_query")
+            .when(any_of(ROLE), "role_query").otherwise(GENERAL))
 
 
 def primitives_of(intent: Column | str) -> Column:
     c = F.col(intent) if isinstance(intent, str) else intent
-    out = F.lit("")
+    out = F.lit(",".join(PRIMITIVES[GENERAL]))
     for name, items in PRIMITIVES.items():
         out = F.when(c == name, ",".join(items)).otherwise(out)
     return out
@@ -55,20 +62,28 @@ def token_seeds(questions: DataFrame, symbols: DataFrame, least: int = 2) -> Dat
     return hits.filter(F.col("score") >= least)
 
 
-def route_expand(edges: DataFrame, seeds: DataFrame, intent: str) -> DataFrame:
-    """(symbol, reason): seeds and what the intent's hop budgets reach, forward and back; 'seed' before 'forward' before 'reverse'."""
+def route_expand(edges: DataFrame, seeds: DataFrame, intent: str, builtins: DataFrame | None = None) -> DataFrame:
+    """(symbol, reason): seeds and what the intent's hop budgets reach, forward and back; 'seed' before 'forward' before 'reverse'.
+
+    A walk never enters a noise symbol or one of ``builtins(symbol)``; seeds are taken as they are.
+    """
     forward, back = BUDGETS.get(intent, BUDGETS[GENERAL])
+
+    def clean(steps: DataFrame) -> DataFrame:
+        steps = steps.select("caller", "callee").filter(~N.is_noise("callee"))
+        return steps.join(builtins.select(F.col("symbol").alias("callee")), "callee", "left_anti") if builtins is not None else steps
+
     rows = seeds.select(F.col("root").alias("symbol"), F.lit(0).alias("o"))
     if forward:
-        rows = rows.unionByName(reach(edges, seeds, forward).select(F.col("node").alias("symbol"), F.lit(1).alias("o")))
+        rows = rows.unionByName(reach(clean(edges), seeds, forward).select(F.col("node").alias("symbol"), F.lit(1).alias("o")))
     if back:
-        rows = rows.unionByName(reach(reversed_edges(edges), seeds, back).select(F.col("node").alias("symbol"), F.lit(2).alias("o")))
+        rows = rows.unionByName(reach(clean(reversed_edges(edges)), seeds, back).select(F.col("node").alias("symbol"), F.lit(2).alias("o")))
     best = rows.groupBy("symbol").agg(F.min("o").alias("o"))
     return best.select("symbol", F.when(F.col("o") == 0, "seed").when(F.col("o") == 1, "forward").otherwise("reverse").alias("reason"))
 
 
-def route(edges: DataFrame, seeds: list[str], intent: str, limit: int = 40) -> DataFrame:
+def route(edges: DataFrame, seeds: list[str], intent: str, limit: int = 40, builtins: DataFrame | None = None) -> DataFrame:
     """(symbol, reason, degree, score) of the best symbols of a question's neighbourhood. The seeds are a question's few names."""
     spark = edges.sparkSession
-    found = route_expand(edges, spark.createDataFrame([(s,) for s in seeds], "root string"), intent)
+    found = route_expand(edges, spark.createDataFrame([(s,) for s in seeds], "root string"), intent, builtins)
     return symbol_rank(found, F.array(*(F.lit(s) for s in seeds)), edges, limit)

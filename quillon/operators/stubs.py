@@ -47,16 +47,22 @@ def caller_counts(functions: DataFrame, edges: DataFrame) -> DataFrame:
     return calls(functions, edges).groupBy("name").agg(F.count("caller").alias("callers"), F.count_if(F.col("caller_stub")).alias("stub_callers"), F.count_if(~F.col("caller_stub")).alias("live_callers"))
 
 
+def interface_methods(classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class_name, method): abstract methods of classes whose base is named as abstract."""
+    bases = classes.filter(F.col("base_class").contains("ABC") | F.col("base_class").contains("Abstract")).select(F.col("name").alias("class_name")).distinct()
+    return methods.filter("is_abstract").join(bases, "class_name", "left_semi").select("class_name", "method").distinct()
+
+
 def abstract_gaps(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """(class_name, base_class, method): abstract methods that a declared subclass doesn't define."""
-    wanted = methods.filter("is_abstract").select(F.col("class_name").alias("base_class"), "method").distinct()
+    wanted = interface_methods(classes, methods).withColumnRenamed("class_name", "base_class")
     subs = classes.select(F.col("name").alias("class_name"), "base_class")
     return subs.join(wanted, "base_class").join(methods.select("class_name", "method").distinct(), ["class_name", "method"], "left_anti").select("class_name", "base_class", "method")
 
 
 def abstract_voids(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """Classes with abstract methods and no declared subclass."""
-    bases = methods.filter("is_abstract").select(F.col("class_name").alias("name")).distinct()
+    bases = interface_methods(classes, methods).select(F.col("class_name").alias("name")).distinct()
     return bases.join(classes.select(F.col("base_class").alias("name")).distinct(), "name", "left_anti").select(F.col("name").alias("class_name"))
 
 
@@ -83,23 +89,27 @@ def interface_dispatch(interfaces: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def orphaned_interfaces(classes: DataFrame, methods: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """(interface, class_name, matched, size, strength): undeclared types that share at least a threshold of an interface's abstract methods."""
-    wanted = methods.filter("is_abstract").select(F.col("class_name").alias("interface"), "method").distinct()
+    """(interface, class_name, matched, size, strength): classes that aren't abstract themselves and, undeclared, share at least a threshold of an interface's abstract methods."""
+    wanted = interface_methods(classes, methods).withColumnRenamed("class_name", "interface")
     sizes = wanted.groupBy("interface").agg(F.count(F.lit(1)).alias("size"))
-    have = methods.select("class_name", "method").distinct()
-    met = have.join(wanted, "method").filter("class_name <> interface").groupBy("interface", "class_name").agg(F.count(F.lit(1)).alias("matched")).join(sizes, "interface")
+    abstract = classes.filter(F.col("base_class").contains("ABC") | F.col("base_class").contains("Abstract")).select(F.col("name").alias("class_name"))
+    have = methods.select("class_name", "method").distinct().join(abstract, "class_name", "left_anti")
+    met = have.join(wanted, "method").groupBy("interface", "class_name").agg(F.count(F.lit(1)).alias("matched")).join(sizes, "interface")
     declared = classes.select(F.col("name").alias("class_name"), F.col("base_class").alias("interface"))
     free = met.join(declared, ["class_name", "interface"], "left_anti").filter(F.col("matched") >= threshold * F.col("size"))
-    return free.select("interface", "class_name", "matched", "size", F.when(F.col("matched") >= 0.6 * F.col("size"), "strong").otherwise("weak").alias("strength"))
+    return free.select("interface", "class_name", "matched", "size", F.when(F.col("matched") >= 0.6 * F.col("size"), "strong").otherwise("possible").alias("strength"))
 
 
 #: How factory methods begin.
-FACTORY = "^(create|make|build|new|get)_"
+FACTORY = ("create_", "build_", "make_", "get_", "new_", "produce_")
 
 
 def phantom_factories(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """Classes without subclass whose abstract methods are all named like factories."""
-    names = methods.filter("is_abstract").groupBy("class_name").agg(F.bool_and(F.col("method").rlike(FACTORY)).alias("all_made"), F.countDistinct("method").alias("methods")).filter("all_made")
+    made = F.lit(False)
+    for p in FACTORY:
+        made = made | F.col("method").startswith(p)
+    names = interface_methods(classes, methods).groupBy("class_name").agg(F.bool_and(made).alias("all_made"), F.countDistinct("method").alias("methods")).filter("all_made")
     return names.join(abstract_voids(classes, methods), "class_name", "left_semi").select("class_name", "methods")
 
 
@@ -108,11 +118,16 @@ def gap_methods(classes: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def frontier_priority(functions: DataFrame, edges: DataFrame, gaps: DataFrame, n: int | None = 20) -> DataFrame:
-    """(name, callers, position, score): callers + 5 for a tail, 2 middle, 1 head + 3 for an interface gap."""
+    """(name, callers, position, score) of stubs that implemented functions call and of tails and middles of chains.
+
+    Score: implemented callers + 5 for a tail, 2 middle, 1 head + 3 for an interface gap.
+    """
     stubs = by_name(functions).filter("is_stub").select("name")
-    rows = stubs.join(caller_counts(functions, edges).select("name", "callers"), "name", "left").join(chain_positions(functions, edges), "name", "left").join(gaps.withColumn("gap", F.lit(3)), "name", "left")
+    live = caller_counts(functions, edges).select("name", F.col("live_callers").alias("callers"))
+    rows = stubs.join(live, "name", "left").join(chain_positions(functions, edges), "name", "left").join(gaps.withColumn("gap", F.lit(3)), "name", "left").na.fill(0, ["callers", "gap"])
+    rows = rows.filter((F.col("callers") > 0) | F.coalesce(F.col("position").isin("tail", "middle"), F.lit(False)))
     bonus = F.when(F.col("position") == "tail", 5).when(F.col("position") == "middle", 2).when(F.col("position") == "head", 1).otherwise(0)
-    rows = rows.na.fill(0, ["callers", "gap"]).select("name", "callers", "position", (F.col("callers") + bonus + F.col("gap")).alias("score"))
+    rows = rows.select("name", "callers", "position", (F.col("callers") + bonus + F.col("gap")).alias("score"))
     return rows.orderBy(F.desc("score"), F.desc("callers"), "name").limit(n) if n else rows
 
 
@@ -126,30 +141,73 @@ def frontier_coverage(functions: DataFrame, edges: DataFrame) -> DataFrame:
     return got.select("functions", "gated", pct.alias("pct")).withColumn("band", F.when(F.col("pct") >= 40, "high").when(F.col("pct") >= 20, "medium").otherwise("low"))
 
 
+#: Parts of paths and beginnings of names that outside events call, and decorators of structure alone.
+ENTRY_PARTS = (
+    "route", "routes", "view", "views", "handler", "handlers", "endpoint", "endpoints", "cli", "commands", "command", "webhook", "webhooks", "task", "tasks", "signal", "signals", "middleware", "main")
+ENTRY_PREFIXES = ("handle_", "on_", "route_", "cmd_", "do_")
+STRUCTURAL = ("property", "staticmethod", "classmethod")
+
+
+def is_entry_hint(name: Column, path: Column) -> Column:
+    parts = F.split(F.translate(F.lower(F.coalesce(path, F.lit(""))), "\\.", "//"), "/")
+    hint = F.arrays_overlap(parts, F.array(*(F.lit(p) for p in ENTRY_PARTS)))
+    for p in ENTRY_PREFIXES:
+        hint = hint | F.lower(name).startswith(p)
+    return hint
+
+
+def is_framework(decorators: Column) -> Column:
+    """Whether a comma-separated list holds a decorator that isn't of structure alone."""
+    last = lambda d: F.substring_index(F.substring_index(F.trim(d), "(", 1), ".", -1)
+    return F.exists(F.split(F.coalesce(decorators, F.lit("")), ","), lambda d: (F.trim(d) != "") & ~last(d).isin(*STRUCTURAL))
+
+
 def topology(functions: DataFrame, edges: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(shape, n): stubs by direct callers, chains, interface gaps and none of these; orphans among the implemented."""
+    """(shape, n): the nine shapes of unfinished code by name, the totals, and which gap dominates (1 where it does).
+
+    connectivity: stubs there are, and implementations without live callers
+    are three times as many, fifty and half of all at least; wiring: no stubs,
+    and such implementations are fifty and half of all at least.
+    """
     counts, chains = caller_counts(functions, edges), chain_positions(functions, edges)
-    rows = by_name(functions).join(counts, "name", "left").join(chains, "name", "left").join(gaps.withColumn("gap", F.lit(True)), "name", "left").na.fill(0, ["callers", "live_callers", "stub_callers"]).na.fill(False, ["gap"])
+    own = functions.groupBy("name").agg(
+        F.bool_or("is_stub").alias("is_stub"), F.bool_or(is_framework(F.col("decorators"))).alias("framework"), F.bool_or(is_entry_hint(F.col("name"), F.col("file_path"))).alias("hint"),
+        F.bool_or(F.coalesce(F.col("file_path").endswith(".json"), F.lit(False))).alias("in_json"))
+    calling = edges.select(F.col("caller").alias("name")).distinct().withColumn("calls", F.lit(True))
+    rows = own.join(counts, "name", "left").join(chains, "name", "left").join(calling, "name", "left").na.fill(0, ["callers", "live_callers"]).na.fill(False, ["calls"])
     s = F.col("is_stub")
+    cut_off = s & (F.col("callers") == 0) & ~F.col("calls")
+    machine = F.col("name").contains("::action::") | F.col("name").contains("::guard::") | F.col("in_json")
     sums = rows.agg(
-        F.count_if(s).alias("stubs"), F.count_if(~s).alias("implemented"), F.count_if(s & (F.col("live_callers") > 0)).alias("direct"), F.count_if(s & F.col("position").isNotNull()).alias("chained"),
-        F.count_if(s & F.col("gap")).alias("abstract"), F.count_if(s & (F.col("callers") == 0) & ~F.col("gap")).alias("disconnected"), F.count_if(~s & (F.col("callers") == 0)).alias("orphans"))
-    return sums.unpivot([], sums.columns, "shape", "n")
+        F.count_if(s).alias("total_stubs"), F.count_if(~s).alias("total_implemented"), F.count_if(s & (F.col("live_callers") > 0)).alias("direct_call"),
+        *(F.count_if(s & (F.col("position") == p)).alias(f"chain_{p}") for p in ("head", "middle", "tail")), F.count_if(~s & (F.col("live_callers") == 0) & ~F.col("framework")).alias("orphaned_impl"),
+        F.count_if(cut_off & F.col("hint")).alias("entry_point"), F.count_if(cut_off & ~F.col("hint") & machine).alias("fsm_dispatch"), F.count_if(cut_off & ~F.col("hint") & ~machine).alias("disconnected"))
+    wide = (F.col("orphaned_impl") >= 50) & (F.col("orphaned_impl") >= 0.5 * F.col("total_implemented"))
+    sums = sums.withColumn("connectivity", (wide & (F.col("total_stubs") > 0) & (F.col("orphaned_impl") >= 3 * F.col("total_stubs"))).cast("long")).withColumn("wiring", (wide & (F.col("total_stubs") == 0)).cast("long"))
+    gap = gaps.distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("abc_interface").alias("shape"), "n")
+    return sums.unpivot([], sums.columns, "shape", "n").unionByName(gap)
 
 
 def orphaned_implementations(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, file_path, callers, label): implemented, undecorated, and called by nobody or only by stubs and unknowns."""
-    live = functions.filter("NOT is_stub AND decorators = ''").groupBy("name").agg(F.min("file_path").alias("file_path"))
+    """(name, file_path, callers, label): implemented functions without framework decorators that nobody, or only stubs and unknowns, call.
+
+    Uncalled ones are ready-but-blocked in a file with stubs, else
+    anticipatory; the others are possibly-stranded.
+    """
+    live = functions.filter("NOT is_stub").groupBy("name", "file_path").agg(F.bool_or(is_framework(F.col("decorators"))).alias("framework")).filter("NOT framework")
     rows = live.join(caller_counts(functions, edges), "name", "left").na.fill(0, ["callers", "live_callers"]).filter("live_callers = 0")
     unfinished = functions.filter("is_stub").select("file_path").distinct().withColumn("has_stubs", F.lit(True))
-    return rows.join(unfinished, "file_path", "left").select("name", "file_path", "callers", F.when(F.col("has_stubs"), "waiting").otherwise("unused").alias("label"))
+    label = F.when(F.col("callers") > 0, "possibly-stranded").when(F.col("has_stubs"), "ready-but-blocked").otherwise("anticipatory")
+    return rows.join(unfinished, "file_path", "left").select("name", "file_path", "callers", label.alias("label"))
 
 
-def pure_functions(functions: DataFrame, mutations: DataFrame, edges: DataFrame, min_callers: int = 2) -> DataFrame:
-    """(name, file_path, callers, memo) of implemented functions in files without mutations."""
-    clean = functions.filter("NOT is_stub").join(mutations.select("file_path").distinct(), "file_path", "left_anti").select("name", "file_path").distinct()
-    rows = clean.join(caller_counts(functions, edges).select("name", "callers"), "name", "left").na.fill(0, ["callers"])
-    return rows.select("name", "file_path", "callers", (F.col("callers") >= min_callers).alias("memo"))
+def pure_functions(functions: DataFrame, mutations: DataFrame, edges: DataFrame, min_callers: int = 0) -> DataFrame:
+    """(name, file_path, callers, memo) of implemented functions in code files without mutations; callers are those of resolved calls by that very name."""
+    code = functions.filter(F.col("file_path").isNull() | ~F.lower("file_path").endswith(".json"))
+    clean = code.filter("NOT is_stub").join(mutations.select("file_path").distinct(), "file_path", "left_anti").select("name", "file_path").distinct()
+    called = edges.filter("resolved").groupBy(F.col("callee").alias("name")).agg(F.countDistinct("caller").alias("callers"))
+    rows = clean.join(called, "name", "left").na.fill(0, ["callers"]).filter(F.col("callers") >= min_callers)
+    return rows.select("name", "file_path", "callers", (F.col("callers") >= 2).alias("memo"))
 
 
 def dead_event_handlers(edges: DataFrame) -> DataFrame:
@@ -196,26 +254,76 @@ def implementation_order(functions: DataFrame, edges: DataFrame) -> DataFrame:
 # Features
 
 
-def features(functions: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
-    """(feature, symbols, stubs, entry_points, crossings, completeness) by the first ``depth`` directories."""
-    at = functions.withColumn("feature", N.directory_key("file_path", depth))
-    rows = at.groupBy("feature").agg(F.count(F.lit(1)).alias("symbols"), F.count_if("is_stub").alias("stubs"), F.count_if(F.coalesce(F.col("http_route") != "", F.lit(False)) | F.col("is_tool")).alias("entry_points"))
-    place = by_name(functions).select("name", N.directory_key("file_path", depth).alias("feature"))
-    c = calls(functions, edges).join(place, "name").join(place.select(F.col("name").alias("caller"), F.col("feature").alias("from_feature")), "caller").filter("feature <> from_feature")
-    crossing = c.groupBy("feature").agg(F.count(F.lit(1)).alias("crossings"))
-    done = F.round(1 - F.col("stubs") / F.col("symbols"), 4)
-    return rows.join(crossing, "feature", "left").na.fill(0, ["crossings"]).withColumn("completeness", done)
+#: Directories of tests and of assets.
+TEST_DIRECTORIES = ("test", "tests", "spec", "specs", "__tests__", "__test__", "testing", "testcases", "test_cases")
+ASSET_DIRECTORIES = ("static", "assets", "public", "dist", "build", "vendor", "node_modules", "www", "media")
+
+
+def feature_key(path: Column | str, depth: int = 1) -> Column:
+    """The first ``depth`` segments of a path; a file at the root is a feature of its own."""
+    return F.substring_index(F.translate(F.col(path) if isinstance(path, str) else path, "\\", "/"), "/", depth)
+
+
+def _first_directory(feature: Column) -> Column:
+    return F.substring_index(F.substring_index(F.lower(feature), "/", 1), ".", 1)
+
 
+def is_test_feature(feature: Column) -> Column:
+    base = _first_directory(feature)
+    return base.isin(*TEST_DIRECTORIES) | base.startswith("test_") | base.startswith("spec_")
 
-def development_priorities(functions: DataFrame, edges: DataFrame, classes: DataFrame, methods: DataFrame, n: int = 10) -> DataFrame:
-    """(feature, priority, blocker): (1 - completeness) x entry points, at least (1 - completeness) x 5 where an interface has no subclass."""
-    f = features(functions, edges)
-    void = classes.join(abstract_voids(classes, methods).select(F.col("class_name").alias("name")), "name", "left_semi").select(N.directory_key("file_path").alias("feature")).distinct().withColumn("void", F.lit(True))
-    waiting = caller_counts(functions, edges).select("name", "callers").join(by_name(functions).filter("is_stub"), "name").withColumn("feature", N.directory_key("file_path"))
-    blocker = waiting.groupBy("feature").agg(F.min(F.struct((-F.col("callers")).alias("k"), "name"))["name"].alias("blocker"))
-    missing = 1 - F.col("completeness")
-    score = F.greatest(missing * F.col("entry_points"), F.when(F.col("void"), missing * 5).otherwise(0.0))
-    return f.join(void, "feature", "left").join(blocker, "feature", "left").select("feature", F.round(score, 4).alias("priority"), "blocker").orderBy(F.desc("priority"), "feature").limit(n)
+
+def _members(functions: DataFrame, depth: int, tests: bool) -> DataFrame:
+    at = functions.withColumn("feature", feature_key("file_path", depth))
+    return at if tests else at.filter(~is_test_feature(F.col("feature")))
+
+
+def features(functions: DataFrame, edges: DataFrame, depth: int = 1, tests: bool = False) -> DataFrame:
+    """(feature, symbols, stubs, entry_points, crossings, standing) by the first ``depth`` directories.
+
+    Entry points are the distinct symbols, by their name or what follows its
+    last dot, that are called from outside, unknown callers among them;
+    crossings are those calls. A complete feature that is hardly called is
+    isolated, one with many entry points and stubs is incomplete.
+    """
+    at = _members(functions, depth, tests)
+    rows = at.groupBy("feature").agg(F.countDistinct("name").alias("symbols"), F.count_if("is_stub").alias("stubs"))
+    bare = at.filter("name LIKE '%.%' AND name NOT LIKE '%::%'").select("feature", N.after_last_dot("name").alias("callee"))
+    known = at.select("feature", F.col("name").alias("callee")).unionByName(bare).distinct()
+    place = functions.groupBy("name").agg(F.min(feature_key("file_path", depth)).alias("from_feature")).select(F.col("name").alias("caller"), "from_feature")
+    calls_in = edges.select("caller", "callee").join(known, "callee").join(place, "caller", "left").filter(F.coalesce("from_feature", F.lit("")) != F.col("feature"))
+    crossing = calls_in.groupBy("feature").agg(F.countDistinct("callee").alias("entry_points"), F.count(F.lit(1)).alias("crossings"))
+    rows = rows.join(crossing, "feature", "left").na.fill(0, ["entry_points", "crossings"])
+    asset = _first_directory(F.col("feature")).isin(*ASSET_DIRECTORIES)
+    isolated = ~asset & (F.col("symbols") >= 30) & (F.col("entry_points") >= 2) & (1 - F.col("stubs") / F.col("symbols") >= 0.85) & (F.col("entry_points") / F.col("symbols") <= 0.08)
+    incomplete = ~asset & (F.col("entry_points") >= 20) & (F.col("stubs") >= 5)
+    return rows.withColumn("standing", F.when(isolated, "isolated").when(incomplete, "incomplete").otherwise("none"))
+
+
+def development_priorities(functions: DataFrame, edges: DataFrame, classes: DataFrame, methods: DataFrame, n: int | None = 10, depth: int = 1, tests: bool = False) -> DataFrame:
+    """(feature, implemented, stubs, missing, calls_in, blocked, void, priority) of unfinished features, the most pressing first.
+
+    Missing are distinct undotted callees, not built in, that no function
+    bears. Priority: the share that isn't implemented, times the calls from
+    other features; at least five times that share where an interface has no
+    subclass. blocked: other features call one of its stubs.
+    """
+    at = _members(functions, depth, tests)
+    sums = at.groupBy("feature").agg(F.count_if(~F.col("is_stub")).alias("implemented"), F.count_if("is_stub").alias("stubs"))
+    own = at.groupBy("name").agg(F.max(F.struct("id", "feature", "is_stub")).alias("o")).select("name", "o.feature", "o.is_stub")
+    bare = own.filter("name LIKE '%.%' OR name LIKE '%::%'").groupBy(N.normalize_symbol("name").alias("bare")).agg(F.min(F.struct("name", "feature", "is_stub")).alias("o")).select(F.col("bare").alias("name"), "o.feature", "o.is_stub")
+    known = own.unionByName(bare.join(own.select("name"), "name", "left_anti"))
+    one = edges.select("caller", "callee").join(known.select(F.col("name").alias("caller"), F.col("feature").alias("from_feature")), "caller")
+    met = one.join(known.select(F.col("name").alias("callee"), "feature", "is_stub"), "callee", "left")
+    into = met.filter("feature <> from_feature").groupBy("feature").agg(F.count(F.lit(1)).alias("calls_in"), F.bool_or("is_stub").alias("blocked"))
+    lost = met.filter(F.col("feature").isNull() & ~F.col("callee").contains(".") & ~F.col("callee").isin(*N.PYTHON_BUILTINS)).groupBy(F.col("from_feature").alias("feature")).agg(F.countDistinct("callee").alias("missing"))
+    abstract = classes.filter(F.col("base_class").contains("ABC") | F.col("base_class").contains("Abstract"))
+    void = abstract.join(classes.select(F.col("base_class").alias("name")).distinct(), "name", "left_anti").select(feature_key("file_path", depth).alias("feature")).distinct().withColumn("void", F.lit(True))
+    rows = sums.join(into, "feature", "left").join(lost, "feature", "left").join(void, "feature", "left").na.fill(0, ["calls_in", "missing"]).na.fill(False, ["blocked", "void"])
+    undone = 1 - F.col("implemented") / (F.col("implemented") + F.col("stubs") + F.col("missing"))
+    rows = rows.withColumn("priority", F.round(F.greatest(undone * F.col("calls_in"), F.when(F.col("void"), undone * 5).otherwise(0.0)), 4)).filter("stubs > 0 OR missing > 0")
+    rows = rows.select("feature", "implemented", "stubs", "missing", "calls_in", "blocked", "void", "priority").orderBy(F.desc("priority"), F.desc("blocked"), F.desc("void"), "feature")
+    return rows.limit(n) if n else rows
 
 
 def feature_shape(functions: DataFrame, edges: DataFrame, feature: str) -> DataFrame:
@@ -268,36 +376,72 @@ def missing_bridges(functions: DataFrame) -> DataFrame:
     return typed.join(given, "wanted", "left_anti").select("name", "param", "wanted").distinct()
 
 
-def conventions(functions: DataFrame, edges: DataFrame, min_family: int = 3, agree: float = 0.7) -> DataFrame:
-    """(family, size, dimension, mode, share): what at least ``agree`` of a name family shares.
+#: Dimensions by which a name family may agree, and what kind of fact each is.
+DIMENSIONS = {"callers": "structural", "callees": "structural", "return_type": "type", "param_count": "type", "body_weight": "role"}
+
+
+def _step(n: Column) -> Column:
+    return F.when(n <= 0, "0").when(n <= 1, "1").when(n <= 3, "2").when(n <= 8, "3").otherwise("4")
+
+
+def return_category(declared: Column) -> Column:
+    c = F.lower(F.trim(F.coalesce(declared, F.lit(""))))
+    has = lambda *words: c.rlike("|".join(words))
+    return (F.when(c.isin("", "none", "nonetype"), "none").when(c == "bool", "bool").when(c.isin("int", "float"), "numeric").when(c.isin("str", "string"), "str")
+            .when(has("dict", "mapping"), "dict").when(has("list", "sequence", "iterable"), "list").otherwise("object"))
 
-    Families are names with a common first or last token; dimensions are return
-    type, directory and whether called. Of equal modes the smallest value counts.
+
+def _families(functions: DataFrame, edges: DataFrame, leave_tests: bool) -> DataFrame:
+    """A row for each family of a function: names with a common first, or another last, token."""
+    rows = functions.filter(~N.is_dunder("name"))
+    if leave_tests:
+        rows = rows.filter(F.col("file_path").isNull() | ~F.lower(F.translate("file_path", "\\", "/")).rlike("/test."))
+    one = G.first_per_key(rows, ["name"], [F.desc("id")])
+    out = edges.groupBy(F.col("caller").alias("name")).agg(F.countDistinct("callee").alias("out"))
+    into = edges.filter("callee IS NOT NULL").select("caller", F.explode(N.suffix_keys("callee")).alias("name")).groupBy("name").agg(F.countDistinct("caller").alias("into"))
+    params = F.size(F.filter(F.split(F.coalesce("param_types", F.lit("")), ","), lambda p: p != ""))
+    one = one.join(out, "name", "left").join(into, "name", "left").na.fill(0, ["out", "into"])
+    tokens = N.name_tokens(F.regexp_replace("name", "^_+", ""))
+    first, last = F.get(tokens, F.lit(0)), F.get(tokens, F.size(tokens) - 1)
+    both = F.array(F.concat(F.lit("prefix:"), first), F.when(first != last, F.concat(F.lit("suffix:"), last)))
+    return one.select("name", "file_path", "is_stub", F.explode(F.filter(both, lambda f: f.isNotNull())).alias("family"), _step(F.col("into")).alias("callers"), _step(F.col("out")).alias("callees"),
+                      return_category(F.col("return_type")).alias("return_type"), _step(params).alias("param_count"), F.when(F.col("is_stub"), "stub").otherwise("impl").alias("body_weight"))
+
+
+def convention_members(functions: DataFrame, edges: DataFrame, checked: bool = True, min_family: int = 3) -> DataFrame:
+    """(family, size, canon, name, file_path, is_stub, diverges) of families with a convention.
+
+    A dimension agrees if at least 70% of a family share a value. Two must,
+    of two kinds of fact. ``checked`` leaves out test files, and families of
+    which over 40% diverge in an agreeing dimension. canon and diverges list
+    dimensions by name.
     """
-    called = caller_counts(functions, edges).select("name").withColumn("called", F.lit("called"))
-    base = functions.filter("NOT is_stub").select("name", "file_path", "return_type").join(called, "name", "left")
-    family = F.explode(F.array(F.concat(F.lit("prefix:"), N.naming_prefix("name")), F.concat(F.lit("suffix:"), N.naming_suffix("name"))))
-    rows = base.filter(F.size(N.name_tokens("name")) >= 2).select(family.alias("family"), F.coalesce("return_type", F.lit("none")).alias("returns"), N.directory_key("file_path").alias("directory"), F.coalesce("called", F.lit("uncalled")).alias("called"))
+    rows = _families(functions, edges, checked)
     sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_family)
-    values = rows.join(sizes, "family").unpivot(["family", "size"], ["returns", "directory", "called"], "dimension", "value").groupBy("family", "size", "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = G.first_per_key(values, ["family", "dimension"], [F.desc("n"), F.col("value")])
-    return best.filter(F.col("n") >= agree * F.col("size")).select("family", "size", "dimension", F.col("value").alias("mode"), F.round(F.col("n") / F.col("size"), 4).alias("share"))
+    values = rows.join(sizes, "family").unpivot(["family", "size"], list(DIMENSIONS), "dimension", "value").groupBy("family", "size", "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.create_map(*(F.lit(x) for item in DIMENSIONS.items() for x in item))
+    agreed = values.filter(10 * F.col("n") >= 7 * F.col("size")).withColumn("kind", F.element_at(kind, F.col("dimension")))
+    pair = F.sort_array(F.collect_list(F.struct("dimension", "value")))
+    canon = agreed.groupBy("family", "size").agg(pair.alias("held"), F.count(F.lit(1)).alias("dims"), F.countDistinct("kind").alias("kinds")).filter("dims >= 2 AND kinds >= 2")
+    own = F.create_map(*(x for d in DIMENSIONS for x in (F.lit(d), F.col(d))))
+    odd = F.filter("held", lambda h: F.element_at(own, h["dimension"]) != h["value"])
+    members = rows.join(canon, "family").withColumn("odd", odd)
+    if checked:
+        bad = members.groupBy("family").agg(F.count_if(F.size("odd") > 0).alias("bad"))
+        members = members.join(bad, "family").filter(10 * F.col("bad") <= 4 * F.col("size"))
+    text = F.array_join(F.transform("held", lambda h: F.concat_ws("=", h["dimension"], h["value"])), ",")
+    return members.select("family", "size", text.alias("canon"), "name", "file_path", "is_stub", F.array_join(F.transform("odd", lambda h: h["dimension"]), ",").alias("diverges"))
+
+
+def conventions(functions: DataFrame, edges: DataFrame, min_family: int = 3) -> DataFrame:
+    """(family, size, canon, outliers)."""
+    rows = convention_members(functions, edges, True, min_family)
+    return rows.groupBy("family", "size", "canon").agg(F.count_if(F.col("diverges") != "").alias("outliers"))
 
 
 def convention_outliers(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, family) of stubs whose return type isn't their family's."""
-    modes = conventions(functions, edges).filter("dimension = 'returns'").select("family", "mode")
-    family = F.explode(F.array(F.concat(F.lit("prefix:"), N.naming_prefix("name")), F.concat(F.lit("suffix:"), N.naming_suffix("name"))))
-    rows = functions.filter("is_stub").filter(F.size(N.name_tokens("name")) >= 2).select("name", family.alias("family"), F.coalesce("return_type", F.lit("none")).alias("returns"))
-    return rows.join(modes, "family").filter("returns <> mode").select("name", "family").distinct()
-
-
-def rank_stubs(functions: DataFrame, edges: DataFrame, n: int = 20) -> DataFrame:
-    """(name, composite): callers + 5 for a tail, 2 for a middle + 3 for a convention's outlier."""
-    odd = convention_outliers(functions, edges).select("name").distinct().withColumn("odd", F.lit(3))
-    rows = by_name(functions).filter("is_stub").select("name").join(caller_counts(functions, edges).select("name", "callers"), "name", "left").join(chain_positions(functions, edges), "name", "left").join(odd, "name", "left").na.fill(0, ["callers", "odd"])
-    bonus = F.when(F.col("position") == "tail", 5).when(F.col("position") == "middle", 2).otherwise(0)
-    return rows.select("name", (F.col("callers") + bonus + F.col("odd")).alias("composite")).orderBy(F.desc("composite"), "name").limit(n)
+    """(name, family, diverges, is_stub) of members that leave their family's convention."""
+    return convention_members(functions, edges).filter("diverges <> ''").select("name", "family", "diverges", "is_stub")
 
 
 def verify_implementations(functions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -329,22 +473,3 @@ def annotation_queue(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, callers) of implemented functions without parameter types, the most called first."""
     rows = functions.filter("NOT is_stub AND param_types = ''").select("name").distinct()
     return rows.join(caller_counts(functions, edges).select("name", "callers"), "name", "left").na.fill(0, ["callers"])
-
-
-def stub_signals(functions: DataFrame, edges: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(name, hypothesis, score): the best of four readings of a stub by additive weights, from 0.2 on.
-
-    needed: it has callers; design: its docstring waits for something; dead:
-    neither callers nor docstring; inline: it is a tail.
-    """
-    rows = functions.filter("is_stub").groupBy("name").agg(F.max(F.coalesce(F.col("docstring"), F.lit(""))).alias("docstring"))
-    rows = rows.join(caller_counts(functions, edges).select("name", "callers", "live_callers"), "name", "left").join(chain_positions(functions, edges), "name", "left").na.fill(0, ["callers", "live_callers"])
-    known = artifacts.select(F.col("subject").alias("name")).distinct().withColumn("known", F.lit(0.1))
-    rows = rows.join(known, "name", "left").na.fill(0.0, ["known"])
-    waits = (F.size(N.prerequisites("docstring")) > 0).cast("double")
-    score = lambda name, c: F.struct(F.round(c, 4).alias("score"), F.lit(name).alias("hypothesis"))
-    all_ = F.array(
-        score("needed", F.least(F.col("live_callers") * 0.1, F.lit(0.6)) + F.least(F.col("callers") * 0.02, F.lit(0.2))), score("design", waits * 0.5 + F.col("known")),
-        score("dead", F.when(F.col("callers") == 0, 0.4).otherwise(0.0) + F.when(F.col("docstring") == "", 0.3).otherwise(0.0)), score("inline", F.when(F.col("position") == "tail", 0.35).otherwise(0.0)))
-    best = F.array_max(all_)
-    return rows.select("name", best["hypothesis"].alias("hypothesis"), best["score"].alias("score")).filter("score >= 0.2")

@@ -1,8 +1,8 @@
-"""Scans of texts line by line and sentence by sentence: markers, rules, sentence classes and agreement of four passes."""
+"""Scans of texts line by line: markers, sentences of constraint, and four passes that find more sentences like them. Links and calls of pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,100 +17,143 @@ def find_markers(docs: DataFrame, pattern: str = r"\b(TODO|FIXME|HACK|XXX)\b", k
 
 
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n, sentence) split after full stops and at line ends; empty ones left out, numbers counted from 0 before that."""
-    parts = F.split("text", r"[.!?]+\s+|\n+")
-    return docs.select(key, F.posexplode(parts).alias("n", "sentence")).withColumn("sentence", F.trim("sentence")).filter("sentence <> ''")
-
-
-#: Words of obligation, of authority and of action.
-MODAL = ("must", "shall", "should", "never", "always", "required")
-AUTHORITY = ("spec", "policy", "standard", "contract", "rule")
-ACTION = ("use", "call", "return", "store", "read", "write", "import")
+    """(key, n, sentence): lines without list marks, numbered from 0; headings and what has under ten characters left out."""
+    rows = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    clean = F.col("line")
+    for mark in (r"^[-*•]\s+", r"^\d+[.)]\s+", r"^[a-zA-Z][.)]\s+"):
+        clean = F.regexp_replace(clean, mark, "")
+    rows = rows.withColumn("sentence", F.trim(clean))
+    return rows.filter((F.length("sentence") >= 10) & ~F.col("line").rlike(r"^#+\s")).select(key, "n", "sentence")
+
+
+#: Patterns of obligation, action, definition and authority.
+MODAL = r"(?i)\b(must not|must|shall not|shall|may not|never|required to|forbidden|prohibited|always|cannot|will not|is required)\b"
+ACTION = r"(?i)\b(ensure|enforce|require|restrict|allow|prevent|provide|handle|validate|check|guarantee|return|accept|reject|maintain|store|expose|protect|support|initialize|manage)\b"
+AUTHORITY = r"(?i)\b(layer|boundary|authority|system|component|module|interface|contract|engine|controller|manager)\b"
+DEFINITION = r":\s+[A-Z]"
+CONSTRAINT = r"(?i)\b(must not|must|may not|shall not|shall|never|forbidden|only|required|invariant|non-negotiable|always|prohibited|cannot|will not)\b"
+#: Words of the sentence grammar.
+MODAL_WORDS = ("must", "shall", "never", "required", "forbidden", "prohibited", "cannot", "always")
+AUTHORITY_WORDS = ("layer", "boundary", "authority", "system", "component", "module", "interface", "contract", "engine", "controller", "manager", "service", "handler")
+ACTION_WORDS = (
+    "ensure", "enforce", "require", "restrict", "allow", "prevent", "provide", "handle", "validate", "check", "guarantee", "return", "accept", "reject", "maintain", "store", "expose", "protect",
+    "support", "initialize", "manage")
+METHODS = ("fca", "mdl", "wrapper", "grammar")
+
+
+def words_of(sentence: Column) -> Column:
+    return F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
 
 
 def features(sentence: Column | str) -> dict[str, Column]:
-    """Ten binary features."""
+    """The binary features of a sentence."""
     c = F.col(sentence) if isinstance(sentence, str) else sentence
-    low = F.lower(c)
-    word = lambda words: low.rlike(r"\b(" + "|".join(words) + r")\b")
-    size = F.size(F.split(c, r"\s+"))
+    size = F.size(words_of(c))
     return {
-        "modal": word(MODAL), "negated": low.rlike(r"\b(not|never|no)\b"), "authority": word(AUTHORITY), "action": word(ACTION), "number": c.rlike("[0-9]"), "short": size <= 8, "long": size >= 25,
-        "listed": c.rlike(r"^\s*([-*]|[0-9]+[.)])\s"), "coded": c.rlike(r"[A-Za-z]\w*\(\)|`"), "capital": c.rlike("^[A-Z]"),
+        "has_modal": c.rlike(MODAL), "has_verb": c.rlike(ACTION), "has_colon_def": c.rlike(DEFINITION), "has_authority": c.rlike(AUTHORITY), "is_short": size <= 20, "is_long": size > 40, "starts_upper": c.rlike(r"^\p{Lu}"),
     }
 
 
 def structure_class(sentence: Column | str) -> Column:
-    """listed, coded, rule, long or plain: the first that holds."""
-    f = features(sentence)
-    return F.when(f["listed"], "listed").when(f["coded"], "coded").when(f["modal"], "rule").when(f["long"], "long").otherwise("plain")
-
-
-def shared_features(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows that have all but two, at least two, of the features that every seed has."""
-    f = features("sentence")
-    marks = lambda df: df.withColumn("marks", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in f.items())), lambda x: x.isNotNull()))
-    common = marks(seeds).select("sentence", F.explode("marks").alias("m")).distinct().groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    total = seeds.select("sentence").distinct().count()
-    wanted = [r["m"] for r in common.filter(F.col("n") == total).collect()]  # at most ten features
-    need = max(2, len(wanted) - 2)
-    return marks(rows).filter(F.size(F.array_intersect("marks", F.array(*(F.lit(w) for w in sorted(wanted))).cast("array<string>"))) >= need).drop("marks")
-
-
-def seed_class(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows of the structure class that most seeds have; of equals the smallest name."""
-    top = seeds.groupBy(structure_class("sentence").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").first()  # five classes
-    return rows.filter(structure_class("sentence") == F.lit(top["k"] if top else "")) if top else rows.limit(0)
+    """modal, numbered, bullet, authoritative_prose or prose: the first that holds."""
+    c = F.col(sentence) if isinstance(sentence, str) else sentence
+    return (F.when(c.rlike(MODAL), "modal").when(c.rlike(r"^(\d+|[a-zA-Z])[.)]\s+"), "numbered").when(c.rlike(r"^[-*•]\s+"), "bullet")
+            .when(c.rlike(DEFINITION) | c.rlike(AUTHORITY), "authoritative_prose").otherwise("prose"))
 
 
-def shape(sentence: Column | str) -> Column:
-    """Words as MOD, AUT, VRB, NUM or WRD."""
-    c = F.col(sentence) if isinstance(sentence, str) else sentence
-    kind = lambda w: F.when(w.isin(*MODAL), "MOD").when(w.isin(*AUTHORITY), "AUT").when(w.isin(*ACTION), "VRB").when(w.rlike("^[0-9]"), "NUM").otherwise("WRD")
-    return F.transform(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""), kind)
+def constraint_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, sentence) of lines of at least ten characters, without list marks, with words of constraint."""
+    rows = docs.select(key, F.explode(F.split(F.coalesce("text", F.lit("")), r"\r\n?|\n")).alias("line"))
+    rows = rows.withColumn("sentence", F.trim(F.regexp_replace(F.trim("line"), r"^[-•*]+", "")))
+    return rows.filter((F.length("sentence") >= 10) & F.col("sentence").rlike(CONSTRAINT)).select(key, "sentence")
 
 
-def shape_grams(sentence: Column | str, n: int) -> Column:
-    """Distinct runs of n >= 2 word shapes."""
-    s = shape(sentence)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(s, k, n), " "))
-    return F.when(F.size(s) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+def normalized(sentence: Column | str) -> Column:
+    return F.regexp_replace(F.lower(F.trim(sentence)), r"\s+", " ")
 
 
-def grammar_matches(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Rows with two or more of the seeds' word-shape pairs or triples that hold more than plain words."""
-    grams = lambda df: df.select("*", F.explode(F.concat(shape_grams("sentence", 2), shape_grams("sentence", 3))).alias("gram")).filter(F.regexp_replace("gram", "WRD ?", "") != "")
-    known = grams(seeds).select("gram").distinct()
-    hits = grams(rows).join(known, "gram").groupBy(*rows.columns).agg(F.countDistinct("gram").alias("hits"))
-    return hits.filter("hits >= 2").drop("hits")
+def _plain(sentence: Column | str) -> Column:
+    """Lower-cased words without signs."""
+    return words_of(F.lower(F.regexp_replace(sentence, r"[^\w\s]", "")))
 
 
-def vote(passes: dict[str, DataFrame], key: list[str]) -> DataFrame:
-    """(key, votes, tier): convergent from three passes, discriminant for two, else review."""
-    all_ = None
-    for name, df in passes.items():
-        one = df.select(*key, F.lit(name).alias("pass")).distinct()
-        all_ = one if all_ is None else all_.unionByName(one)
-    n = F.count(F.lit(1))
-    return all_.groupBy(*key).agg(n.alias("votes")).withColumn("tier", F.when(F.col("votes") >= 3, "convergent").when(F.col("votes") == 2, "discriminant").otherwise("review"))
+def fca_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n) of sentences that share enough features with all of their text's seeds: all but two, two at least; where seeds share none, with any of them."""
+    f = features("sentence")
+    marked = rows.select(key, "n", "seed", *(c.alias(name) for name, c in f.items()))
+    common = marked.filter("seed").groupBy(key).agg(*(F.bool_and(name).alias(f"all_{name}") for name in f), *(F.bool_or(name).alias(f"any_{name}") for name in f))
+    count = lambda cols: sum((c.cast("int") for c in cols[1:]), cols[0].cast("int"))
+    shared = count([F.col(f"all_{n}") for n in f])
+    joined = marked.filter("NOT seed").join(common, key).withColumn("shared", shared)
+    intent = [F.when(F.col("shared") > 0, F.col(f"all_{n}")).otherwise(F.col(f"any_{n}")) for n in f]
+    met = count([c & F.col(n) for n, c in zip(f, intent, strict=True)])
+    return joined.filter(met >= F.greatest(F.lit(2), count(intent) - 2)).select(key, "n")
+
+
+def mdl_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n) of sentences in the class, of those of their text's seeds, that most of the text is in; of equals the first by name."""
+    classed = rows.withColumn("class", structure_class("sentence"))
+    sizes = classed.groupBy(key, "class").agg(F.count(F.lit(1)).alias("size"), F.bool_or("seed").alias("seeded")).filter("seeded")
+    best = sizes.groupBy(key).agg(F.min(F.struct((-F.col("size")).alias("k"), "class"))["class"].alias("class"))
+    return classed.filter("NOT seed").join(best, [key, "class"]).select(key, "n")
+
+
+def wrapper_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n) of sentences that agree with a seed of their text in three of five: first three words, last three, length in fives, obligation, first word.
+
+    Joined on every three of the five, so only sentences that agree meet.
+    """
+    w = F.col("w")
+    last = F.slice(w, F.greatest(F.size(w) - 2, F.lit(1)), F.lit(3))
+    props = [F.array_join(F.slice(w, 1, 3), " "), F.array_join(last, " "), F.floor(F.size(w) / 5).cast("string"), F.col("sentence").rlike(MODAL).cast("string"), F.coalesce(F.get(w, F.lit(0)), F.lit(""))]
+    threes = [(a, b, c) for a in range(5) for b in range(a + 1, 5) for c in range(b + 1, 5)]
+    keys = F.explode(F.array(*(F.concat_ws("\x1f", F.lit(str(t)), *(props[k] for k in t)) for t in threes)))
+    keyed = rows.withColumn("w", _plain("sentence")).select(key, "n", "seed", keys.alias("k"))
+    return keyed.filter("NOT seed").join(keyed.filter("seed").select(key, "k").distinct(), [key, "k"], "left_semi").select(key, "n").distinct()
 
 
-def constraint_density(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sentences, constraints, grade) by the share of sentences with words of obligation."""
-    rows = sentences(docs, key).groupBy(key).agg(F.count(F.lit(1)).alias("sentences"), F.count_if(features("sentence")["modal"]).alias("constraints"))
-    share = F.col("constraints") / F.col("sentences")
-    return rows.withColumn("grade", F.when(share >= 0.2, "high").when(share >= 0.05, "medium").otherwise("low"))
+def shape(sentence: Column | str) -> Column:
+    """Words as MOD, AUT, VRB or NUM, other words of four letters and more as WRD."""
+    kind = lambda w: F.when(w.isin(*MODAL_WORDS), "MOD").when(w.isin(*AUTHORITY_WORDS), "AUT").when(w.isin(*ACTION_WORDS), "VRB").when(w.rlike("^[0-9]+$"), "NUM").when(F.length(w) >= 4, "WRD")
+    return F.filter(F.transform(_plain(sentence), kind), lambda k: k.isNotNull())
 
 
-def conflicts(rules: DataFrame) -> DataFrame:
-    """(subject, yes, no): subjects with rules of both polarities, by ``rules(subject, polarity)``."""
-    got = rules.groupBy("subject").agg(F.count_if(F.col("polarity") > 0).alias("yes"), F.count_if(F.col("polarity") < 0).alias("no"))
-    return got.filter("yes > 0 AND no > 0")
+def shape_grams(sentence: Column | str) -> Column:
+    """Distinct runs of one to three word shapes."""
 
+    def runs(s: Column, n: int) -> Column:
+        return F.when(F.size(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - n + 1, F.lit(1))), lambda k: F.array_join(F.slice(s, k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-def best_rule(rules: DataFrame) -> DataFrame:
-    """The most confident rule of each subject and polarity, ties by text."""
-    return rules.withColumn("place", F.row_number().over(Window.partitionBy("subject", "polarity").orderBy(F.desc("confidence"), "rule"))).filter("place = 1").drop("place")
+    s = shape(sentence)
+    return F.array_distinct(F.concat(*(runs(s, n) for n in (1, 2, 3))))
+
+
+def grammar_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n) of sentences with two or more of the shape runs of their text's seeds, one of two words at least; seeds that have one run in all accept nothing."""
+    grams = rows.select(key, "n", "seed", F.explode(shape_grams("sentence")).alias("gram"))
+    accepted = grams.filter("seed").select(key, "gram").distinct()
+    enough = accepted.groupBy(key).agg(F.count(F.lit(1)).alias("accepted")).filter("accepted >= 2").select(key)
+    met = grams.filter("NOT seed").join(accepted, [key, "gram"]).join(enough, key, "left_semi")
+    return met.groupBy(key, "n").agg(F.count(F.lit(1)).alias("hits"), F.max(F.col("gram").contains(" ")).alias("long")).filter("hits >= 2 AND long").select(key, "n")
+
+
+def induced(docs: DataFrame, seeds: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, n, sentence, methods, tier) of sentences that structure alone shows to be like a text's rules.
+
+    ``seeds(key, sentence)`` are the rules known, by default the sentences of
+    constraint. discriminant: found by two methods and more though no seed;
+    review: by one.
+    """
+    rows = sentences(docs, key).withColumn("norm", normalized("sentence"))
+    known = (constraint_sentences(docs, key) if seeds is None else seeds).select(key, normalized("sentence").alias("norm")).distinct().withColumn("seed", F.lit(True))
+    rows = rows.join(known, [key, "norm"], "left").select(key, "n", "sentence", F.coalesce("seed", F.lit(False)).alias("seed"))
+    hits = None
+    for name, found in zip(METHODS, (fca_hits, mdl_hits, wrapper_hits, grammar_hits), strict=True):
+        one = found(rows, key).select(key, "n", F.lit(name).alias("method"))
+        hits = one if hits is None else hits.unionByName(one)
+    merged = hits.groupBy(key, "n").agg(F.collect_set("method").alias("m"))
+    methods = F.array_join(F.filter(F.array(*(F.lit(m) for m in METHODS)), lambda m: F.array_contains(F.col("m"), m)), ",")
+    return rows.join(merged, [key, "n"]).select(key, "n", "sentence", methods.alias("methods"), F.when(F.size("m") >= 2, "discriminant").otherwise("review").alias("tier"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

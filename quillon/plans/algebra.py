@@ -42,17 +42,19 @@ class PlanError(ValueError):
     """A query that the algebra doesn't allow."""
 
 
-#: The views with their metrics, and the columns that filters may name.
+#: The views with their metrics, the keys that filters may name, and the pairs that may be combined.
 METRICS = {
-    "STRUCTURE": ("edges", "adjacency", "hotspots"), "STABILITY": ("stable_files", "unstable_files"), "INTEGRITY": ("errors", "warnings", "db_mismatches"),
+    "STRUCTURE": ("edges", "adjacency", "hotspots"), "STABILITY": ("stable_contracts", "unstable_contracts", "drift_signals"), "INTEGRITY": ("errors", "warnings", "db_mismatches"),
     "SUMMARY": ("edge_count", "file_count", "metrics"), "SUBSYSTEM": ("subsystems",), "ROLE": ("files", "totals"), "INTENT": ("functions", "classes", "mutations", "coverage"),
 }
 FILTER_KEYS = {
-    "STRUCTURE": ("caller", "callee", "symbol", "degree"), "STABILITY": ("file_path", "violations"), "INTEGRITY": ("kind", "subject"), "SUMMARY": ("metric", "value"),
-    "SUBSYSTEM": ("module", "cross_edges"), "ROLE": ("file_path",), "INTENT": ("file_path", "name"),
+    "STRUCTURE": ("edges", "callee", "caller", "hotspots"), "STABILITY": ("stable_contracts", "unstable_contracts"), "SUBSYSTEM": ("modules", "edge_count"), "ROLE": ("file_path",),
+    "INTENT": ("file_path", "name"), "INTEGRITY": (), "SUMMARY": (),
 }
 OPERATORS = ("==", ">", "<", "endswith")
-PAIRS = frozenset(frozenset(p) for p in (("STRUCTURE", "STABILITY"), ("STRUCTURE", "INTEGRITY"), ("STABILITY", "INTEGRITY"), ("SUMMARY", "STRUCTURE"), ("ROLE", "STRUCTURE")))
+PAIRS = frozenset(frozenset(p) for p in (("STRUCTURE", "STABILITY"), ("STRUCTURE", "INTEGRITY"), ("SUMMARY", "STABILITY"), ("SUBSYSTEM", "STRUCTURE"), ("STABILITY", "INTEGRITY")))
+#: Columns of the results that keys stand for, where they differ.
+COLUMNS = {"edges": "callee", "hotspots": "degree", "stable_contracts": "file_path", "unstable_contracts": "file_path", "modules": "module", "edge_count": "cross_edges"}
 
 
 def check_select(q: Select) -> None:
@@ -85,9 +87,10 @@ def plan(q: object) -> Select | Combine:
 
 def apply_filter(data: DataFrame, f: Filter) -> DataFrame:
     """Comparisons take a missing number as 0; a column that a metric lacks is an error."""
-    if f.key not in data.columns:
+    name = COLUMNS.get(f.key, f.key)
+    if name not in data.columns:
         raise PlanError(f"this result has no {f.key}")
-    c = F.col(f.key)
+    c = F.col(name)
     if f.op == "==":
         return data.filter(c == F.lit(f.value))
     if f.op == "endswith":
@@ -112,7 +115,7 @@ class Executor:
         out = {}
         for name in names:
             data = made[name]()
-            if q.filter and (q.metric or q.filter.key in data.columns):
+            if q.filter and (q.metric or COLUMNS.get(q.filter.key, q.filter.key) in data.columns):
                 data = apply_filter(data, q.filter)
             out[name] = data
         return out[q.metric] if q.metric else out
@@ -120,23 +123,22 @@ class Executor:
 
 #: The rule table from intents to queries; all others ask for STRUCTURE.
 RULES = {
-    "impact_query": Select("STRUCTURE", "hotspots"), "reverse_query": Select("STRUCTURE", "edges"), "surface_query": Select("STRUCTURE", "adjacency"), "integrity_query": Select("INTEGRITY"),
-    "stability_query": Select("STABILITY"), "subsystem_query": Select("SUBSYSTEM"), "role_query": Select("ROLE"), "intent_query": Select("INTENT"), "summary_query": Select("SUMMARY"),
-    "risk_query": Combine(Select("STRUCTURE", "hotspots"), Select("STABILITY")),
+    "impact_query": Combine(Select("STRUCTURE"), Select("INTEGRITY")), "surface_query": Combine(Select("STRUCTURE"), Select("STABILITY")),
+    "reverse_query": Combine(Select("STRUCTURE"), Select("INTEGRITY")), "general_query": Combine(Select("STABILITY"), Select("INTEGRITY")), "role_query": Select("ROLE"),
 }
 
 
 def named_file(text: str) -> str | None:
-    """The one ``*.py`` file that a text names; none where it names several."""
-    found = re.findall(r"[\w./-]+\.py\b", text or "")
-    return found[0] if len(set(found)) == 1 else None
+    """The ``*.py`` file that a text names, once; none where it names files more often."""
+    found = re.findall(r"\b[\w./\\-]+\.py\b", text or "")
+    return found[0] if len(found) == 1 else None
 
 
 def compile_query(intent: str, text: str = "") -> Select | Combine:
-    """Intent and text to an allowed query; a ROLE query that names one file is narrowed to it."""
+    """Intent and text to an allowed query; a ROLE query for all or for its files that names one file is narrowed to it."""
     q = RULES.get(intent, Select("STRUCTURE"))
     path = named_file(text)
-    if isinstance(q, Select) and q.view == "ROLE" and path:
+    if isinstance(q, Select) and q.view == "ROLE" and q.metric in (None, "files") and q.filter is None and path:
         q = replace(q, metric="files", filter=Filter("file_path", "endswith", path))
     return plan(q)
 

@@ -25,7 +25,7 @@ def views_of(corpus) -> dict:
     coverage = lambda kind: A.intent_coverage(c.functions, c.classes, c.mutations).filter(F.col("kind") == kind)
     return {
         "STRUCTURE": {"edges": lambda: c.edges.select("caller", "callee"), "adjacency": lambda: G.adjacency(clean()), "hotspots": lambda: structure_hotspots(c.edges, A.builtin_symbols(c.refs))},
-        "STABILITY": {"stable_files": lambda: A.stability(c.contract_reports).filter("stable"), "unstable_files": lambda: A.stability(c.contract_reports).filter("NOT stable")},
+        "STABILITY": {"stable_contracts": lambda: A.stability(c.contract_reports).filter("stable"), "unstable_contracts": lambda: A.stability(c.contract_reports).filter("NOT stable"), "drift_signals": lambda: A.drift(c.contract_reports)},
         "INTEGRITY": {"errors": lambda: checks("error"), "warnings": lambda: checks("warning"), "db_mismatches": lambda: A.integrity(c.refs, c.edges).filter("kind = 'edges_minus_refs' AND n <> 0").select("kind", F.col("n").cast("string").alias("subject"))},
         "SUMMARY": {"edge_count": lambda: summary().filter("metric = 'edge_count'"), "file_count": lambda: summary().filter("metric = 'file_count'"), "metrics": summary},
         "SUBSYSTEM": {"subsystems": lambda: G.subsystems(c.edges, modules(), A.builtin_symbols(c.refs))},

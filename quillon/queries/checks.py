@@ -8,7 +8,7 @@ from ..functions import names as N
 from ..operators import assess as A
 from ..plans.algebra import Combine, Executor, Filter, Select
 from ..plans.views import views_of
-from .graphs import HOTSPOTS, LAST
+from .graphs import BUILTIN_LIST, HOTSPOTS, LAST
 from .registry import query
 
 _BUCKETS = "SELECT k.bucket, count(r.b) AS n FROM (VALUES ('project'), ('builtin'), ('classification_gap')) k(bucket) LEFT JOIN (SELECT CASE WHEN bucket IN ('project', 'builtin') THEN bucket ELSE 'classification_gap' END AS b FROM {refs}) r ON r.b = k.bucket GROUP BY k.bucket"
@@ -64,7 +64,7 @@ def contract_drift(c):
 
 
 _HISTORY = "SELECT file_path AS contract_name, CASE WHEN severity = 'error' THEN 'structural' WHEN violation > 0 THEN 'recurring' ELSE 'transient' END AS classification FROM {contract_reports}"
-_HEALTH = f"""SELECT contract_name, n, round_even(greatest(0.0, 1 - (3 * s + 2 * r + t) / n / 5), 3) AS stability, CASE WHEN s > r + t THEN 'worsening' WHEN s > 0 THEN 'mixed' ELSE 'steady' END AS trend
+_HEALTH = f"""SELECT contract_name, n, round_even(greatest(0.0, 1 - (3 * s + 2 * r + t) / n / 5), 3) AS stability, CASE WHEN s > r THEN 'degrading' WHEN t > s AND r = 0 THEN 'improving' ELSE 'stable' END AS trend
 FROM (SELECT contract_name, count(*) AS n, count(*) FILTER (classification = 'structural') AS s, count(*) FILTER (classification = 'recurring') AS r, count(*) FILTER (classification = 'transient') AS t FROM ({_HISTORY}) GROUP BY contract_name)"""
 
 
@@ -78,7 +78,8 @@ def contract_health(c):
     return A.health(_history(c))
 
 
-@query(f"SELECT contract_name, CASE WHEN n = 0 THEN 'OBSOLETE' WHEN n = 1 AND stability >= 0.8 THEN 'STALE' WHEN stability < 0.4 THEN 'UNSTABLE' WHEN stability < 0.6 OR trend = 'worsening' THEN 'DEGRADING' WHEN stability >= 0.9 THEN 'STABLE' ELSE 'ACTIVE' END AS state FROM ({_HEALTH})")
+@query(f"""SELECT contract_name, state, CASE state WHEN 'ACTIVE' THEN 'no action' WHEN 'STABLE' THEN 'monitor' WHEN 'DEGRADING' THEN 'investigate usage shift' WHEN 'UNSTABLE' THEN 'review contract definition' WHEN 'STALE' THEN 'insufficient signal' ELSE 'candidate for removal' END AS recommendation
+FROM (SELECT contract_name, CASE WHEN stability > 0.85 AND trend = 'stable' THEN 'ACTIVE' WHEN stability >= 0.7 AND stability <= 0.85 THEN 'STABLE' WHEN trend = 'degrading' THEN 'DEGRADING' WHEN stability < 0.5 AND n > 5 THEN 'UNSTABLE' WHEN n <= 2 THEN 'STALE' ELSE 'OBSOLETE' END AS state FROM ({_HEALTH}))""")
 def contract_lifecycle(c):
     return A.lifecycle(A.health(_history(c)))
 
@@ -93,7 +94,8 @@ def stability_view(c):
     return A.stability(c.contract_reports)
 
 
-_ROLES = "SELECT file_path, " + ", ".join(f"bool_or(regexp_matches(lower(file_path || coalesce(' ' || callee, '')), '{'|'.join(w)}')) AS {r}" for r, w in A.ROLE_WORDS.items()) + " FROM {refs} GROUP BY file_path"
+_ROLES = """SELECT file_path, bool_or(regexp_matches(t, 'scan|parse|ast|ingestion|scanner')) AS ingestion, bool_or(regexp_matches(t, 'classify|semantic|symbol|reference')) AS classification, bool_or(regexp_matches(t, 'graph|edge|node|builder')) AS graph,
+bool_or(regexp_matches(t, 'sqlite|database|persist|insert|update')) AS persistence, bool_or(regexp_matches(t, 'report|summary|snapshot|json|print')) AS reporting FROM (SELECT file_path, lower(file_path || coalesce(' ' || callee, '')) AS t FROM {refs}) GROUP BY file_path"""
 
 
 @query(_ROLES)
@@ -101,7 +103,7 @@ def responsibility_map(c):
     return A.responsibilities(c.refs)
 
 
-@query(" UNION ALL ".join(f"SELECT '{r}' AS role, count(*) FILTER ({r}) AS files FROM ({_ROLES})" for r in A.ROLE_WORDS))
+@query(" UNION ALL ".join(f"SELECT '{r}' AS role, count(*) FILTER ({r}) AS files FROM ({_ROLES})" for r in ("ingestion", "classification", "graph", "persistence", "reporting")))
 def responsibility_totals(c):
     return A.responsibility_totals(c.refs)
 
@@ -126,15 +128,41 @@ def algebra_intent_filtered(c):
 @query(f"SELECT 'hotspot' AS side, symbol AS item, degree AS n FROM ({HOTSPOTS}) WHERE degree > 3 UNION ALL SELECT 'unstable', file_path, v FROM (SELECT file_path, sum(violation)::BIGINT AS v FROM {{contract_reports}} GROUP BY file_path) WHERE v > 0")
 def algebra_combined(c):
     """A Combine pairs two results; here they are put one under the other."""
-    left, right = Executor(views_of(c)).execute(Combine(Select("STRUCTURE", "hotspots", Filter("degree", ">", 3)), Select("STABILITY", "unstable_files")))
+    left, right = Executor(views_of(c)).execute(Combine(Select("STRUCTURE", "hotspots", Filter("hotspots", ">", 3)), Select("STABILITY", "unstable_contracts")))
     return left.select(F.lit("hotspot").alias("side"), F.col("symbol").alias("item"), F.col("degree").alias("n")).unionByName(right.select(F.lit("unstable").alias("side"), F.col("file_path").alias("item"), F.col("violations").alias("n")))
 
 
-@query("""SELECT callee AS name, CASE WHEN callee IS NULL OR callee = '' THEN 'unknown' WHEN string_split(callee, '.')[1] IN ('print', 'len') THEN 'builtin' WHEN string_split(callee, '.')[1] = 'self' THEN 'runtime' WHEN string_split(callee, '.')[1] IN ('os', 'sys') THEN 'stdlib'
-WHEN string_split(callee, '.')[1] IN ('mod1', 'mod2', 'mod3') THEN 'project' WHEN contains(callee, '.') THEN 'external' ELSE 'unknown' END AS bucket, count(*) AS n FROM {refs} GROUP BY 1, 2""")
+_ENVIRONMENT = "(SELECT DISTINCT regexp_replace(name, '^.*[.]', '') FROM {functions} WHERE is_tool OR id % 3 = 0)"
+
+
+@query(f"""SELECT name, bucket, count(*) AS n FROM (SELECT callee AS name, CASE WHEN regexp_replace(callee, '^.*[.]', '') IN {_ENVIRONMENT} THEN 'project' WHEN regexp_replace(callee, '^.*[.]', '') IN ({BUILTIN_LIST}) THEN 'builtin'
+WHEN string_split(callee, '.')[1] IN ('os', 'sys', 're', 'json') THEN 'stdlib' WHEN line_number % 5 = 0 THEN 'runtime' ELSE 'unknown' END AS bucket FROM (SELECT callee, line_number FROM {{refs}} WHERE callee IS NOT NULL UNION ALL SELECT module, line_number FROM {{imports}})) GROUP BY 1, 2""")
 def classify_references(c):
-    kind = N.bucket("callee", ("print", "len"), ("self",), ("os", "sys"), ("mod1", "mod2", "mod3"))
-    return c.refs.select(F.col("callee").alias("name"), kind.alias("bucket")).groupBy("name", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    """References and imports by class; a name is the project's if it ends in one of its symbols."""
+    own = c.functions.filter("is_tool OR id % 3 = 0").select(N.after_last_dot("name").alias("leaf")).distinct().withColumn("own", F.lit(True))
+    rows = c.refs.filter("callee IS NOT NULL").select(F.col("callee").alias("name"), "line_number").unionByName(c.imports.select(F.col("module").alias("name"), "line_number"))
+    rows = rows.withColumn("leaf", N.after_last_dot("name")).join(own, "leaf", "left")
+    kind = N.symbol_class("name", F.col("own"), F.when(F.col("line_number") % 5 == 0, "alias"))
+    return rows.select("name", kind.alias("bucket")).groupBy("name", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT role, count(*) AS n FROM (SELECT CASE WHEN s IS NULL OR s = '' THEN 'unknown' WHEN lower(s) = 'print' THEN 'runtime_noise' WHEN lower(s) IN ('str', 'sum', 'len') THEN 'builtin_primitive' WHEN lower(s) = 'exec' THEN 'runtime_execution' WHEN starts_with(lower(s), 'test_') THEN 'test_code'
+WHEN starts_with(s, '<') THEN 'runtime_artifact' WHEN contains(s, '.') THEN 'qualified_reference' WHEN regexp_matches(s, '^[A-Z]') THEN 'type_or_class' ELSE 'general_symbol' END AS role FROM (SELECT callee AS s FROM {refs} UNION ALL SELECT name FROM {classes})) GROUP BY role""")
+def semantic_roles(c):
+    names = c.refs.select(F.col("callee").alias("s")).unionByName(c.classes.select(F.col("name").alias("s")))
+    return names.groupBy(N.semantic_role("s").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT *, CASE WHEN contracts > 0 THEN unstable / contracts ELSE 0.0 END AS ratio FROM {policy_states}),
+r AS (SELECT id, CASE WHEN has_cycles THEN 0.35 ELSE 0 END AS a, least(errors * 0.08, 0.40) AS b, ratio * 0.40 AS c, CASE WHEN edges / greatest(files, 1) > 20 THEN 0.10 ELSE 0 END AS d, CASE WHEN top_degree > 50 THEN 0.10 ELSE 0 END AS e, CASE WHEN role_files = 0 THEN 0.05 ELSE 0 END AS f,
+CASE WHEN intent IS NULL THEN 0 WHEN seed_count = 0 THEN 0.25 WHEN seed_count <= 3 THEN 0.10 ELSE 0 END AS g, CASE WHEN intent IS NOT NULL AND expanded_count / greatest(seed_count, 1) < 2.0 THEN 0.10 ELSE 0 END AS h, CASE WHEN intent IN ('debug_query', 'general_query') THEN 0.10 ELSE 0 END AS i,
+'INTEGRITY' || CASE WHEN has_cycles THEN ',STRUCTURE' ELSE '' END || CASE WHEN ratio > 0.30 THEN ',STABILITY' ELSE '' END || CASE WHEN top_degree > 50 THEN ',SUMMARY' ELSE '' END AS surfaces FROM t)
+SELECT id, round(a::DOUBLE + b::DOUBLE + c::DOUBLE + d::DOUBLE + e::DOUBLE + f::DOUBLE, 6) AS corpus_risk, round(g::DOUBLE + h::DOUBLE + i::DOUBLE, 6) AS query_risk, round(greatest(0.0, least(1.0, a::DOUBLE + b::DOUBLE + c::DOUBLE + d::DOUBLE + e::DOUBLE + f::DOUBLE + g::DOUBLE + h::DOUBLE + i::DOUBLE)), 6) AS severity, surfaces FROM r""")
+def epistemic_policy(c):
+    """Risk of many states of a corpus and a question."""
+    rows = A.epistemic_risk(c.policy_states)
+    add = lambda names: F.round(sum((F.col(f"risk_{k}") for k in names[1:]), F.col(f"risk_{names[0]}")), 6)
+    return rows.select("id", add(A.RISK_TERMS[:6]).alias("corpus_risk"), add(A.RISK_TERMS[6:]).alias("query_risk"), F.round("severity", 6).alias("severity"), "surfaces")
 
 
 @query("""SELECT CASE WHEN caller IS NULL OR callee IS NULL OR caller = '' OR callee = '' THEN 'unknown' WHEN caller LIKE 'test\\_%' ESCAPE '\\' THEN 'test_execution' WHEN caller LIKE '<%' THEN 'runtime_execution' WHEN contains(callee, '.') THEN 'module_dependency' WHEN regexp_matches(callee, '^[A-Z]') THEN 'type_usage' ELSE 'function_call' END AS role, count(*) AS n FROM {refs} GROUP BY 1""")

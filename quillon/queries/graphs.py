@@ -10,7 +10,7 @@ from .registry import query
 
 BUILTIN_LIST = ", ".join(f"'{b}'" for b in N.PYTHON_BUILTINS)
 #: Noise in SQL, over a column.
-NOISE = """({c} = '' OR {c} LIKE '<%' OR {c} IN (BUILTINS) OR regexp_matches({c}, '(^|[.])(self|cursor|cls|ctx)([.]|$)') OR
+NOISE = """({c} = '' OR {c} LIKE '<%' OR {c} IN (BUILTINS) OR regexp_matches(lower({c}), '(^|[.])(self|cursor|cls|ctx)([.]|$)') OR
  (len(string_split({c}, '.')) >= 3 AND len(list_filter(string_split({c}, '.')[2:len(string_split({c}, '.')) - 1], lambda p: length(p) <= 2)) > 0))""".replace("BUILTINS", BUILTIN_LIST)
 PAIRS = "SELECT DISTINCT caller, callee FROM {v} WHERE caller IS NOT NULL AND callee IS NOT NULL"
 

@@ -111,20 +111,22 @@ def embedding_index(c):
 # Routing
 
 
-def _intent_sql(column: str) -> str:
-    whens = " ".join("WHEN " + " OR ".join(f"contains(lower({column}), '{p}')" for p in phrases) + f" THEN '{name}'" for name, phrases in R.INTENTS)
-    return f"CASE {whens} ELSE '{R.GENERAL}' END"
+_INTENT = """CASE WHEN contains(q, 'what depends') OR contains(q, 'impact') THEN 'impact_query' WHEN contains(q, 'what uses') OR contains(q, 'used by') THEN 'reverse_query' WHEN contains(q, 'what does') OR contains(q, 'surface') THEN 'surface_query'
+WHEN regexp_matches(q, 'broken|failing|crashed|erroring|not working') OR (contains(q, 'why') AND regexp_matches(q, 'fail|wrong|error|bug|crash|exception')) THEN 'debug_query' WHEN contains(q, 'mutates') OR (regexp_matches(q, 'modif|changes') AND regexp_matches(q, 'where|what|who')) THEN 'mutation_query'
+WHEN regexp_matches(q, 'purpose|why does|why is|role of|what role|what kind of') THEN 'role_query' ELSE 'general_query' END"""
 
 
-@query(f"SELECT intent, count(*) AS n FROM (SELECT {_intent_sql('raw_query')} AS intent FROM {{sessions}}) GROUP BY intent")
+@query(f"SELECT intent, count(*) AS n FROM (SELECT {_INTENT} AS intent FROM (SELECT lower(raw_query) AS q FROM {{questions}} UNION ALL SELECT lower(coalesce(raw_query, '')) FROM {{sessions}})) GROUP BY intent")
 def detect_intents(c):
-    return c.sessions.select(R.intent_of("raw_query").alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    asked = c.questions.select("raw_query").unionByName(c.sessions.select("raw_query"))
+    return asked.select(R.intent_of("raw_query").alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT conv_id, turn, intent, CASE intent " + " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in R.PRIMITIVES.items()) + f" END AS primitives FROM (SELECT conv_id, turn, {_intent_sql('raw_query')} AS intent FROM {{sessions}})")
+@query(f"""SELECT query_id, intent, CASE intent WHEN 'impact_query' THEN 'impact,context' WHEN 'reverse_query' THEN 'impact' WHEN 'surface_query' THEN 'surface,context' WHEN 'role_query' THEN 'role' WHEN 'debug_query' THEN 'findings,impact,context' WHEN 'mutation_query' THEN 'mutations,impact,context'
+ELSE 'context,surface,impact' END AS primitives FROM (SELECT query_id, {_INTENT} AS intent FROM (SELECT query_id, lower(raw_query) AS q FROM {{questions}}))""")
 def query_sessions(c):
-    """Every session's intent and primitives."""
-    return c.sessions.withColumn("intent", R.intent_of("raw_query")).select("conv_id", "turn", "intent", R.primitives_of("intent").alias("primitives"))
+    """Every question's intent and primitives."""
+    return c.questions.withColumn("intent", R.intent_of("raw_query")).select("query_id", "intent", R.primitives_of("intent").alias("primitives"))
 
 
 QUESTIONS = ((1, "Which function can load an order row?"), (2, "Where do we parse a row"), (3, "who calls get item"), (4, "helper"), (5, "set the item"))
@@ -141,12 +143,20 @@ def discover_seeds(c):
 
 
 @query("""WITH e AS (SELECT DISTINCT caller, callee FROM {fk_edges}), x AS (SELECT 'n3' AS symbol, 0 AS o UNION ALL SELECT callee, 1 FROM e WHERE caller = 'n3' UNION ALL SELECT caller, 2 FROM e WHERE callee = 'n3'), b AS (SELECT symbol, min(o) AS o FROM x GROUP BY symbol),
-d AS (SELECT s AS symbol, count(*) AS degree FROM (SELECT caller AS s FROM {fk_edges} UNION ALL SELECT callee FROM {fk_edges}) GROUP BY s)
+d AS (SELECT s AS symbol, count(*) AS degree FROM (SELECT caller AS s FROM e UNION ALL SELECT callee FROM e) GROUP BY s)
 SELECT symbol, CASE o WHEN 0 THEN 'seed' WHEN 1 THEN 'forward' ELSE 'reverse' END AS reason, degree, round(CASE WHEN symbol = 'n3' THEN 5 ELSE 0 END + CASE WHEN contains(symbol, 'n3') THEN 2 ELSE 0 END + least(0.1::DOUBLE * degree, 3.0), 6)::DOUBLE AS score FROM b JOIN d USING (symbol) ORDER BY score DESC, symbol LIMIT 40""")
 def route_query(c):
     return R.route(c.fk_edges, ["n3"], "general_query")
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT caller, callee FROM {edges} WHERE caller IS NOT NULL AND callee IS NOT NULL), v AS (SELECT * FROM e WHERE NOT starts_with(caller, '<') AND caller <> '' AND NOT regexp_matches(lower(caller), '(^|[.])(self|cursor|cls|ctx)([.]|$)')),
+w AS (SELECT 'helper' AS symbol, 0 AS d UNION SELECT v.caller, d + 1 FROM w JOIN v ON v.callee = w.symbol WHERE d < 2), b AS (SELECT symbol, min(d) AS d FROM w GROUP BY symbol), g AS (SELECT s AS symbol, count(*) AS degree FROM (SELECT caller AS s FROM e UNION ALL SELECT callee FROM e) GROUP BY s)
+SELECT symbol, CASE WHEN d = 0 THEN 'seed' ELSE 'reverse' END AS reason, degree, round(CASE WHEN symbol = 'helper' THEN 5 ELSE 0 END + CASE WHEN contains(symbol, 'helper') THEN 2 ELSE 0 END + least(0.1::DOUBLE * degree, 3.0), 6)::DOUBLE AS score FROM b JOIN g USING (symbol) ORDER BY score DESC, symbol LIMIT 40""")
+def route_debug_query(c):
+    """Two hops back from a name, around noise."""
+    return R.route(c.edges, ["helper"], "debug_query")
+
+
 # Texts
 
 
@@ -170,23 +180,3 @@ def normalized_urls(c):
 @query("SELECT page_id, unnest(regexp_extract_all(html, '(?:[;>]|on\\w+=[\"''])\\s*([A-Za-z_]\\w*)\\(', 1)) AS call FROM {pages}")
 def script_calls(c):
     return X.script_calls(c.pages)
-
-
-_SENT = "SELECT doc_id, trim(s) AS sentence FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]+\\s+|\\n+')) AS s FROM {documents}) WHERE trim(s) <> ''"
-_CLASS = "CASE WHEN regexp_matches(sentence, '^\\s*([-*]|[0-9]+[.)])\\s') THEN 'listed' WHEN regexp_matches(sentence, '[A-Za-z]\\w*\\(\\)|`') THEN 'coded' WHEN regexp_matches(lower(sentence), '\\b(must|shall|should|never|always|required)\\b') THEN 'rule' WHEN len(regexp_split_to_array(sentence, '\\s+')) >= 25 THEN 'long' ELSE 'plain' END"
-
-
-@query(f"SELECT class, count(*) AS n FROM (SELECT {_CLASS} AS class FROM ({_SENT})) GROUP BY class")
-def sentence_classes(c):
-    return X.sentences(c.documents).select(X.structure_class("sentence").alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT p_brand AS subject, count(*) FILTER (p_size % 2 = 0) AS yes, count(*) FILTER (p_size % 2 = 1) AS no FROM {part} GROUP BY p_brand HAVING count(*) FILTER (p_size % 2 = 0) > 0 AND count(*) FILTER (p_size % 2 = 1) > 0")
-def rule_conflicts(c):
-    return X.conflicts(c.part.select(F.col("p_brand").alias("subject"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(-1).alias("polarity")))
-
-
-@query("SELECT subject, polarity, rule FROM (SELECT p_brand AS subject, p_size % 2 AS polarity, p_name || p_partkey AS rule, row_number() OVER (PARTITION BY p_brand, p_size % 2 ORDER BY p_retailprice DESC, p_name || p_partkey) AS r FROM {part}) WHERE r = 1")
-def deduplicated_rules(c):
-    rules = c.part.select(F.col("p_brand").alias("subject"), (F.col("p_size") % 2).alias("polarity"), F.concat("p_name", "p_partkey").alias("rule"), F.col("p_retailprice").alias("confidence"))
-    return X.best_rule(rules).select("subject", "polarity", "rule")

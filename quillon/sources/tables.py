@@ -28,17 +28,33 @@ def _path(key: str) -> str:
     return f"CASE WHEN {key} % 41 = 0 THEN 'tests/test_' || {_module(key)} || '.py' ELSE 'pkg' || CAST({key} % 5 AS STRING) || '/sub' || CAST({key} % 3 AS STRING) || '/' || {_module(key)} || '.py' END"
 
 
+def _line(k: str) -> str:
+    """A line of a design document."""
+    return ("CASE ({k}) % 12 WHEN 0 THEN '- The storage layer must not import the web module' WHEN 1 THEN '2. `ui/views` cannot depend on `core.store`' WHEN 2 THEN 'Every controller must validate its input and return a result' WHEN 3 THEN 'Orders are kept in tables for later use' "
+            "WHEN 4 THEN 'a) The engine shall never expose internal state of ' || p_brand WHEN 5 THEN 'Note: Managers handle requests of ' || p_name WHEN 6 THEN 'short' WHEN 7 THEN '* Callers `pkg1` should not use `os`' WHEN 8 THEN 'The system is required to protect all records of ' || p_name "
+            "WHEN 9 THEN '## ' || CASE WHEN p_partkey % 3 = 0 THEN 'OrderEngine' || CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS STRING) || ': rules of writes' WHEN p_partkey % 3 = 1 THEN 'B2. The mutation of ' || CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS STRING) ELSE 'Visibility ' || CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS STRING) || ' (all of it)' END WHEN 10 THEN 'Plain prose about ' || p_name || ' in general terms, nothing more' ELSE 'Data must be stored by the store layer and the cache may not keep it' END").replace("{k}", k)
+
+
+_LINES = " || chr(10) || ".join(_line(k) for k in ("p_partkey", "p_partkey * 5 + 1", "p_partkey * 7 + 2", "p_size", "p_size * 5 + p_partkey", "p_partkey * 11 + 4", "p_size + 9", "p_partkey + p_size * 7"))
+
+
 VIEWS: dict[str, str] = {
     # A function per part.
     "functions": f"""SELECT p_partkey AS id, {_path('p_partkey')} AS file_path, {_name('p_partkey')} AS name, CAST(p_size AS INT) AS line_number,
         CASE WHEN p_size % 10 < 2 THEN 'Missing' WHEN p_partkey % 5 = 0 THEN 'Optional[Class' || CAST(p_partkey % 25 AS STRING) || ']' WHEN p_partkey % 5 = 1 THEN 'int' WHEN p_partkey % 5 = 2 THEN 'OrderRow' END AS return_type,
-        CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN '' WHEN p_partkey % 6 = 2 THEN p_name || ' blocked on ' || p_brand || ' then requires OrderEngine' ELSE p_name || ' for Class' || CAST(p_partkey % 31 AS STRING) || ' and PartStore' END AS docstring,
-        p_size <= 15 AS is_stub,
+        CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN '' WHEN p_partkey % 6 = 2 THEN p_name || ' blocked on ' || p_brand || ' then requires OrderEngine' WHEN p_partkey % 6 = 3 THEN p_name || ' should drive the WorldController and CombatFSM' WHEN p_partkey % 18 = 4 THEN 'The store does not support ' || p_name || ' of PlayerState'
+            WHEN p_partkey % 18 = 10 THEN 'will be implemented when ' || p_name || ' exists, see Mod3Registry' ELSE p_name || ' for Class' || CAST(p_partkey % 31 AS STRING) || 'Handler and PartStore' END AS docstring,
+        p_size <= 15 AS is_stub, CASE p_size % 5 WHEN 0 THEN 'empty_pass' WHEN 1 THEN 'trivial_return' WHEN 2 THEN 'raise_not_impl' WHEN 3 THEN 'has_content' END AS body_shape,
         CASE WHEN p_partkey % 29 = 0 THEN 'property' WHEN p_partkey % 31 = 0 THEN 'app.route' WHEN p_partkey % 23 = 0 THEN 'abstractmethod' ELSE '' END AS decorators,
         CASE WHEN p_partkey % 31 = 0 THEN '/api/' || lower(p_type) || '/<id>/' END AS http_route, p_partkey % 43 = 0 AS is_tool,
         CASE WHEN p_partkey % 3 = 0 THEN 'Class' || CAST(p_partkey % 25 AS STRING) END AS class_name,
         CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 7 = 1 THEN 'order:Order' ELSE 'order:Order,row:Class' || CAST(p_partkey % 33 AS STRING) END AS param_types
         FROM {{part}}""",
+    # The same, and stubs that outside events or machines call, converters, methods of a class's life and files of data.
+    "all_functions": """SELECT * FROM {functions} UNION ALL SELECT id + 10000000, CASE WHEN id % 7 = 0 THEN 'fsm/combat' || CAST(id % 3 AS STRING) || '.json' WHEN id % 7 = 1 THEN 'app/handlers/m' || CAST(id % 5 AS STRING) || '.py' WHEN id % 7 = 2 THEN 'conf/m.yaml' ELSE file_path END,
+        CASE WHEN id % 7 = 0 THEN 'Combat::action::a' || CAST(id AS STRING) WHEN id % 7 = 1 THEN 'work' || CAST(id AS STRING) WHEN id % 7 = 3 THEN 'on_event' || CAST(id AS STRING) WHEN id % 7 = 4 THEN '__init__' WHEN id % 7 = 5 THEN 'to_json' ELSE 'alone' || CAST(id AS STRING) END,
+        line_number, return_type, docstring, id % 7 <> 6, body_shape, decorators, NULL, false, class_name, param_types FROM {functions} WHERE id % 11 < 2""",
+    "fsm_artifacts": """SELECT 'Combat.' || n_name AS subject, 'fsm_state' AS kind FROM {nation} WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'Encounter.start_world' || CAST(n_nationkey AS STRING), 'fsm_action' FROM {nation} WHERE n_nationkey % 3 = 1 UNION ALL SELECT 'Player', 'note' FROM {region}""",
     # A call per pair of neighbouring lines of an order, most of them to vendor code; duplicates and several spellings of a callee occur.
     "edges": f"""SELECT caller, callee, line_number, caller_file, resolved, edge_type, caller AS source_id, regexp_replace(callee, '^.*[.]', '') AS target_id FROM (
         SELECT {_name('a.l_partkey')} AS caller,
@@ -77,6 +93,20 @@ VIEWS: dict[str, str] = {
     "artifacts": """SELECT event_id AS id, 'fn' || CAST(user_id AS STRING) AS subject, event_type AS kind, props AS content,
         CASE WHEN event_id % 3 = 0 THEN 'human-confirmed' WHEN event_id % 3 = 1 THEN 'ai-confirmed-by-human' ELSE 'ai-generated' END AS provenance, ts AS created_at, value FROM {events}""",
     "sessions": """SELECT conv_id, turn, text AS raw_query FROM {conversations} WHERE role = 'user'""",
+    # A design document per part, some of them no document or of no account.
+    "design_docs": f"""SELECT CASE p_partkey % 8 WHEN 0 THEN 'docs/CONSTITUTION_' || CAST(p_partkey AS STRING) || '.md' WHEN 1 THEN 'docs/DESIGN_' || CAST(p_partkey AS STRING) || '.rst' WHEN 2 THEN 'pkg' || CAST(p_partkey % 5 AS STRING) || '/README_' || CAST(p_partkey AS STRING) || '.md' WHEN 3 THEN 'notes/todo_' || CAST(p_partkey AS STRING) || '.txt'
+        WHEN 4 THEN 'node_modules/a/m' || CAST(p_partkey AS STRING) || '.md' WHEN 5 THEN 'src/m' || CAST(p_partkey AS STRING) || '.py' WHEN 6 THEN 'docs/.cache/x' || CAST(p_partkey AS STRING) || '.md' ELSE 'docs/m' || CAST(p_partkey AS STRING) || '.md' END AS file_path, p_partkey AS doc_id,
+        CASE WHEN p_partkey % 16 = 7 THEN 'Nothing of weight is said here' || chr(10) || 'nor here, of ' || p_name ELSE {_LINES} END AS text FROM {{part}}""",
+    # An answer per part that claims calls, missing callers and methods.
+    "answers": f"""SELECT p_partkey AS answer_id, CASE p_partkey % 7 WHEN 0 THEN {_name('p_partkey')} || ' calls helper. It calls this.' WHEN 1 THEN 'I think ' || {_name('p_partkey')} || ' invokes ' || {_name('(p_partkey * 3)')} || ' twice' WHEN 2 THEN {_name('p_partkey')} || ' has no direct callers'
+        WHEN 3 THEN 'Nothing calls ' || {_name('p_partkey')} WHEN 4 THEN 'Class' || CAST(p_partkey % 30 AS STRING) || ' has a `make_' || CAST(p_partkey % 13 AS STRING) || '` method' WHEN 5 THEN 'class Class' || CAST(p_partkey % 25 AS STRING) || ' defines on_' || CAST(p_partkey % 13 AS STRING) ELSE 'nobody calls Nowhere' || CAST(p_partkey AS STRING) || ' and it calls the rest' END AS text FROM {{part}}""",
+    # A question per part, each intent's phrases among them.
+    "questions": f"""SELECT p_partkey AS query_id, CASE p_partkey % 13 WHEN 0 THEN 'What depends on ' WHEN 1 THEN 'show the IMPACT of ' WHEN 2 THEN 'what uses ' WHEN 3 THEN 'where is it used by ' WHEN 4 THEN 'What does it do: ' WHEN 5 THEN 'the build is broken in ' WHEN 6 THEN 'why is there an error in '
+        WHEN 7 THEN 'what changes ' WHEN 8 THEN 'who mutates ' WHEN 9 THEN 'what is the purpose of ' WHEN 10 THEN 'why does it call ' WHEN 11 THEN 'who modified ' ELSE 'tell me about ' END || {_name('p_partkey')} AS raw_query FROM {{part}}""",
+    # States of a corpus and, for most, of a question.
+    "policy_states": """SELECT c_custkey AS id, c_custkey % 3 = 0 AS has_cycles, CAST(c_custkey % 7 AS INT) AS errors, CAST(c_custkey % 5 AS INT) AS unstable, CAST(c_custkey % 4 + c_custkey % 5 AS INT) AS contracts, CAST(c_nationkey * 40 AS INT) AS edges, CAST(c_custkey % 11 AS INT) AS files,
+        CAST(c_nationkey * 5 AS INT) AS top_degree, CAST(c_custkey % 6 AS INT) AS role_files, CAST(c_custkey % 8 AS INT) AS seed_count, CAST(c_custkey % 17 AS INT) AS expanded_count,
+        CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'debug_query' WHEN 2 THEN 'general_query' ELSE 'impact_query' END AS intent FROM {customer}""",
     "vectors": """SELECT vec_id, embedding, label FROM {embeddings}""",
 }
 
