@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..sources.shared import written
+from .oneroom import ONE_TASK, cyclic, in_one_task, levels
 
 UNROLLED = 3
 
@@ -107,26 +108,66 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, include_
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(caller, callee) of every pair joined by a path of one edge or more; a node pairs with itself on a cycle."""
-    step = written(pairs(edges), "closure-edges")
-    seen = fresh = step
+    """(caller, callee) of every pair joined by a path of one edge or more; a node pairs with itself on a cycle. Paths double each round."""
+    seen = written(pairs(edges), "closure")
+    count = seen.count()
     while True:
-        ahead = fresh.select("caller", F.col("callee").alias("mid")).join(step.select(F.col("caller").alias("mid"), "callee"), "mid").select("caller", "callee").distinct()
-        fresh = written(ahead.join(seen, ["caller", "callee"], "left_anti"), "closure")
-        if fresh.isEmpty():
+        ahead = seen.select("caller", F.col("callee").alias("mid")).join(seen.select(F.col("caller").alias("mid"), "callee"), "mid").select("caller", "callee")
+        seen = written(seen.unionByName(ahead).distinct(), "closure")
+        before, count = count, seen.count()
+        if count == before:
             return seen
-        seen = seen.unionByName(fresh)
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(symbol) of the nodes that reach themselves."""
-    core = written(pairs(edges), "cycle-edges")
-    while True:  # nodes without an in- or an out-edge are on no cycle
+def _trimmed(core: DataFrame, ends: str) -> tuple[DataFrame, int]:
+    """The edges whose both ends have in- and out-edges, again and again until none goes; and their number."""
+    count = core.count()
+    while count > ONE_TASK:
         kept = core.join(core.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").join(core.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
-        before, core = core.count(), written(kept.select("caller", "callee"), "cycle-edges")
-        if core.count() == before:
+        core = written(kept.select("caller", "callee"), ends)
+        before, count = count, core.count()
+        if count == before:
             break
-    return closure(core).filter("caller = callee").select(F.col("caller").alias("symbol"))
+    return core, count
+
+
+def _changed(rows: DataFrame) -> tuple:
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")).first()
+    return got["n"], got["h"]
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(symbol) of the nodes that reach themselves, by strongly connected parts.
+
+    A large graph is trimmed of nodes that can't be on a cycle and coloured:
+    each node takes the largest name that reaches it, and what leads back to a
+    colour's own node within the colour is one part, which goes. What is left
+    of a few edges is one task's. No pairs of nodes are held.
+    """
+    core, count = _trimmed(written(pairs(edges), "cycle-edges"), "cycle-edges")
+    found = core.filter("caller = callee").select(F.col("caller").alias("symbol"))
+    while count > ONE_TASK:
+        colours = written(endpoints(core).distinct().withColumn("colour", F.col("symbol")), "colours")
+        seen = _changed(colours)
+        while True:
+            given = core.join(colours.withColumnRenamed("symbol", "caller"), "caller").select(F.col("callee").alias("symbol"), "colour")
+            colours = written(colours.unionByName(given).groupBy("symbol").agg(F.max("colour").alias("colour")), "colours")
+            was, seen = seen, _changed(colours)
+            if was == seen:
+                break
+        own = core.join(colours.select(F.col("symbol").alias("caller"), F.col("colour").alias("one")), "caller").join(colours.select(F.col("symbol").alias("callee"), F.col("colour").alias("two")), "callee")
+        own = written(own.filter("one = two").select(F.col("callee").alias("symbol"), F.col("caller").alias("before"), F.col("one").alias("colour")), "colour-edges")
+        parts = front = written(colours.filter("symbol = colour"), "parts")
+        while not front.isEmpty():
+            back = own.join(front, ["symbol", "colour"]).select(F.col("before").alias("symbol"), "colour").distinct()
+            front = written(back.join(parts, ["symbol", "colour"], "left_anti"), "parts")
+            parts = parts.unionByName(front)
+        parts = written(parts, "parts")
+        many = parts.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.unionByName(parts.join(many, "colour", "left_semi").select("symbol"))
+        rest = core.join(parts.select(F.col("symbol").alias("caller")), "caller", "left_anti").join(parts.select(F.col("symbol").alias("callee")), "callee", "left_anti")
+        core, count = _trimmed(written(rest.select("caller", "callee"), "cycle-edges"), "cycle-edges")
+    return found.unionByName(in_one_task(core, cyclic, "symbol string")).distinct()
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str | None = None, through: DataFrame | None = None, depth: int = 30) -> DataFrame:
@@ -164,17 +205,21 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     needs = pairs(edges).filter("caller <> callee").join(known, "callee", "left_semi").join(left.select(F.col("name").alias("caller")), "caller", "left_semi")
     needs = written(needs.select("caller", "callee"), "waves-needs")
     done, wave = None, 0
-    while not left.isEmpty():
+    while (count := needs.count()) > ONE_TASK:
         wave += 1
         ready = written(left.join(needs.select(F.col("caller").alias("name")).distinct(), "name", "left_anti"), "waves-ready")
         if ready.isEmpty():
-            rest = left.withColumn("wave", F.lit(-1))
-            return rest if done is None else done.unionByName(rest)
+            break
         here = ready.withColumn("wave", F.lit(wave))
         done = here if done is None else done.unionByName(here)
         left = written(left.join(ready, "name", "left_anti"), "waves")
         needs = written(needs.join(ready.select(F.col("name").alias("callee")), "callee", "left_anti").select("caller", "callee"), "waves-needs")
-    return done if done is not None else left.withColumn("wave", F.lit(0))
+    if count > ONE_TASK:  # all that is left is on or behind cycles
+        rest = left.withColumn("wave", F.lit(-1))
+    else:
+        last = in_one_task(needs.select("caller", "callee"), levels, "name string, wave int")
+        rest = left.join(last, "name", "left").select("name", F.when(F.col("wave") < 0, -1).otherwise(F.coalesce("wave", F.lit(1)) + wave).cast("int").alias("wave"))
+    return rest if done is None else done.unionByName(rest)
 
 
 def ball(edges: DataFrame, symbol: str, radius: int) -> DataFrame:
@@ -291,8 +336,9 @@ def impacted_modules(edges: DataFrame) -> DataFrame:
 
 
 def risk_scores(edges: DataFrame) -> DataFrame:
-    """3 x fan-in + 2 x fan-out + 2 x impacted modules + 10 if on a cycle."""
-    r = rank_modules(edges).join(impacted_modules(edges), "module", "left").withColumn("impacted", F.coalesce("impacted", F.lit(0)))
+    """3 x fan-in + 2 x fan-out + 2 x impacted modules + 10 if on a cycle; both of the last from one closure."""
+    reached = written(closure(module_projection(edges)).groupBy(F.col("callee").alias("module")).agg(F.count("caller").alias("impacted"), F.max(F.col("caller") == F.col("callee")).alias("in_cycle")), "impacted")
+    r = module_stats(edges).join(reached, "module", "left").na.fill(0, ["impacted"]).na.fill(False, ["in_cycle"])
     return r.select("module", "impacted", (3 * F.col("fan_in") + 2 * F.col("fan_out") + 2 * F.col("impacted") + 10 * F.col("in_cycle").cast("int")).alias("risk"))
 
 

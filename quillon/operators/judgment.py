@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from . import graph as G
-from .stubs import caller_counts, chain_positions, convention_members
+from .stubs import caller_counts, chain_positions, convention_members, known_calls
 
 #: Phrases of intent, of work that waits, and of what isn't there.
 MODAL = r"(?i)\b(would|should|could|meant to|intended to|is supposed to|is meant to)\b"
@@ -61,7 +61,7 @@ def contained(parts: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(wanted, "k").filter(low.contains(F.lower("part"))).select("part", "text").distinct()
 
 
-def signals(functions: DataFrame, edges: DataFrame, classes: DataFrame, artifacts: DataFrame) -> DataFrame:
+def signals(functions: DataFrame, edges: DataFrame, classes: DataFrame, artifacts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row of signals for each stub (name, file_path) of ``functions(name, file_path, is_stub, docstring, body_shape)``.
 
     A name's callers are the distinct callers of it or of any qualified form.
@@ -74,7 +74,7 @@ def signals(functions: DataFrame, edges: DataFrame, classes: DataFrame, artifact
     rows = rows.withColumn("text", F.when((F.col("doc") == "") & F.col("lifecycle"), F.coalesce("class_doc", F.lit(""))).otherwise(F.col("doc")))
     rows = rows.withColumn("intent", has_intent(F.col("text"))).withColumn("removal", has_removal(F.col("text"))).withColumn("contract", F.coalesce(F.col("lifecycle") & F.col("contract"), F.lit(False)))
     rows = rows.withColumn("quality", F.when(F.col("doc") == "", "none").when(has_intent(F.col("doc")), "behavioral").otherwise("placeholder"))
-    rows = rows.join(caller_counts(functions, edges).select("name", "callers"), "name", "left").na.fill(0, ["callers"])
+    rows = rows.join(caller_counts(functions, edges, known).select("name", "callers"), "name", "left").na.fill(0, ["callers"])
 
     told = rows.select("name", "file_path", F.explode(N.concepts("doc")).alias("concept")).withColumn("part", N.concept_base("concept"))
     texts = functions.select(F.col("name").alias("text")).unionByName(functions.select(F.col("file_path").alias("text"))).unionByName(classes.select(F.col("name").alias("text"))).unionByName(classes.select(F.col("file_path").alias("text")))
@@ -127,9 +127,9 @@ def scored(s: DataFrame) -> DataFrame:
     return s.withColumns(dict(zip(READINGS, (gone, blocked, design, unknown), strict=True)))
 
 
-def classify_stubs(functions: DataFrame, edges: DataFrame, classes: DataFrame, artifacts: DataFrame) -> DataFrame:
+def classify_stubs(functions: DataFrame, edges: DataFrame, classes: DataFrame, artifacts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(name, file_path, callers, reading, score): each stub's best reading; genuinely-unknown with 0 where none reaches 0.2."""
-    rows = scored(signals(functions, edges, classes, artifacts))
+    rows = scored(signals(functions, edges, classes, artifacts, known))
     entry = lambda k, name: F.struct(F.bround(F.least(F.col(f"`{name}`") / FULL_SCORE, F.lit(1.0)), 2).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("reading"), (F.col(f"`{name}`") / FULL_SCORE >= LEAST_SCORE).alias("counts"))
     best = F.array_max(F.filter(F.array(*(entry(k, n) for k, n in enumerate(READINGS))), lambda e: e["counts"]))
     rows = rows.withColumn("best", best)
@@ -144,9 +144,10 @@ def rank_stubs(functions: DataFrame, edges: DataFrame, classes: DataFrame, artif
     """
     if mode not in ("priority", "gap", "perusal"):
         raise ValueError(f"no mode {mode}")
-    rows = classify_stubs(functions, edges, classes, artifacts).filter(~F.lower("file_path").rlike("test.|.test"))
+    known = known_calls(functions, edges)
+    rows = classify_stubs(functions, edges, classes, artifacts, known).filter(~F.lower("file_path").rlike("test.|.test"))
     odd = convention_members(functions, edges, False).filter("is_stub AND diverges <> ''").select("name").distinct().withColumn("odd", F.lit(3))
-    rows = rows.join(chain_positions(functions, edges), "name", "left").join(odd, "name", "left").na.fill(0, ["odd"])
+    rows = rows.join(chain_positions(functions, edges, known), "name", "left").join(odd, "name", "left").na.fill(0, ["odd"])
     bonus = F.when(F.col("position") == "tail", 5).when(F.col("position") == "middle", 2).otherwise(0)
     rows = rows.select("name", "file_path", "reading", "score", F.round(F.col("callers") * F.col("score") + bonus + F.col("odd"), 4).alias("composite"))
     if mode == "gap":

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.shared import written
 from . import graph as G
 
 
@@ -26,16 +27,21 @@ def calls(functions: DataFrame, edges: DataFrame) -> DataFrame:
     return named.join(known.select(F.col("name").alias("caller"), F.col("is_stub").alias("caller_stub")), "caller", "left").select("caller", "name", "caller_stub", "callee_stub")
 
 
-def frontier(functions: DataFrame, edges: DataFrame, mode: str = "all") -> DataFrame:
+def known_calls(functions: DataFrame, edges: DataFrame) -> DataFrame:
+    """``calls`` as a table, for operators that use them more than once."""
+    return written(calls(functions, edges), "calls")
+
+
+def frontier(functions: DataFrame, edges: DataFrame, mode: str = "all", known: DataFrame | None = None) -> DataFrame:
     """(caller, name, mode): calls of stubs by implemented functions ('direct'), by stubs ('chain'), or both."""
-    rows = calls(functions, edges).filter("callee_stub AND caller_stub IS NOT NULL")
+    rows = (calls(functions, edges) if known is None else known).filter("callee_stub AND caller_stub IS NOT NULL")
     rows = rows.select("caller", "name", F.when(F.col("caller_stub"), "chain").otherwise("direct").alias("mode"))
     return rows if mode == "all" else rows.filter(F.col("mode") == mode)
 
 
-def chain_positions(functions: DataFrame, edges: DataFrame) -> DataFrame:
+def chain_positions(functions: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(name, position) of stubs in chains: head (implemented caller, calls a stub), middle (stub caller, calls a stub), tail (stub caller, calls none)."""
-    f = frontier(functions, edges)
+    f = frontier(functions, edges, "all", known)
     flags = f.groupBy("name").agg(F.bool_or(F.col("mode") == "direct").alias("live"), F.bool_or(F.col("mode") == "chain").alias("held"))
     callers = f.filter("mode = 'chain'").select(F.col("caller").alias("name")).distinct().withColumn("calls_stub", F.lit(True))
     stubs = by_name(functions).filter("is_stub").select("name").join(flags, "name", "left").join(callers, "name", "left").na.fill(False)
@@ -43,8 +49,8 @@ def chain_positions(functions: DataFrame, edges: DataFrame) -> DataFrame:
     return stubs.select("name", position.alias("position")).filter("position IS NOT NULL")
 
 
-def caller_counts(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    return calls(functions, edges).groupBy("name").agg(F.count("caller").alias("callers"), F.count_if(F.col("caller_stub")).alias("stub_callers"), F.count_if(~F.col("caller_stub")).alias("live_callers"))
+def caller_counts(functions: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    return (calls(functions, edges) if known is None else known).groupBy("name").agg(F.count("caller").alias("callers"), F.count_if(F.col("caller_stub")).alias("stub_callers"), F.count_if(~F.col("caller_stub")).alias("live_callers"))
 
 
 def interface_methods(classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -122,9 +128,9 @@ def frontier_priority(functions: DataFrame, edges: DataFrame, gaps: DataFrame, n
 
     Score: implemented callers + 5 for a tail, 2 middle, 1 head + 3 for an interface gap.
     """
-    stubs = by_name(functions).filter("is_stub").select("name")
-    live = caller_counts(functions, edges).select("name", F.col("live_callers").alias("callers"))
-    rows = stubs.join(live, "name", "left").join(chain_positions(functions, edges), "name", "left").join(gaps.withColumn("gap", F.lit(3)), "name", "left").na.fill(0, ["callers", "gap"])
+    stubs, known = by_name(functions).filter("is_stub").select("name"), known_calls(functions, edges)
+    live = caller_counts(functions, edges, known).select("name", F.col("live_callers").alias("callers"))
+    rows = stubs.join(live, "name", "left").join(chain_positions(functions, edges, known), "name", "left").join(gaps.withColumn("gap", F.lit(3)), "name", "left").na.fill(0, ["callers", "gap"])
     rows = rows.filter((F.col("callers") > 0) | F.coalesce(F.col("position").isin("tail", "middle"), F.lit(False)))
     bonus = F.when(F.col("position") == "tail", 5).when(F.col("position") == "middle", 2).when(F.col("position") == "head", 1).otherwise(0)
     rows = rows.select("name", "callers", "position", (F.col("callers") + bonus + F.col("gap")).alias("score"))
@@ -169,7 +175,8 @@ def topology(functions: DataFrame, edges: DataFrame, gaps: DataFrame) -> DataFra
     are three times as many, fifty and half of all at least; wiring: no stubs,
     and such implementations are fifty and half of all at least.
     """
-    counts, chains = caller_counts(functions, edges), chain_positions(functions, edges)
+    known = known_calls(functions, edges)
+    counts, chains = caller_counts(functions, edges, known), chain_positions(functions, edges, known)
     own = functions.groupBy("name").agg(
         F.bool_or("is_stub").alias("is_stub"), F.bool_or(is_framework(F.col("decorators"))).alias("framework"), F.bool_or(is_entry_hint(F.col("name"), F.col("file_path"))).alias("hint"),
         F.bool_or(F.coalesce(F.col("file_path").endswith(".json"), F.lit(False))).alias("in_json"))
@@ -233,8 +240,6 @@ def stub_islands(functions: DataFrame, edges: DataFrame) -> DataFrame:
 
 def multi_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(name) of all that any of ``roots(root)`` reaches, the roots with them; one walk for all roots together."""
-    from ..sources.shared import written
-
     step = written(G.pairs(edges), "walk-edges")
     seen = front = written(roots.select(F.col("root").alias("name")).distinct(), "walk")
     while True:
@@ -446,8 +451,9 @@ def convention_outliers(functions: DataFrame, edges: DataFrame) -> DataFrame:
 
 def verify_implementations(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, verdict): FAIL for stubs, WARN for the uncalled and for callers of stubs, else PASS."""
-    counts = caller_counts(functions, edges).select("name", "callers")
-    stuck = calls(functions, edges).filter("callee_stub").select(F.col("caller").alias("name")).distinct().withColumn("stuck", F.lit(True))
+    known = known_calls(functions, edges)
+    counts = caller_counts(functions, edges, known).select("name", "callers")
+    stuck = known.filter("callee_stub").select(F.col("caller").alias("name")).distinct().withColumn("stuck", F.lit(True))
     rows = by_name(functions).join(counts, "name", "left").join(stuck, "name", "left")
     return rows.select("name", F.when(F.col("is_stub"), "FAIL").when(F.col("callers").isNull() | F.col("stuck"), "WARN").otherwise("PASS").alias("verdict"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import names as N
 from quillon.operators import graph as G
+from quillon.operators import components
 from quillon.operators.components import connected_components
 
 E = "caller string, callee string"
@@ -61,14 +62,49 @@ def test_paths(spark):
     assert G.shortest_paths(df, "A", "C", only_x).collect()[0]["path"] == ["A", "X", "C"]
 
 
-def test_waves(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_waves(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "ONE_TASK", few)
     nodes = spark.createDataFrame([(x,) for x in "abcdxyz"], "name string")
     df = frame(spark, [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("d", "elsewhere"), ("c", "c")])
     got = {r["name"]: r["wave"] for r in G.waves(nodes, df).collect()}
     assert got == {"c": 1, "d": 1, "b": 2, "a": 3, "x": -1, "y": -1, "z": -1}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_cycles_by_brute_force(spark, monkeypatch, few):
+    """Strongly connected parts in rounds and in one task."""
+    monkeypatch.setattr(G, "ONE_TASK", few)
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(48)] + [("s", "s"), ("t", "n01")]
+    reach = {a: {b for x, b in edges if x == a} for e in edges for a in e}
+    for _ in reach:
+        for a in reach:
+            reach[a] |= {c for b in reach[a] for c in reach.get(b, ())}
+    got = {r["symbol"] for r in G.on_cycles(frame(spark, edges)).collect()}
+    assert got == {a for a in reach if a in reach[a]} and 2 < len(got) < 40
+    assert G.on_cycles(frame(spark, edges[:0] or [("a", "b")])).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_waves_by_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "ONE_TASK", few)
+    rng = random.Random(9)
+    edges = [(f"n{a}", f"n{rng.randrange(a)}") for a in range(1, 14) for _ in range(2)] + [("n5", "c1"), ("c1", "c2"), ("c2", "c1")]
+    nodes = sorted({x for e in edges for x in e} | {"alone"})
+    want = {}
+    while True:
+        ready = [x for x in nodes if x not in want and all(b in want for a, b in edges if a == x)]
+        if not ready:
+            break
+        want |= {x: 1 + max([want[b] for a, b in edges if a == x], default=0) for x in ready}
+    got = {r["name"]: r["wave"] for r in G.waves(spark.createDataFrame([(x,) for x in nodes], "name string"), frame(spark, edges)).collect()}
+    assert got == {x: want.get(x, -1) for x in nodes}
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "ONE_TASK", few)
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 160)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
