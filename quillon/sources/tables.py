@@ -38,6 +38,31 @@ def _line(k: str) -> str:
 _LINES = " || chr(10) || ".join(_line(k) for k in ("p_partkey", "p_partkey * 5 + 1", "p_partkey * 7 + 2", "p_size", "p_size * 5 + p_partkey", "p_partkey * 11 + 4", "p_size + 9", "p_partkey + p_size * 7"))
 
 
+def _text(*lines: str) -> str:
+    """Lines of SQL strings as one text."""
+    return " || chr(10) || ".join(lines)
+
+
+def _sql(line: str) -> str:
+    """A line as SQL: ``~expression~`` is put in as text; braces are written as characters, as they name views elsewhere."""
+    parts = line.split("~")
+    out = [f"CAST({x} AS STRING)" if k % 2 else "'" + x.replace("'", "''").replace("{", "' || chr(123) || '").replace("}", "' || chr(125) || '") + "'" for k, x in enumerate(parts)]
+    return " || ".join(out)
+
+
+K = "p_partkey"
+_PYTHON = _text(*map(_sql, (
+    "import os.path as op", f"from app.store import Store~{K} % 7~", "", f"class C~{K}~(~CASE {K} % 5 WHEN 0 THEN 'Protocol' WHEN 1 THEN 'ABC' ELSE 'Base' END~):", "    def __init__(self, n: int):", "        self.n = n",
+    f"        self.store = Store~{K} % 7~()", "    def run(self, x):", '        """' + f"~CASE WHEN {K} % 3 = 0 THEN 'Updates the cart. Returns it.' ELSE 'Plain words.' END~" + '"""', "        if x and self.n:", f"            self.~CASE WHEN {K} % 4 = 0 THEN 'n' ELSE 'm' END~ = op.join(x)",
+    "        return x", "    def todo(self):", f"        ~CASE {K} % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'raise NotImplementedError' ELSE 'return op.sep' END~", f'@app.route("/api/~{K}~/<id>")', f"def get_~{K}~(item, n=0):",
+    f"    # ~CASE WHEN {K} % 2 = 0 THEN 'TODO: check it' ELSE 'a plain remark' END~", f"    data = load_~{K} % 11~(item)", f"    ~CASE WHEN {K} % 6 = 0 THEN 'if n: raise NotImplementedError' ELSE 'item.save(data)' END~", f"    return jsonify(id=n, k~{K} % 3~=1)")))
+_SCRIPT = _text(*map(_sql, (
+    f"function go~{K}~() {{", f"  fetch('/api/~{K}~/7?x=1'~CASE WHEN {K} % 2 = 0 THEN ', ' || chr(123) || 'method: ' || chr(39) || 'post' || chr(39) || chr(125) ELSE '' END~);", f"  sock.emit('ping~{K} % 5~', 1);", f"  helper~{K} % 3~();", "}", f"const two~{K}~ = () => axios.get('/none/~{K}~');", f"el.addEventListener('click', go~{K}~);")))
+_PAGE = _text(*map(_sql, (f'<button onclick="go~{K}~(1)" hx-post="/api/~{K}~/x/">', f"<a onkeyup='two~{K} % 9~ ( )'>no</a>", "<script>fetch(`/api/${id}/z`)</script>")))
+_JSON = ("CASE p_partkey % 5 WHEN 0 THEN " + _sql('[{"source": "a~p_partkey~", "to": "b", "action": "go~p_partkey % 3~"}, {"id": "b"}]') + " WHEN 1 THEN " + _sql('[{"id": "x"}, {"name": "y", "use": "x"}, {"key": "z", "uses": ["y", "x", "~p_name~"]}]')
+         + " WHEN 2 THEN " + _sql('{"a": {"b": {"c": {"d": ~p_size~}}}}') + " WHEN 3 THEN " + _sql('[{"id": "p"}, {"id": "q~p_partkey~", "guard": "ok"}]') + " ELSE " + _sql("{not json") + " END")
+
+
 VIEWS: dict[str, str] = {
     # A function per part.
     "functions": f"""SELECT p_partkey AS id, {_path('p_partkey')} AS file_path, {_name('p_partkey')} AS name, CAST(p_size AS INT) AS line_number,
@@ -100,6 +125,11 @@ VIEWS: dict[str, str] = {
     # An answer per part that claims calls, missing callers and methods.
     "answers": f"""SELECT p_partkey AS answer_id, CASE p_partkey % 7 WHEN 0 THEN {_name('p_partkey')} || ' calls helper. It calls this.' WHEN 1 THEN 'I think ' || {_name('p_partkey')} || ' invokes ' || {_name('(p_partkey * 3)')} || ' twice' WHEN 2 THEN {_name('p_partkey')} || ' has no direct callers'
         WHEN 3 THEN 'Nothing calls ' || {_name('p_partkey')} WHEN 4 THEN 'Class' || CAST(p_partkey % 30 AS STRING) || ' has a `make_' || CAST(p_partkey % 13 AS STRING) || '` method' WHEN 5 THEN 'class Class' || CAST(p_partkey % 25 AS STRING) || ' defines on_' || CAST(p_partkey % 13 AS STRING) ELSE 'nobody calls Nowhere' || CAST(p_partkey AS STRING) || ' and it calls the rest' END AS text FROM {{part}}""",
+    # A Python file per part, every 17th broken; a script or a page per part; a JSON file per part.
+    "py_files": f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 19 = 0 THEN 'pkg' || CAST(p_partkey AS STRING) || '/__init__.py' WHEN p_partkey % 13 = 0 THEN 'tests/m' || CAST(p_partkey AS STRING) || '.py' ELSE 'pkg' || CAST(p_partkey % 5 AS STRING) || '/m' || CAST(p_partkey AS STRING) || '.py' END AS file_path,
+        CASE WHEN p_partkey % 17 = 0 THEN 'def x(:' ELSE {_PYTHON} END AS text FROM {{part}}""",
+    "web_files": f"""SELECT p_partkey AS k, 'web/f' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.html' ELSE '.js' END AS file_path, CASE WHEN p_partkey % 3 = 0 THEN {_PAGE} ELSE {_SCRIPT} END AS text FROM {{part}}""",
+    "json_files": f"""SELECT p_partkey AS k, 'data/f' || CAST(p_partkey AS STRING) || '.json' AS file_path, {_JSON} AS text FROM {{part}}""",
     # A question per part, each intent's phrases among them.
     "questions": f"""SELECT p_partkey AS query_id, CASE p_partkey % 13 WHEN 0 THEN 'What depends on ' WHEN 1 THEN 'show the IMPACT of ' WHEN 2 THEN 'what uses ' WHEN 3 THEN 'where is it used by ' WHEN 4 THEN 'What does it do: ' WHEN 5 THEN 'the build is broken in ' WHEN 6 THEN 'why is there an error in '
         WHEN 7 THEN 'what changes ' WHEN 8 THEN 'who mutates ' WHEN 9 THEN 'what is the purpose of ' WHEN 10 THEN 'why does it call ' WHEN 11 THEN 'who modified ' ELSE 'tell me about ' END || {_name('p_partkey')} AS raw_query FROM {{part}}""",

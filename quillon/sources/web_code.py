@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .shared import written
 
 #: Declarations of functions: the first group is the name.
 DECLARATIONS = {
@@ -105,15 +106,22 @@ def native_calls(files: DataFrame) -> DataFrame:
 def matched_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """calls(file_path, url) with the handler of routes(handler, url) that matches segment by segment, the first by name.
 
-    Joined on the number of segments and the first fixed one, so a wildcard
-    route meets only urls of its own length.
+    Each distinct url is matched once. One without parameters joins on its text
+    with the wildcards of a pattern put in, for the few placements of wildcards
+    that patterns of its length have; only urls with parameters of their own
+    meet all patterns of their length.
     """
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn(name, N.normalize_url("url")).withColumn("segments", F.size(F.split(name, "/")))
-
-    a, b = keyed(calls, "client"), keyed(routes.select("handler", "url"), "pattern").select("handler", "pattern", "segments")
-    hits = a.join(b, "segments").filter(N.url_matches(F.col("client"), F.col("pattern")))
-    return hits.groupBy(*calls.columns).agg(F.min("handler").alias("handler"))
+    a = written(calls.withColumn("client", N.normalize_url("url")), "asked-urls")  # both sides are parsed from texts and used twice
+    urls = a.select("client").distinct().withColumn("segments", F.size(F.split("client", "/")))
+    b = routes.select("handler", N.normalize_url("url").alias("pattern")).groupBy("pattern").agg(F.min("handler").alias("handler"))
+    b = written(b, "routes").withColumn("segments", F.size(F.split("pattern", "/")))
+    mask = F.array_join(F.transform(F.split("pattern", "/"), lambda x: F.when(x == "*", "*").otherwise("")), "/")
+    masks = b.select("segments", mask.alias("mask")).distinct()
+    put = F.array_join(F.zip_with(F.split("client", "/"), F.split("mask", "/"), lambda x, m: F.when(m == "*", m).otherwise(x)), "/")
+    plain = urls.filter(~F.col("client").contains("*")).join(masks, "segments").select("client", put.alias("pattern")).join(b, "pattern").select("client", "handler")
+    open_ = urls.filter(F.col("client").contains("*")).join(b, "segments").filter(N.url_matches(F.col("client"), F.col("pattern"))).select("client", "handler")
+    hits = plain.unionByName(open_).groupBy("client").agg(F.min("handler").alias("handler"))
+    return a.join(hits, "client").select(*calls.columns, "handler").distinct()
 
 
 def cross_language_edges(files: DataFrame, routes: DataFrame, events: DataFrame) -> DataFrame:

@@ -45,16 +45,42 @@ def test_python_tables(spark, tmp_path):
     assert {r["file_path"] for r in files.collect()} == {"pkg/main.py", "pkg/broken.py"}
     t = python_code.tables(python_code.parse_files(files))
     f = {r["name"]: r for r in t["functions"].collect()}
-    assert f["todo"]["is_stub"] and not f["fetch"]["is_stub"] and f["fetch"]["complexity"] == 2 and f["todo"]["decorators"] == ["abstractmethod"]
+    assert not f["todo"]["is_stub"] and not f["fetch"]["is_stub"] and f["fetch"]["complexity"] == 2 and f["todo"]["decorators"] == ["abstractmethod"]
     edges = {(r["caller"], r["callee"], r["edge_type"], r["resolved"]) for r in t["edges"].collect()}
     assert ("fetch", "Store.load", "static", True) in edges and ("fetch", "Store.save", "static", True) in edges and ("fetch", "worker", "thread", False) in edges
     assert ("<module>", "mod.second", "dynamic", False) in edges and ("fetch", "parse", "data_flow", False) in edges
-    assert {r["target"] for r in t["mutations"].collect()} == {"self.store", "state.count"}
-    assert t["classes"].first()["methods"] == ["__init__", "todo"] and t["attributes"].count() == 2
+    assert {r["target"] for r in t["assignments"].collect()} == {"self.store", "state.count"}
+    assert {(r["target"], r["operation"]) for r in t["mutations"].collect()} == {("item", "load"), ("self_made", "save"), ("app", "route")}
+    assert t["classes"].first()["methods"] == ["__init__", "todo"] and [(r["attribute"], r["inferred_type"]) for r in t["attributes"].collect()] == [("store", "Store")]
     assert [tuple(r) for r in t["routes"].select("handler", "url").collect()] == [("fetch", "/api/<id>")]
     assert [r["file_path"] for r in t["errors"].collect()] == ["pkg/broken.py"]
 
 
+def test_stubs_by_body():
+    """Bodies that are stubs and that aren't; abstract and protocol methods never are."""
+    empty = ["pass", "...", "raise", "raise NotImplementedError", "raise NotImplementedError('x')", "return", "return None", "return 0", "return False", "return ''", "return []", "return {}", "'doc'", "'doc'\n    pass"]
+    real = ["return ()", "return 1", "raise ValueError", "x = 1", "'doc'\n    1", "return [1]", "for x in y: pass"]
+    stub = lambda body: next(r[8] for r in python_code.rows_of("a.py", f"def f(y):\n    {body}\n") if r[0] == "function")
+    assert [b for b in empty if not stub(b)] == [] and [b for b in real if stub(b)] == []
+    code = "class P(Protocol):\n    def a(self): ...\nclass Q:\n    @abc.abstractmethod\n    def b(self): pass\n    def c(self): pass\n"
+    assert {r[2]: r[8] for r in python_code.rows_of("a.py", code) if r[0] == "function"} == {"a": False, "b": False, "c": True}
+
+
+def test_roles_and_comments():
+    roles = {"pkg/__init__.py": "init", "Tests/x.py": "test", "a/test_x.py": "test", "a/x_test.py": "test", "a/config.py": "config", "a/my_config.py": "config", "a/x.py": "module"}
+    assert {p: python_code.role_of(p, "x = 1") for p in roles} == roles
+    assert python_code.role_of("a.py", "@api.v1.route('/x')") == python_code.role_of("config.py", "if __name__ == '__main__': go()") == "entry_point"
+    rows = [(r[3], r[6], r[7], r[2]) for r in python_code.rows_of("a.py", "# TODO: one\nx = 1  # FIXME -- two\n#\ny = '# no'  # plain\n") if r[0] == "comment"]
+    assert rows == [(1, "TODO: one", "block", "TODO"), (2, "FIXME -- two", "inline", "FIXME"), (4, "plain", "inline", None)]
+    assert python_code.rows_of("a.py", "")[-1][0] == "file" and [r[0] for r in python_code.rows_of("a.py", "def x(:")] == ["error"]
+
+
+def test_routes_match_by_segment(spark):
+    routes = spark.createDataFrame([("by_id", "/a/<id>"), ("fixed", "/a/b"), ("deep", "/a/<x>/c"), ("any", "/<x>/<y>/<z>"), ("slash", "/a/b/")], "handler string, url string")
+    calls = spark.createDataFrame([("f", "/a/7"), ("f", "/a/b?q=1"), ("f", "/a/${k}"), ("f", "http://h/a/1/c"), ("f", "/q/w/e"), ("f", "/none"), ("f", "/a/7")], "file_path string, url string")
+    assert {(r["url"], r["handler"]) for r in web_code.matched_routes(calls, routes).collect()} == {("/a/7", "by_id"), ("/a/b?q=1", "by_id"), ("/a/${k}", "by_id"), ("http://h/a/1/c", "any"), ("/q/w/e", "any")}
+
+
 def test_web_links(spark):
     files = spark.createDataFrame([
         ("a.js", "function go() {\n  fetch('/api/7?x=1', {method: 'post'});\n  sock.emit('ping', 1);\n  helper();\n}\nconst two = () => axios.get('/none');"),
