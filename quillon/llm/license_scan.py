@@ -12,8 +12,9 @@ templates. Automata start only where a template's first mandatory words stand,
 which is found by word hashes over whole columns, and the words at such places
 are then compared themselves.
 
-Null and empty texts have no words and no labels. Texts are scanned whole, ties
-and repeated rows alike. Extra columns don't matter.
+Null and empty texts have no words and no labels; an empty table gives no rows.
+Texts are scanned whole, however long, and repeated rows each; of runs that
+begin at one place the longest counts. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,15 +37,28 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 #: Public license wordings as templates. None begins with a region.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license[[ version]] 2.0"),
+    ("apache-2.0", "licensed under the[[ terms of the]] apache license[[ version]] 2.0"),
+    ("apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at[[ {8}]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("cc-by-notice", "licensed under[[ a]][[ the]] cc by[[ nc]][[ nd]][[ sa]][[ {2}]] 4.0[[ international]]"),
     ("gpl-notice", "this {3} is licensed under the gnu[[ lesser]][[ affero]] general public license version {1}"),
     ("gpl-notice", "is free software you can redistribute it and or modify it under the terms of the gnu[[ lesser]][[ affero]] general public license as published by the free software foundation"),
-    ("mit-notice", "released under the mit license"),
+    ("gpl-notice", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu[[ lesser]][[ affero]] general public license for more details"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-notice", "licensed under the[[ terms of the]] mozilla public license[[[[ version]] 2.0]]"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc0-notice", "to the extent possible under law {12} waived all copyright and related or neighboring rights to {20}"),
+    ("cc0-notice", "dedicated to the public domain under[[ the]][[ creative commons]] cc0[[ 1.0[[ universal]]]]"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("mit-notice", "released under the[[ terms of the]] mit license"),
+    ("mit-notice", "licensed under the[[ terms of the]] mit license"),
+    ("mit-notice", "distributed under the[[ terms of the]] mit license"),
+    ("mit-warranty", "in no event shall the[[ authors or]] copyright holders[[ {3}]] be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice[[ including the next paragraph]] shall be included in all copies or substantial portions of the software"),
     ("isc", "permission to use copy modify and[[ or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met[[ 1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer[[ 2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("copyright-notice", "copyright[[ c]] {4} all rights reserved"),
+    ("bsd-3-clause", "neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("copyright-notice", "copyright[[ c]] {12} all rights reserved"),
     ("warranty", "the software is provided as is[[ and {6} disclaims all warranties]][[ without warranty of any kind]]"),
 )
 
@@ -90,18 +104,17 @@ class Automaton:
 
 
 def compiled(label: str, template: str) -> Automaton:
-    """The automaton of a template; optional regions may hold replaceable ones, not each other."""
+    """The automaton of a template; optional regions may hold replaceable ones and each other."""
     steps: list[str | None] = []
     skips: list[set[int]] = [set()]
-    opened = -1
+    opened: list[int] = []
     for mark in _MARK.finditer(template):
         if mark[0] == "[[":
-            if opened >= 0:
-                raise ValueError(f"{label}: optional regions can't nest")
-            opened = len(steps)
+            opened.append(len(steps))
         elif mark[0] == "]]":
-            skips[opened].add(len(steps))
-            opened = -1
+            if not opened:
+                raise ValueError(f"{label}: a region is closed that isn't open")
+            skips[opened.pop()].add(len(steps))
         elif mark[1]:
             begin = len(steps)
             for _ in range(int(mark[1])):
@@ -113,7 +126,7 @@ def compiled(label: str, template: str) -> Automaton:
             for word in words_of(mark[0]):
                 steps.append(word)
                 skips.append(set())
-    if opened >= 0 or not steps or steps[0] is None or skips[0]:
+    if opened or not steps or steps[0] is None or skips[0]:
         raise ValueError(f"{label}: a template must begin with a mandatory word and close its regions")
     return Automaton(label, tuple(steps), tuple(map(tuple, skips)), len(steps))
 

@@ -383,8 +383,55 @@ def test_license_scan(spark):
     assert (got[4]["n_words"], got[4]["score"], got[4]["first_word"]) == (0, 0.0, None) and got[5]["n_base"] == 0
     assert (got[6]["n_base"], got[6]["first_word"], got[6]["last_word"]) == (2, 1, 4)
     assert got[7]["labels"] == "cc-by,cc-by-notice" and got[8]["n_base"] == 2
-    with pytest.raises(ValueError):
-        license_scan.compiled("x", "{2} words")
+    for bad in ("{2} words", "[[a]] words", "words [[open", "words]]"):
+        with pytest.raises(ValueError):
+            license_scan.compiled("x", bad)
+
+
+def runs_by_brute_force(template, words_):
+    """Longest run from each place, by the template's own expansion into all texts."""
+
+    def expand(parts):
+        if not parts:
+            return {()}
+        head, rest = parts[0], expand(parts[1:])
+        if isinstance(head, list):
+            return rest | {a + b for a in expand(head) for b in rest}
+        if isinstance(head, int):
+            return {(None,) * k + b for k in range(head + 1) for b in rest}
+        return {(head, *b) for b in rest}
+
+    stack = [[]]
+    for m in re.findall(r"\[\[|\]\]|\{\d+\}|[a-z0-9]+", template):
+        if m == "[[":
+            stack.append([])
+        elif m == "]]":
+            part = stack.pop()
+            stack[-1].append(part)
+        else:
+            stack[-1].append(int(m[1:-1]) if m[0] == "{" else m)
+    texts = expand(stack[0])
+    fits = lambda t, k: len(t) <= len(words_) - k and all(x in (None, words_[k + j]) for j, x in enumerate(t))
+    return [max((len(t) for t in texts if fits(t, k)), default=-1) for k in range(len(words_))]
+
+
+def test_automata_equal_brute_force():
+    """Optional regions, nested and not, and replaceable ones, on random words."""
+    rng = random.Random(15)
+    for template in ("a [[b]] c", "a [[b [[c]] {2}]] d", "a {3} b [[c {1}]]", "a [[[[b]] c]] [[d]] a", "a [[{2} b]] {1} c"):
+        automaton = license_scan.compiled("x", template)
+        for _ in range(60):
+            w = [rng.choice("abcd") for _ in range(12)]
+            assert [automaton.longest(w, k) for k in range(len(w))] == runs_by_brute_force(template, w), (template, w)
+
+
+def test_licenses_of_ordinary_wordings(spark):
+    rows = [
+        (1, "Licensed under the MIT License."), (2, "Copyright 2019 The Regents of the University of California. All rights reserved."), (3, "Licensed under the Mozilla Public License, version 2.0"), (4, "This is free and unencumbered software"),
+        (5, "dedicated to the public domain under CC0 1.0 Universal"), (6, "x " * 200000 + "released under the terms of the MIT license"), (6, "x"), (6, "x")]
+    got = license_scan.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["labels"]) for r in got) == [(1, "mit-notice"), (2, "copyright-notice,reserved"), (3, "mpl-notice"), (4, ""), (5, "cc0-notice"), (6, ""), (6, ""), (6, "mit-notice")]
+    assert license_scan.find_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def brute_secrets(text):
@@ -488,3 +535,23 @@ def test_quality_model_bounds_repeated_rows(spark, monkeypatch):
     assert len(one) == 302 and one == pytest.approx(two, rel=1e-3)
     assert all(len(y) <= 60 for _, y in seen) and (seen[0][1] == seen[1][1]).all()
     assert quality_model.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_rules_of_long_and_repeated_texts(spark):
+    """Quality rules on a very long text, repeated rows, null hosts and an empty table."""
+    long = " ".join(f"word{k}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long, "en", "h", 1), (2, long[:400], "en", "h", 1), (2, long[:400], "en", "h", 1), (3, "few words", "en", None, 1)], DOCS)
+    got = sorted((r["doc_id"], r["n_words"], r["kept"]) for r in quality_rules.judge_documents(df).collect())
+    assert got == [(1, 200_000, True), (2, got[1][1], True), (2, got[1][1], True), (3, 2, False)]
+    assert quality_rules.keep_documents(df).count() == 3
+    assert quality_rules.judge_documents(df.limit(0)).count() == 0 and quality_rules.keep_documents(df.limit(0)).count() == 0
+
+
+def test_lm_scores_of_long_texts_and_other_columns(spark):
+    """A text longer than a piece, columns with the names of the scores, and known tokens."""
+    rows = [(k, "river stone cloud", 0.5, 7) for k in range(12)] + [(100, "river " * 300_000 + "unseen", 0.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, n_tokens int")
+    model = lm_scoring.train(docs.filter("doc_id < 100"))
+    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, model).collect()}
+    assert (got[100]["n_tokens"], got[100]["n_known"]) == (300_002, 300_001) and (got[3]["n_tokens"], got[3]["n_known"]) == (4, 4)
+    assert got[3]["score"] > got[100]["score"] and got[100]["bits_per_byte"] > 0

@@ -27,3 +27,19 @@ def test_stages(spark, tmp_path):
         assert stage(spark, now.limit(0), str(tmp_path)).columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_scan", "byte_bpe"]
     assert now.filter(F.col("doc_id") < 0).count() == 0
+
+
+def test_stages_of_nulls_repeats_and_nothing(spark, tmp_path):
+    """Null fields, repeated rows and clashing columns pass; an empty table passes every stage."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, None, None, None), (1, text, None, None, None), (None, text + " and more of it", "en", "s", 3), (3, None, "en", "s", None), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, cid int, spans string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == 1 and out[0]["round_trip"] and len(out[0]["token_ids"]) > 40
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
