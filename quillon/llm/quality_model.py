@@ -12,7 +12,7 @@ temperature that calibrates its probabilities. It sees texts only.
 
 Null and empty texts are pooled as no words and scored like any other. Labels
 that are null, or whose document isn't there, teach nothing; repeated labels
-and documents teach repeatedly, within the bound. With fewer than ten labelled
+teach once, repeated documents repeatedly, within the bound. With fewer than ten labelled
 rows, or with labels of one kind, every score is the smoothed share of ones. An
 empty table of documents gives no rows. Texts that tie score the same. Extra
 columns don't matter.
@@ -193,18 +193,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> tuple[
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     known = labels.select(F.col("doc_id").alias("of"), F.col(target).cast("int").alias("label")).filter(~held_out("of") & F.col("of").isNotNull() & F.col("label").isNotNull())
-    known = written(known, "labels")
-    count = known.count()
-    if count > 2 * MAX_TRAIN:  # by hash, so the same labels at each run; what is over the bound goes below
-        known = known.filter(F.pmod(F.xxhash64("of", "label"), F.lit(1_000_000)) < int(1_000_000 * 1.5 * MAX_TRAIN / count))
+    known = written(known.distinct().orderBy(F.xxhash64("of", "label"), "of", "label").limit(MAX_TRAIN), "labels")  # by hash, so the same labels at each run
     sent = spark.sparkContext.broadcast(vectors)
 
     @F.arrow_udf(T.BinaryType())
     def features(texts: pa.Array) -> pa.Array:
         return pa.array([r.tobytes() for r in pool(texts, sent.value)], pa.binary())
 
-    pairs = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("of")).select("doc_id", features("text").alias("x"), "label")
-    # Repeated ids multiply in the join, so the bound holds for its rows: those of least hash, the same at each run.
+    # The labels are within the bound, so this side is sent whole.
+    pairs = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("doc_id", features("text").alias("x"), "label")
+    # Documents that repeat an id multiply in the join, so the bound holds for its rows too: those of least hash.
     first = F.xxhash64("doc_id", "label", "x")
     rows = pairs.orderBy(first, "doc_id", "label", "x").limit(MAX_TRAIN).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
