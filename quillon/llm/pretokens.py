@@ -160,7 +160,9 @@ class Memory:
         if len(missing):
             new, where = np.unique(keys[missing], return_index=True)
             raw, at = t.data.tobytes(), missing[where]
-            self._add(new, self.encode([raw[a:b].decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]))
+            for k in range(0, len(at), 8192):  # a few at a time, as a library's answers are larger than their ids
+                some = at[k : k + 8192]
+                self._add(new[k : k + 8192], self.encode([raw[a:b].decode() for a, b in zip(begins[some].tolist(), ends[some].tolist(), strict=True)]))
             got[missing] = self._find(keys[missing])
         out, edges = gather(self.flat, self.at, got)
         return out, edges[bounds]

@@ -51,12 +51,14 @@ class LibraryCodec:
         self.n_ids = self.engine.get_vocab_size(with_added_tokens=True)
 
         def members(pattern: str) -> str:
-            spans = pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(ALL_CHARACTERS)
-            at, out = 0, []
-            for _, (a, b) in spans:
-                out.append(ALL_CHARACTERS[at:a])
-                at = b
-            return "".join(out) + ALL_CHARACTERS[at:]
+            asked, out = pre_tokenizers.Split(Regex(pattern), "removed"), []
+            for k in range(0, len(ALL_CHARACTERS), 1 << 14):  # a few at a time, as each answer is an object
+                some, at = ALL_CHARACTERS[k : k + (1 << 14)], 0
+                for _, (a, b) in asked.pre_tokenize_str(some):
+                    out.append(some[at:a])
+                    at = b
+                out.append(some[at:])
+            return "".join(out)
 
         self.memory = Memory(self._encode, class_table({LETTER: members(r"\p{L}"), NUMBER: members(r"\p{N}"), SPACE_CLASS: members(r"\s")}))
 
