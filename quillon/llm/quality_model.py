@@ -201,11 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> tuple[
         return pa.array([r.tobytes() for r in pool(texts, sent.value)], pa.binary())
 
     # The labels are within the bound, so this side is sent whole.
-    pairs = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("doc_id", features("text").alias("x"), "label")
+    pairs = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("doc_id", F.xxhash64("text").alias("th"), features("text").alias("x"), "label")
     # Documents that repeat an id multiply in the join, so the bound holds for its rows too: those of least hash.
-    first = F.xxhash64("doc_id", "label", "x")
-    rows = pairs.orderBy(first, "doc_id", "label", "x").limit(MAX_TRAIN).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))
+    first = F.xxhash64("doc_id", "label", "th")
+    rows = pairs.orderBy(first, "doc_id", "label", "th").limit(MAX_TRAIN).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["th"]))
     sent.destroy()
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     return vectors, Network(x, np.array([r["label"] for r in rows], float))
