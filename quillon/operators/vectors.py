@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
@@ -47,11 +49,19 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: floa
     return out
 
 
-TABLES, BITS = 48, 8
+#: Chance to miss a pair at the threshold.
+MISS = 1e-5
+
+
+def plane_tables(n: int, threshold: float) -> tuple[int, int]:
+    """(tables, bits) for n vectors: keys of so many bits that unlike vectors share one by chance a few times each, and so many tables that a pair at the threshold is missed with chance ``MISS``."""
+    bits = int(min(24, max(8, np.ceil(np.log2(max(n, 2))) - 4)))
+    same = (1 - np.arccos(min(max(threshold, -1.0), 1.0)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-min(same, 1 - 1e-12))))), bits
 
 
-def plane_keys(column: str = "embedding") -> Column:
-    """A key for each of 48 tables: the signs of a vector's products with eight fixed random directions."""
+def plane_keys(column: str, tables: int, bits: int) -> Column:
+    """A key for each table: the signs of a vector's products with fixed random directions."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def keys(vectors: pa.Array) -> pa.Array:
@@ -60,9 +70,9 @@ def plane_keys(column: str = "embedding") -> Column:
         x = np.zeros((len(rows), size))
         for k, r in enumerate(rows):
             x[k, : len(r)] = [v or 0.0 for v in r]
-        planes = np.random.default_rng(3).standard_normal((4096, TABLES * BITS))[:size]
-        bits = (x @ planes > 0).reshape(len(rows), TABLES, BITS)
-        packed = (bits << np.arange(BITS)).sum(2) + (np.arange(TABLES) << BITS)
+        planes = np.random.default_rng(3).standard_normal((size, tables * bits))  # a row for each dimension, the first ones the same however many there are
+        signs = (x @ planes > 0).reshape(len(rows), tables, bits)
+        packed = (signs.astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables, dtype=np.int64) << bits)
         return pa.array(packed.tolist(), pa.list_(pa.int64()))
 
     return keys(column)
@@ -71,17 +81,21 @@ def plane_keys(column: str = "embedding") -> Column:
 def cosine_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, cosine) of pairs of ``vectors(vec_id, embedding)`` with cosine at least ``threshold``.
 
-    Candidates share a table's key; at the threshold of 0.85 a pair shares none
-    with chance (1 - 0.823^8)^48 = 1e-5, and less above. A pair is taken from
-    the first table that it shares, so none is made twice.
+    Candidates share a table's key; keys lengthen with the number of vectors,
+    so chance partners stay few, and tables with the keys. Only ids are dealt;
+    equal vectors are one until the end, when their pairs are put in.
     """
-    v = unit(vectors.select("vec_id", "embedding")).select("vec_id", "unit", plane_keys().alias("keys"))
-    rows = v.select("vec_id", "unit", "keys", F.explode("keys").alias("key"))
-    a = rows.select(F.col("vec_id").alias("a"), F.col("unit").alias("ua"), F.col("keys").alias("ka"), "key")
-    b = rows.select(F.col("vec_id").alias("b"), F.col("unit").alias("ub"), F.col("keys").alias("kb"), "key")
-    first = F.element_at(F.array_intersect("ka", "kb"), 1) == F.col("key")
-    pairs = a.join(b, "key").filter(F.col("a") < F.col("b")).filter(first)
-    return pairs.select("a", "b", F.round(dot(F.col("ua"), F.col("ub")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
+    v = written(unit(vectors.select("vec_id", "embedding")).select("vec_id", "unit", F.xxhash64("unit").alias("h")), "unit-vectors")
+    groups = written(v.groupBy("h", "unit").agg(F.min("vec_id").alias("rep")), "vector-groups")
+    tables, bits = plane_tables(groups.count(), threshold)
+    keyed = groups.select("rep", F.explode(plane_keys("unit", tables, bits)).alias("key"))
+    near = keyed.select(F.col("rep").alias("a"), "key").join(keyed.select(F.col("rep").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+    both = near.join(groups.select(F.col("rep").alias("a"), F.col("unit").alias("ua")), "a").join(groups.select(F.col("rep").alias("b"), F.col("unit").alias("ub")), "b")
+    found = both.select("a", "b", F.round(dot(F.col("ua"), F.col("ub")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
+    own = groups.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.round(dot(F.col("unit"), F.col("unit")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
+    members = v.join(groups, ["h", "unit"]).select("rep", "vec_id")
+    all_ = found.unionByName(own).join(members.select(F.col("rep").alias("a"), F.col("vec_id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("vec_id").alias("y")), "b")
+    return all_.filter("a <> b OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
 
 
 def best_cached(prompts: DataFrame, cache: DataFrame, threshold: float = 0.92) -> DataFrame:

@@ -97,9 +97,9 @@ def semantic_search(c):
     return V.cosine_top_k(c.embeddings, c.embeddings.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5, 0.1)
 
 
-@query(f"WITH v AS ({_U}) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.u, b.u), 6) >= 0.85")
+@query(f"WITH v AS ({_U.replace('{embeddings}', '{vectors}')}) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 6) AS cosine FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.u, b.u), 6) >= 0.85")
 def find_duplicates(c):
-    return V.cosine_pairs(c.embeddings)
+    return V.cosine_pairs(c.vectors)
 
 
 @query(f"WITH v AS ({_U}), m AS (SELECT label, list_transform(range(1, len(any_value(u)) + 1), lambda i: 0) AS z, count(*) AS n FROM v GROUP BY label) SELECT label, n FROM m")

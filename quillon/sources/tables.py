@@ -106,7 +106,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN k % 2 = 0 THEN 'holds ' || methods END AS docstring FROM (
         SELECT p_partkey % 25 AS k, CAST(count(*) AS STRING) AS methods FROM {part} GROUP BY p_partkey % 25) c""",
     # Four methods a class; some of base classes and protocols are abstract.
-    "methods": """SELECT class_name, CASE WHEN m % 2 = 0 THEN 'make_' ELSE 'on_' END || CAST(m AS STRING) AS method, (k % 4 = 0 AND j < 3) OR (k % 4 = 3 AND j = 0) AS is_abstract FROM (
+    "methods": """SELECT class_name, CASE WHEN k = 24 THEN 'build_' WHEN m % 2 = 0 THEN 'make_' ELSE 'on_' END || CAST(m AS STRING) AS method, (k % 4 = 0 AND j < 3) OR (k % 4 = 3 AND j = 0) AS is_abstract FROM (
         SELECT 'Class' || CAST(p_partkey % 25 AS STRING) AS class_name, p_partkey % 25 AS k, p_partkey % 4 AS j, (p_partkey % 25 * 7 + p_partkey % 4) % 13 AS m FROM {part}) p""",
     "refs": f"""SELECT {_path('l_partkey')} AS file_path, {_name('l_partkey')} AS caller,
         CASE WHEN l_quantity > 49 THEN NULL WHEN l_returnflag = 'A' THEN 'print' WHEN l_linenumber = 6 THEN 'self.' || {_name('l_suppkey')} || '.x' ELSE {_module('l_suppkey')} || '.' || {_name('l_suppkey')} END AS callee,
@@ -137,7 +137,8 @@ VIEWS: dict[str, str] = {
     "policy_states": """SELECT c_custkey AS id, c_custkey % 3 = 0 AS has_cycles, CAST(c_custkey % 7 AS INT) AS errors, CAST(c_custkey % 5 AS INT) AS unstable, CAST(c_custkey % 4 + c_custkey % 5 AS INT) AS contracts, CAST(c_nationkey * 40 AS INT) AS edges, CAST(c_custkey % 11 AS INT) AS files,
         CAST(c_nationkey * 5 AS INT) AS top_degree, CAST(c_custkey % 6 AS INT) AS role_files, CAST(c_custkey % 8 AS INT) AS seed_count, CAST(c_custkey % 17 AS INT) AS expanded_count,
         CASE c_custkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'debug_query' WHEN 2 THEN 'general_query' ELSE 'impact_query' END AS intent FROM {customer}""",
-    "vectors": """SELECT vec_id, embedding, label FROM {embeddings}""",
+    # The vectors, and a part of them again under other ids.
+    "vectors": """SELECT vec_id, embedding, label FROM {embeddings} UNION ALL SELECT vec_id + 1000000, embedding, label FROM {embeddings} WHERE vec_id % 9 = 0 UNION ALL SELECT vec_id + 2000000, embedding, label FROM {embeddings} WHERE vec_id % 27 = 0""",
 }
 
 _BRACES = re.compile(r"\{(\w+)\}")
