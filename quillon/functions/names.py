@@ -156,10 +156,16 @@ def prerequisites(text: Column | str) -> Column:
     return F.filter(F.array_distinct(found), lambda w: ~F.lower(w).isin("a", "an", "the", "this", "that", "to"))
 
 
+#: Types that name no class of a corpus.
+PRIMITIVE_TYPES = ("none", "nonetype", "any", "object", "str", "string", "int", "float", "bool", "bytes", "dict", "list", "tuple", "set", "frozenset", "optional", "union", "type")
+
+
 def named_type(declared: Column | str) -> Column:
     """The class that a return type names: one generic unwrapped; primitives, several arguments and small letters give null."""
-    inner = F.regexp_extract(_col(declared), r"^(?:\w+\[)?([A-Z]\w*)\]?$", 1)
-    return F.when((inner != "") & ~inner.isin("None", "Any", "Optional", "List", "Dict", "Set", "Tuple"), inner)
+    c = F.trim(F.coalesce(_col(declared), F.lit("")))
+    inner = F.regexp_extract(c, r"^\w+\[(.+)\]$", 1)
+    bare = F.regexp_replace(F.when(inner != "", F.trim(inner)).otherwise(c), "^['\"]+|['\"]+$", "")
+    return F.when((bare != "") & ~inner.contains(",") & ~F.lower(bare).isin(*PRIMITIVE_TYPES) & ~bare.rlike(r"^\p{Ll}"), bare)
 
 
 def concept_base(name: Column | str) -> Column:

@@ -114,3 +114,45 @@ def changed_files(disk: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path) of files newer than their ingest, or never ingested."""
     held = files.select("file_path", "ingested_at")
     return disk.join(held, "file_path", "left").filter("ingested_at IS NULL OR mtime > ingested_at").select("file_path")
+
+
+def add_items(items: DataFrame, new: DataFrame) -> DataFrame:
+    """Append items without ids; they take the numbers after the largest, in order of title."""
+    last = items.agg(F.max("id").alias("m")).first()["m"] or 0  # one row
+    from pyspark.sql import Window
+
+    numbered = new.withColumn("id", (F.row_number().over(Window.orderBy("title")) + last).cast("long"))  # a caller's few items
+    return items.unionByName(numbered.select(items.columns))
+
+
+def update_items(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """Items with the fields of ``changes(id, ...)`` put in where they aren't null; unknown ids change nothing."""
+    fields = [c for c in changes.columns if c != "id"]
+    given = changes.select("id", *(F.col(c).alias(f"new_{c}") for c in fields))
+    joined = items.join(given, "id", "left")
+    return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in items.columns))
+
+
+def delete_rows(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The table without the rows whose key is among ``ids``; rows without a key stay."""
+    return table.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def store_artifact(table: DataFrame, new: DataFrame) -> DataFrame:
+    """Put rows in place of those of the same subject and kind, or beside the others."""
+    return table.join(new.select("subject", "kind").distinct(), ["subject", "kind"], "left_anti").unionByName(new.select(table.columns))
+
+
+def bag_labels(bags: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bags(bag_id, label)`` with the labels given put in or changed."""
+    return bags.join(labels.select("bag_id").distinct(), "bag_id", "left_anti").unionByName(labels.select(bags.columns))
+
+
+def bag_clear(bag: DataFrame, bag_id: str) -> DataFrame:
+    return bag.filter(F.col("bag_id") != bag_id)
+
+
+def bag_report(bag: DataFrame, bags: DataFrame) -> DataFrame:
+    """(bag_id, label, item_type, items, keys): what each bag holds, keys in order."""
+    rows = bag.groupBy("bag_id", "item_type").agg(F.count(F.lit(1)).alias("items"), F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
+    return rows.join(bags, "bag_id", "left").select("bag_id", "label", "item_type", "items", "keys")

@@ -209,10 +209,11 @@ def concept_ghosts(c):
     return S.concept_ghosts(c.functions, c.classes)
 
 
-_NAMED = "nullif(regexp_extract(return_type, '^(?:\\w+\\[)?([A-Z]\\w*)\\]?$', 1), '')"
+_BARE = "regexp_replace(CASE WHEN regexp_matches(trim(return_type), '^\\w+\\[.+\\]$') THEN regexp_extract(trim(return_type), '^\\w+\\[(.+)\\]$', 1) ELSE trim(return_type) END, '^[''\"]+|[''\"]+$', '', 'g')"
+_NAMED = f"CASE WHEN {_BARE} <> '' AND NOT contains({_BARE}, ',') AND NOT regexp_matches({_BARE}, '^[a-z]') AND lower({_BARE}) NOT IN ('none', 'nonetype', 'any', 'object', 'str', 'string', 'int', 'float', 'bool', 'bytes', 'dict', 'list', 'tuple', 'set', 'frozenset', 'optional', 'union', 'type') THEN {_BARE} END"
 
 
-@query(f"SELECT DISTINCT name, string_split(p, ':')[1] AS param, string_split(p, ':')[-1] AS wanted FROM (SELECT name, unnest(string_split(param_types, ',')) AS p FROM {{functions}} WHERE is_stub AND param_types <> '') WHERE string_split(p, ':')[-1] NOT IN (SELECT {_NAMED} FROM {{functions}} WHERE NOT is_stub AND {_NAMED} IS NOT NULL AND {_NAMED} NOT IN ('None', 'Any', 'Optional', 'List', 'Dict', 'Set', 'Tuple'))")
+@query(f"SELECT DISTINCT name, string_split(p, ':')[1] AS param, string_split(p, ':')[-1] AS wanted FROM (SELECT name, unnest(string_split(param_types, ',')) AS p FROM {{functions}} WHERE is_stub AND param_types <> '') WHERE string_split(p, ':')[-1] NOT IN (SELECT {_NAMED} FROM {{functions}} WHERE NOT is_stub AND {_NAMED} IS NOT NULL)")
 def missing_bridges(c):
     return S.missing_bridges(c.functions)
 

@@ -79,6 +79,9 @@ VIEWS: dict[str, str] = {
     "all_functions": """SELECT * FROM {functions} UNION ALL SELECT id + 10000000, CASE WHEN id % 7 = 0 THEN 'fsm/combat' || CAST(id % 3 AS STRING) || '.json' WHEN id % 7 = 1 THEN 'app/handlers/m' || CAST(id % 5 AS STRING) || '.py' WHEN id % 7 = 2 THEN 'conf/m.yaml' ELSE file_path END,
         CASE WHEN id % 7 = 0 THEN 'Combat::action::a' || CAST(id AS STRING) WHEN id % 7 = 1 THEN 'work' || CAST(id AS STRING) WHEN id % 7 = 3 THEN 'on_event' || CAST(id AS STRING) WHEN id % 7 = 4 THEN '__init__' WHEN id % 7 = 5 THEN 'to_json' ELSE 'alone' || CAST(id AS STRING) END,
         line_number, return_type, docstring, id % 7 <> 6, body_shape, decorators, NULL, false, class_name, param_types FROM {functions} WHERE id % 11 < 2""",
+    # Notes, marks and findings on symbols and files.
+    "notes": f"""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'x::' || {_name('p_partkey')} WHEN 1 THEN {_name('p_partkey')} WHEN 2 THEN 'note on ' || {_name('p_partkey')} WHEN 3 THEN 'mod' || CAST(p_partkey % 17 AS STRING) || '.py' WHEN 4 THEN 'chain::' || CAST(p_partkey % 9 AS STRING) ELSE {_name('p_partkey')} END AS subject,
+        CASE p_partkey % 6 WHEN 0 THEN 'dead' WHEN 1 THEN 'inline_note' WHEN 2 THEN 'design_note' WHEN 3 THEN 'file_purpose' WHEN 4 THEN 'strategy_decision' ELSE 'known_issue' END AS kind, 'see ' || {_name('(p_partkey * 2 + 1)')} || ' first' AS content, p_partkey % 5 = 0 AS needs_review FROM {{part}} WHERE p_size < 20""",
     "fsm_artifacts": """SELECT 'Combat.' || n_name AS subject, 'fsm_state' AS kind FROM {nation} WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'Encounter.start_world' || CAST(n_nationkey AS STRING), 'fsm_action' FROM {nation} WHERE n_nationkey % 3 = 1 UNION ALL SELECT 'Player', 'note' FROM {region}""",
     # A call per pair of neighbouring lines of an order, most of them to vendor code; duplicates and several spellings of a callee occur.
     "edges": f"""SELECT caller, callee, line_number, caller_file, resolved, edge_type, caller AS source_id, regexp_replace(callee, '^.*[.]', '') AS target_id FROM (
