@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import python_code, structured, web_code
+from ..sources import blocks, python_code, structured, web_code
 from .registry import query
 
 
@@ -169,3 +169,56 @@ UNION ALL SELECT file_path, 'node', unnest(['x', 'y', 'z']), NULL FROM {{json_fi
 def machine_parts(c):
     """Nodes, links, actions and guards of state machines."""
     return structured.machine_parts(c.json_files)
+
+
+# Scripts and compiled languages
+
+
+def scanned(c, name: str):
+    return blocks.tables(blocks.scan_blocks(c.native_files))[name]
+
+
+_GO, _RS, _CPP, _TS = (f"{{native_files}} WHERE k % 4 = {n}" for n in range(4))
+
+
+@query(f"""SELECT file_path, 'Run' || {_STR} AS name, 8 AS line_number, 12 AS end_line FROM {_GO} UNION ALL SELECT file_path, unnest(['draw', 'size', 'draw']), unnest([2, 3, 6]), unnest([2, 3, 6]) FROM {_RS}
+UNION ALL SELECT file_path, 'load' || {_STR}, 1, 9 FROM {_TS} UNION ALL SELECT file_path, 'two' || {_STR}, 10, 10 FROM {_TS}""")
+def function_ranges(c):
+    return scanned(c, "ranges")
+
+
+@query(f"""SELECT file_path, 'save' AS consumer, 'load' || CAST(k % 5 AS VARCHAR) AS producer, 'data_flow_var' AS provenance FROM {_GO} UNION ALL SELECT file_path, 'show', 'parse', 'data_flow_arg' FROM {_GO} UNION ALL SELECT file_path, 'parse', 'load' || CAST(k % 5 AS VARCHAR), 'data_flow_var' FROM {_GO}
+UNION ALL SELECT file_path, 'send', 'make', 'data_flow_var' FROM {_TS} UNION ALL SELECT file_path, 'put', 'pick', 'data_flow_arg' FROM {_TS} UNION ALL SELECT file_path, 'load' || {_STR}, 'list', 'data_flow_for_iter' FROM {_TS} UNION ALL SELECT file_path, 'use', 'make', 'data_flow_var_kwarg' FROM {_TS}""")
+def script_data_flow(c):
+    return scanned(c, "flows")
+
+
+@query(f"SELECT file_path, 'load' || {_STR} AS name, 'a,b,k' || CAST(k % 3 AS VARCHAR) || ',total' AS keys FROM {_TS}")
+def response_consumers(c):
+    return scanned(c, "consumers")
+
+
+@query(f"SELECT file_path, 'Store' || {_STR} AS interface, unnest(['Get', 'Put']) AS method FROM {_GO}")
+def interface_types(c):
+    return scanned(c, "interfaces")
+
+
+@query(f"SELECT file_path, 'Draw' || {_STR} AS trait, unnest(['draw', 'size']) AS method FROM {_RS}")
+def trait_types(c):
+    return scanned(c, "traits")
+
+
+@query(f"SELECT file_path, 'Shape' || CAST(k % 7 AS VARCHAR) AS type, 'Draw' || {_STR} AS trait FROM {_RS}")
+def trait_implementations(c):
+    return scanned(c, "implementations")
+
+
+@query(f"SELECT file_path, 'Item' || {_STR} AS class_name, unnest(['Base' || CAST(k % 5 AS VARCHAR), 'Mix']) AS base FROM {_CPP}")
+def class_hierarchy(c):
+    return scanned(c, "hierarchies")
+
+
+@query(f"SELECT file_path, line_number, CASE WHEN line_number BETWEEN 1 AND 9 THEN 'load' || {_STR} WHEN line_number = 10 THEN 'two' || {_STR} END AS function FROM {_TS.replace('WHERE', ', (VALUES (1), (5), (9), (10), (11)) v(line_number) WHERE')}")
+def enclosing_functions(c):
+    lines = c.native_files.filter("k % 4 = 3").select("file_path", F.explode(F.array(*(F.lit(n) for n in (1, 5, 9, 10, 11)))).alias("line_number"))
+    return blocks.enclosing(lines, scanned(c, "ranges"))

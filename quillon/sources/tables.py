@@ -62,6 +62,11 @@ _PAGE = _text(*map(_sql, (f'<button onclick="go~{K}~(1)" hx-post="/api/~{K}~/x/"
 _JSON = ("CASE p_partkey % 5 WHEN 0 THEN " + _sql('[{"source": "a~p_partkey~", "to": "b", "action": "go~p_partkey % 3~"}, {"id": "b"}]') + " WHEN 1 THEN " + _sql('[{"id": "x"}, {"name": "y", "use": "x"}, {"key": "z", "uses": ["y", "x", "~p_name~"]}]')
          + " WHEN 2 THEN " + _sql('{"a": {"b": {"c": {"d": ~p_size~}}}}') + " WHEN 3 THEN " + _sql('[{"id": "p"}, {"id": "q~p_partkey~", "guard": "ok"}]') + " ELSE " + _sql("{not json") + " END")
 
+_GO = _text(*map(_sql, ("package main", "", f"type Store~{K}~ interface {{", "    Get(id int) string", "    Put(id int) // no Drop(x)", "}", "", f"func Run~{K}~(s Store) {{", f"    x := load~{K} % 5~(s)", "    save(x)", "    show(parse(x))", "}")))
+_RUST = _text(*map(_sql, (f"pub trait Draw~{K}~ {{", "    fn draw(&self);", "    fn size(&self) -> i32 { 1 }", "}", f"impl<T> Draw~{K}~<T> for app::Shape~{K} % 7~ {{", "    fn draw(&self) { render(self) }", "}")))
+_CPP = _text(*map(_sql, (f"class Base~{K} % 5~ {{ }};", f"class Item~{K}~ final : public Base~{K} % 5~, private virtual ns::Mix<int, long> {{", "    void go();", "};")))
+_ASYNC = _text(*map(_sql, (f"async function load~{K}~(u) {{", "  const { a, b: c } = await (await fetch(u)).json();", "  const d = await resp.json();", f"  show(d.total, d.k~{K} % 3~);", "  const x = make(u);", "  send(x); // put(no(u))", "  put(pick(u));", "  for (const y of list(u)) { use({ it: x }); }", "}", f"const two~{K}~ = () => go('f(g())');")))
+
 
 VIEWS: dict[str, str] = {
     # A function per part.
@@ -132,6 +137,7 @@ VIEWS: dict[str, str] = {
     "py_files": f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 19 = 0 THEN 'pkg' || CAST(p_partkey AS STRING) || '/__init__.py' WHEN p_partkey % 13 = 0 THEN 'tests/m' || CAST(p_partkey AS STRING) || '.py' ELSE 'pkg' || CAST(p_partkey % 5 AS STRING) || '/m' || CAST(p_partkey AS STRING) || '.py' END AS file_path,
         CASE WHEN p_partkey % 17 = 0 THEN 'def x(:' ELSE {_PYTHON} END AS text FROM {{part}}""",
     "web_files": f"""SELECT p_partkey AS k, 'web/f' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.html' ELSE '.js' END AS file_path, CASE WHEN p_partkey % 3 = 0 THEN {_PAGE} ELSE {_SCRIPT} END AS text FROM {{part}}""",
+    "native_files": f"""SELECT p_partkey AS k, 'src/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.rs' WHEN 2 THEN '.cpp' ELSE '.ts' END AS file_path, CASE p_partkey % 4 WHEN 0 THEN {_GO} WHEN 1 THEN {_RUST} WHEN 2 THEN {_CPP} ELSE {_ASYNC} END AS text FROM {{part}}""",
     "json_files": f"""SELECT p_partkey AS k, 'data/f' || CAST(p_partkey AS STRING) || '.json' AS file_path, {_JSON} AS text FROM {{part}}""",
     # A question per part, each intent's phrases among them.
     "questions": f"""SELECT p_partkey AS query_id, CASE p_partkey % 13 WHEN 0 THEN 'What depends on ' WHEN 1 THEN 'show the IMPACT of ' WHEN 2 THEN 'what uses ' WHEN 3 THEN 'where is it used by ' WHEN 4 THEN 'What does it do: ' WHEN 5 THEN 'the build is broken in ' WHEN 6 THEN 'why is there an error in '
