@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, token_files, warc
 from quillon.llm.pretokens import ALL_CHARACTERS
@@ -134,3 +135,29 @@ def test_warc_archives(spark, tmp_path):
     assert {r["record_type"] for r in everything} == {"response"}
     assert warc.read_bundles(warc.write_bundles(df.limit(0), str(tmp_path / "c"))).count() == 0
     assert not glob.glob(str(tmp_path / "*.part"))
+
+
+def test_warc_of_repeated_rows_and_other_columns(spark, tmp_path):
+    """Identical rows are all archived: those that hold the largest id are responses; columns with the names of the index don't matter."""
+    rows = [(1, "u", "same", "b", 7), (2, "u", "same", "b", 7), (2, "u", "same", "b", 7), (3, "u", "alone", "b", 7), (3, "u", "alone", "b", 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, bundle string, leader int")
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_bundles(warc.write_bundles(df, str(tmp_path))).collect())
+    assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (3, "response", None)]
+
+
+def test_token_files_of_null_and_repeated_ids_and_wide_ones(spark, tmp_path):
+    """Rows without an id come first, rows that repeat one follow each other, and an end id over 16 bits is kept whole."""
+    rows = [(5, "five five"), (None, "nobody"), (5, "five again"), (1, None), (None, ""), (2, "x" * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("start", F.lit(1)).withColumn("part", F.lit("x"))
+    manifest = token_files.write_files(docs, str(tmp_path), token_files.vocabulary(), end_id=70_000)
+    got = sorted(token_files.read_files(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 1, 2, 5, 5]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    held = [x for r in sorted(manifest.collect(), key=lambda r: r["part"]) for k in (1, 5) for x in token_files.read_document(r["file"], k)]
+    assert len(held) == 3 and all(x[-1] == 70_000 for x in held) and held[0].tolist() == [70_000]
+
+
+def test_bpe_of_other_columns_and_long_words(spark):
+    docs = spark.createDataFrame([(1, "ab" * 600_000, 3, "x"), (2, "short", 3, "x"), (2, "short", 3, "x")], "doc_id long, text string, n_tokens int, ids_sha256 string")
+    rows = sorted(bpe.code_documents(docs, bpe.vocabulary()).collect())
+    assert [r["doc_id"] for r in rows] == [1, 2, 2] and rows[0]["decoded_sha256"] == hashlib.sha256(b"ab" * 600_000).hexdigest() and rows[1] == rows[2]
