@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -180,3 +180,56 @@ def intent_coverage(functions: DataFrame, classes: DataFrame, mutations: DataFra
     def of(df: DataFrame, kind: str, column: str) -> DataFrame:
         return df.agg(F.count_if(F.coalesce(F.col(column) != "", F.lit(False))).alias("documented"), F.count(F.lit(1)).alias("total")).select(F.lit(kind).alias("kind"), "documented", "total")
     return of(functions, "functions", "docstring").unionByName(of(classes, "classes", "docstring")).unionByName(of(mutations, "mutations", "operation"))
+
+
+# Validation of a whole system
+
+#: The buckets that symbols may have, and which of two wins.
+BUCKETS = ("project", "builtin", "stdlib", "runtime", "external_lib", "external_unknown", "classification_gap", "unresolved_qualified_reference", "unknown")
+PRIORITY = ("project", "builtin", "stdlib", "runtime", "unknown")
+
+
+def checked_bucket(bucket: Column | str) -> Column:
+    """The bucket; one that isn't allowed is an error when the row is read."""
+    c = F.col(bucket) if isinstance(bucket, str) else bucket
+    return F.when(c.isin(*BUCKETS), c).otherwise(F.raise_error(F.concat(F.lit("invalid bucket "), F.coalesce(c, F.lit("null")))))
+
+
+def stronger_bucket(current: Column | str, candidate: Column | str) -> Column:
+    """The bucket of two that comes first in the order of priority; what isn't in the order comes last, and ties keep the current one."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (current, candidate))
+    order = F.array(*(F.lit(p) for p in PRIORITY))
+    place = lambda c: F.when(F.array_position(order, c) > 0, F.array_position(order, c)).otherwise(len(PRIORITY) + 1)
+    return F.when(place(b) < place(a), b).otherwise(a)
+
+
+def summarize_reports(reports: DataFrame) -> DataFrame:
+    """(what, n): files reported on, violations in all, and by contract."""
+    sums = reports.agg(F.countDistinct("file_path").alias("total_files"), F.coalesce(F.sum("violation"), F.lit(0)).cast("long").alias("total_violations")).unpivot([], ["total_files", "total_violations"], "what", "n")
+    by = reports.filter("violation > 0").groupBy(F.concat(F.lit("contract:"), "contract_name").alias("what")).agg(F.sum("violation").cast("long").alias("n"))
+    return sums.unionByName(by)
+
+
+def validate_system(refs: DataFrame, edges: DataFrame, reports: DataFrame) -> DataFrame:
+    """(severity, message, n): references without an end by line, a graph without edges or with few, and contracts violated as errors."""
+    bad = refs.filter(F.coalesce(F.col("caller"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("callee"), F.lit("")).eqNullSafe(""))
+    lines = bad.groupBy(F.concat(F.lit("Invalid symbol reference at line "), F.col("line_number").cast("string")).alias("message")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("error").alias("severity"), "message", "n")
+    size = edges.agg(F.count(F.lit(1)).alias("n"))
+    none = size.filter("n = 0").select(F.lit("error").alias("severity"), F.lit("Graph has zero edges").alias("message"), F.lit(1).cast("long").alias("n"))
+    few = size.filter("n < 10").select(F.lit("warning").alias("severity"), F.lit("Low edge count detected").alias("message"), F.lit(1).cast("long").alias("n"))
+    broken = reports.filter("violation > 0 AND severity = 'error'").groupBy(F.concat(F.lit("Contract violated: "), "contract_name").alias("message")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("error").alias("severity"), "message", "n")
+    return lines.unionByName(none).unionByName(few).unionByName(broken)
+
+
+def snapshot(refs: DataFrame, edges: DataFrame, functions: DataFrame, classes: DataFrame, reports: DataFrame) -> DataFrame:
+    """(metric, value): the reduced state of a corpus: its size, its references by bucket, its stubs and its violations."""
+    sums = functions.agg(F.count(F.lit(1)).alias("functions"), F.count_if("is_stub").alias("stubs")).unpivot([], ["functions", "stubs"], "metric", "value")
+    kinds = classes.agg(F.count(F.lit(1)).alias("value")).select(F.lit("classes").alias("metric"), "value")
+    bad = reports.agg(F.coalesce(F.sum("violation"), F.lit(0)).cast("long").alias("value")).select(F.lit("violations").alias("metric"), "value")
+    return system_summary(refs, edges).unionByName(sums).unionByName(kinds).unionByName(bad)
+
+
+def snapshot_diff(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(metric, first, second, change) of the metrics that differ between two snapshots; a missing one is 0."""
+    both = one.select("metric", F.col("value").alias("first")).join(two.select("metric", F.col("value").alias("second")), "metric", "full_outer").na.fill(0, ["first", "second"])
+    return both.withColumn("change", F.col("second") - F.col("first")).filter("change <> 0")

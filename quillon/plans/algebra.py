@@ -162,3 +162,23 @@ def parse(text: str) -> Select | Combine:
         return Select(x["view"], x.get("metric"), Filter(f["key"], f["op"], f["value"]) if f else None)
 
     return plan(node(json.loads(text)))
+
+
+def field(q: Select, result, name: str, default=None):
+    """A metric out of a result, whether the query asked for the whole view or for that metric; ``default`` where it asked for another."""
+    if q.metric == name:
+        return result
+    return default if q.metric is not None else result.get(name, default)
+
+
+def compiled_plans(questions: DataFrame) -> DataFrame:
+    """(query_id, intent, plan) of ``questions(query_id, raw_query)``: each question's intent, and its query in words."""
+    from ..operators.routing import intent_of
+
+    out = F.lit(explain(Select("STRUCTURE")))
+    for intent, q in RULES.items():
+        out = F.when(F.col("intent") == intent, explain(q)).otherwise(out)
+    files = F.regexp_extract_all(F.coalesce("raw_query", F.lit("")), F.lit(r"\b[\w./\\-]+\.py\b"), F.lit(0))
+    one = F.concat(F.lit("ROLE.files where file_path endswith '"), F.get(files, F.lit(0)), F.lit("'"))
+    rows = questions.withColumn("intent", intent_of("raw_query"))
+    return rows.select("query_id", "intent", F.when((F.col("intent") == "role_query") & (F.size(files) == 1), one).otherwise(out).alias("plan"))

@@ -224,3 +224,53 @@ def hot_files(c):
     keys = c.edges.select("caller", F.explode(F.array("callee", N.after_first_dot("callee"))).alias("name")).distinct()
     counts = keys.groupBy("name").agg(F.countDistinct("caller").alias("n"))
     return c.functions.join(counts, "name", "left").groupBy("file_path").agg(F.bool_or(F.coalesce(F.col("n") >= 3, F.lit(False))).alias("is_hot"))
+
+
+@query("SELECT 'total_files' AS what, count(DISTINCT file_path) AS n FROM {contract_reports} UNION ALL SELECT 'total_violations', sum(violation)::BIGINT FROM {contract_reports} UNION ALL SELECT 'contract:' || contract_name, sum(violation)::BIGINT FROM {contract_reports} WHERE violation > 0 GROUP BY contract_name")
+def summarize_reports(c):
+    return A.summarize_reports(c.contract_reports)
+
+
+@query("""SELECT 'error' AS severity, 'Invalid symbol reference at line ' || CAST(line_number AS VARCHAR) AS message, count(*) AS n FROM {refs} WHERE coalesce(caller, '') = '' OR coalesce(callee, '') = '' GROUP BY 2 UNION ALL SELECT 'error', 'Contract violated: ' || contract_name, count(*) FROM {contract_reports} WHERE violation > 0 AND severity = 'error' GROUP BY 2
+UNION ALL SELECT 'error', 'Graph has zero edges', 1 FROM (SELECT count(*) AS k FROM {edges} WHERE line_number = 99) WHERE k = 0 UNION ALL SELECT 'warning', 'Low edge count detected', 1 FROM (SELECT count(*) AS k FROM {edges} WHERE line_number = 99) WHERE k < 10""")
+def validate_system(c):
+    """References and contracts, and a graph that lost its edges."""
+    return A.validate_system(c.refs, c.edges.filter("line_number = 99"), c.contract_reports)
+
+
+_PLACE = "CASE {0} WHEN 'project' THEN 1 WHEN 'builtin' THEN 2 WHEN 'stdlib' THEN 3 WHEN 'runtime' THEN 4 WHEN 'unknown' THEN 5 ELSE 6 END"
+
+
+@query(f"""SELECT a, b, CASE WHEN {_PLACE.format('b')} < {_PLACE.format('a')} THEN b ELSE a END AS winner, count(*) AS n FROM (SELECT coalesce(bucket, 'classification_gap') AS a, CASE line_number WHEN 1 THEN 'project' WHEN 2 THEN 'stdlib' WHEN 3 THEN 'runtime' WHEN 4 THEN 'external_lib' ELSE 'unknown' END AS b FROM {{refs}}) GROUP BY ALL""")
+def bucket_priority(c):
+    n = F.col("line_number")
+    other = F.when(n == 1, "project").when(n == 2, "stdlib").when(n == 3, "runtime").when(n == 4, "external_lib").otherwise("unknown")
+    rows = c.refs.select(A.checked_bucket(F.coalesce("bucket", F.lit("classification_gap"))).alias("a"), A.checked_bucket(other).alias("b"))
+    return rows.select("a", "b", A.stronger_bucket("a", "b").alias("winner")).groupBy("a", "b", "winner").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SNAPSHOT = f"""SELECT 'edge_count' AS metric, count(*) AS value FROM {{edges}} UNION ALL SELECT 'file_count', count(DISTINCT file_path) FROM {{refs}} UNION ALL SELECT 'reference_count', count(*) FROM {{refs}} UNION ALL SELECT 'bucket_' || bucket, n FROM ({_BUCKETS}) UNION ALL SELECT 'functions', count(*) FROM {{functions}}
+UNION ALL SELECT 'stubs', count(*) FROM {{functions}} WHERE is_stub UNION ALL SELECT 'classes', count(*) FROM {{classes}} UNION ALL SELECT 'violations', sum(violation)::BIGINT FROM {{contract_reports}}"""
+
+
+@query(_SNAPSHOT)
+def evaluation_snapshot(c):
+    return A.snapshot(c.refs, c.edges, c.functions, c.classes, c.contract_reports)
+
+
+@query(f"WITH a AS ({_SNAPSHOT}), b AS ({_SNAPSHOT.replace('{functions}', '{all_functions}')}) SELECT metric, a.value AS first, b.value AS second, b.value - a.value AS change FROM a JOIN b USING (metric) WHERE a.value <> b.value")
+def snapshot_changes(c):
+    """What more functions change."""
+    make = lambda functions: A.snapshot(c.refs, c.edges, functions, c.classes, c.contract_reports)
+    return A.snapshot_diff(make(c.functions), make(c.all_functions))
+
+
+@query("""SELECT query_id, intent, CASE intent WHEN 'impact_query' THEN 'STRUCTURE beside INTEGRITY' WHEN 'reverse_query' THEN 'STRUCTURE beside INTEGRITY' WHEN 'surface_query' THEN 'STRUCTURE beside STABILITY' WHEN 'general_query' THEN 'STABILITY beside INTEGRITY'
+WHEN 'role_query' THEN CASE WHEN regexp_matches(raw_query, '[.]py$') THEN 'ROLE.files where file_path endswith ' || chr(39) || regexp_extract(raw_query, '[^ ]+[.]py$') || chr(39) ELSE 'ROLE' END ELSE 'STRUCTURE' END AS plan
+FROM (SELECT query_id, raw_query, CASE query_id % 13 WHEN 0 THEN 'impact_query' WHEN 1 THEN 'impact_query' WHEN 2 THEN 'reverse_query' WHEN 3 THEN 'reverse_query' WHEN 4 THEN 'surface_query' WHEN 5 THEN 'debug_query' WHEN 6 THEN 'debug_query' WHEN 7 THEN 'mutation_query' WHEN 8 THEN 'mutation_query'
+WHEN 9 THEN 'role_query' WHEN 10 THEN 'role_query' WHEN 11 THEN 'mutation_query' ELSE 'general_query' END AS intent FROM (SELECT query_id, raw_query || CASE WHEN query_id % 2 = 0 THEN ' in pkg/m.py' ELSE '' END AS raw_query FROM {questions}))""")
+def compiled_queries(c):
+    """Questions compiled to queries of the algebra."""
+    from ..plans.algebra import compiled_plans
+
+    return compiled_plans(c.questions.withColumn("raw_query", F.concat("raw_query", F.when(F.col("query_id") % 2 == 0, " in pkg/m.py").otherwise(""))))
