@@ -11,6 +11,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,11 +54,41 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that the scratch now open has written.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there and lost executors cost no rework."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at the end, but for those given to the function that it yields. Nothing that is still to be computed may need the others."""
+    held: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    outer = _SCRATCH.set(held)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(outer)
+        for path in held:
+            if path not in kept:
+                drop_folder(spark, path)
+        if (around := _SCRATCH.get()) is not None:
+            around += [path for path in held if path in kept]
 
 
 def parts_for(df: DataFrame, target: int = 64 << 20) -> int:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quillon.sources import python_code, structured, web_code
+from quillon.sources import python_code, shared, structured, web_code
 from quillon.streaming import refresh
 
 CODE = '''
@@ -127,3 +127,18 @@ def test_running_drift(spark, tmp_path):
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("drift_now").collect()] == [("c", 2, "recurring")]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_scratch_tables_are_removed(spark):
+    """What a scratch keeps can be read after it; the rest is gone, inner scratches' too."""
+    import os
+
+    table = lambda k: shared.written(spark.range(k), "t")
+    place = lambda df: shared.local_path(df.written_to)
+    with shared.scratch(spark) as keep:
+        one, two = table(1), keep(table(2))
+        with shared.scratch(spark) as inner:
+            three, four = table(3), inner(table(4))
+        assert not os.path.exists(place(three)) and four.count() == 4
+    assert two.count() == 2 and not os.path.exists(place(one)) and not os.path.exists(place(four))
+    assert os.path.exists(place(table(5)))
