@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import bound_batches, local_path, new_folder, open_bytes, parts_for, put_bytes, shared_dir, written
+from ..sources.shared import bound_batches, local_path, new_folder, open_bytes, parts_for, put_bytes, scratch, shared_dir, written
 
-__all__ = ["bound_batches", "documents", "local_path", "new_folder", "open_bytes", "parts_for", "put_bytes", "shared_dir", "written"]
+__all__ = ["bound_batches", "documents", "local_path", "new_folder", "open_bytes", "parts_for", "put_bytes", "scratch", "shared_dir", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

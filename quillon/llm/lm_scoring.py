@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, documents, local_path, new_folder, open_bytes, put_bytes, written
+from .common import bound_batches, documents, local_path, new_folder, open_bytes, put_bytes, scratch, written
 from .spans import MUL_A, SPACE, U64, Texts, chunks_of, per_text
 
 DEPTH = 4
@@ -326,8 +326,13 @@ def _word_context(key: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Learn from all rows of ``docs(text)``."""
+    """Learn from all rows of ``docs(text)``; the tables on the way are removed, the shards stay."""
     bound_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _train(docs)
+
+
+def _train(docs: DataFrame) -> Model:
     parts = docs.select("text").mapInArrow(_count, "kind int, key long, n long")
     counts = written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.filter(F.col("kind") == WORD)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import bound_batches, documents, written
+from .common import bound_batches, documents, scratch, written
 from .spans import MUL_A, MUL_C, SPACE, U64, Texts, chunks_of, mix, owners, windows
 
 SHINGLE_WORDS = 4
@@ -243,7 +243,12 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(node, label) of the classes that link with others."""
+    """(node, label) of the classes that link with others; the tables on the way are removed."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_class_links(docs, classes, size))
+
+
+def _class_links(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     keyed = classes.select("cid", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("size"))
     buckets = written(buckets.filter("leader <> last"), "dedup-buckets")
