@@ -1,6 +1,7 @@
 """Document operators against brute-force versions on small fixtures."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -555,3 +556,15 @@ def test_lm_scores_of_long_texts_and_other_columns(spark):
     got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, model).collect()}
     assert (got[100]["n_tokens"], got[100]["n_known"]) == (300_002, 300_001) and (got[3]["n_tokens"], got[3]["n_known"]) == (4, 4)
     assert got[3]["score"] > got[100]["score"] and got[100]["bits_per_byte"] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_quality_model_on_held_out_labels(spark):
+    """Order and calibration of the scores on labelled documents of the fold that wasn't learnt from."""
+    sf = "/root/testdata/sf0.01"
+    got = quality_model.query(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = [r["score"] for r in got if r["quality"] == 1], [r["score"] for r in got if r["quality"] == 0]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    gap = abs(np.mean([r["score"] for r in got]) - len(good) / len(got))
+    print(f"held-out labels: {len(got)}, AUC {auc:.3f}, mean score off by {gap:.3f}")
+    assert auc >= 0.85 and gap <= 0.15

@@ -1,7 +1,11 @@
 """The pipeline's stages on a small corpus: what goes, what stays, and columns."""
 
+import base64
 import random
+import re
 
+import public_tokenizers
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -43,3 +47,70 @@ def test_stages_of_nulls_repeats_and_nothing(spark, tmp_path):
         empty = stage(spark, empty, str(tmp_path))
         assert empty.columns == docs.columns and empty.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """Every stage in plain Python on a few hundred documents: rules, links of five-word shingles, items held, spans redacted, ids of the public library."""
+    rng = random.Random(30)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    make = lambda n: " ".join(word() for _ in range(n))
+    items = [make(rng.randrange(15, 60)) for _ in range(12)]
+    texts = []
+    for k in range(240):
+        t = make(rng.randrange(5, 90)).split()
+        if k % 6 == 1:  # near and far copies of an earlier one
+            t = list(texts[rng.randrange(len(texts))].split())
+            for _ in range(rng.randrange(0, 9)):
+                t[rng.randrange(len(t))] = word()
+        if k % 10 == 3:
+            t += rng.choice(items).split() + make(20).split()
+        if k % 8 == 5:
+            t += ["token", "=", "".join(rng.choice("0123456789abcdef") for _ in range(30))]
+        if k % 12 == 7:
+            t = t[:10] * 12
+        texts.append(" ".join(t))
+    rows = [(k, t, "en", f"s{k % 4}", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def passes(t):
+        w = t.split()
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)}
+        return len(w) >= 20 and 100 * len(inside) <= 30 * len(w)
+
+    left = [k for k, t in enumerate(texts) if passes(t)]
+    shingles = {k: {tuple(texts[k].split()[i : i + 5]) for i in range(len(texts[k].split()) - 4)} for k in left}
+    label = {k: k for k in left}
+    for a in left:
+        for b in left:
+            both = len(shingles[a] & shingles[b])
+            if a < b and label[a] != label[b] and 100 * both >= 80 * (len(shingles[a]) + len(shingles[b]) - both):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    left = [k for k in left if label[k] == k]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = above[j] + 1 if x == y else max(row[j], above[j + 1])
+        return row[-1]
+
+    def holds(t, i):
+        i, t = i.split(), t.split()
+        share = common(i, t) / len(i)
+        return share >= 0.75 or share >= 0.55 and common(i[-6:], t) >= 0.8 * 6
+
+    left = [k for k in left if not any(holds(texts[k], i) for i in items)]
+    redacted = {k: re.sub(r"token = [0-9a-f]{30}", "[secret]", texts[k]) for k in left}
+    library = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_ranks(), special_tokens={})
+    want = {k: library.encode_ordinary(t) for k, t in redacted.items()}
+    got = {r["doc_id"]: list(r["token_ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 60 < len(want) < 200 and any(redacted[k] != texts[k] for k in left)
+
+
+def bpe_ranks():
+    lines = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
+    return {base64.b64decode(t): int(n) for t, n in (x.split() for x in lines if x)}
