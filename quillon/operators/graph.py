@@ -385,8 +385,10 @@ def find_symbols(functions: DataFrame, edges: DataFrame, pattern: str, n: int =
 
 
 def co_occurring_callees(edges: DataFrame, min_callers: int = 3) -> DataFrame:
-    """(callee_a, callee_b, callers): pairs that at least so many distinct callers use both."""
+    """(callee_a, callee_b, callers): pairs that at least so many distinct callers use both; a callee of fewer callers is in none and goes first."""
     p = pairs(edges)
+    common = p.groupBy("callee").agg(F.count("caller").alias("n")).filter(F.col("n") >= min_callers)
+    p = p.join(common, "callee", "left_semi").select("caller", "callee")
     a, b = p.select("caller", F.col("callee").alias("callee_a")), p.select("caller", F.col("callee").alias("callee_b"))
     both = a.join(b, "caller").filter("callee_a < callee_b")
     return both.groupBy("callee_a", "callee_b").agg(F.count(F.lit(1)).alias("callers")).filter(F.col("callers") >= min_callers)

@@ -39,7 +39,8 @@ def refresh_table(rows: DataFrame, target: str, checkpoint: str) -> StreamingQue
             old = None
         merged = new
         if old is not None:
-            touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
+            buckets = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # 64 at most; other partitions aren't read
+            touched = old.filter(F.col("bucket").isin(buckets))
             merged = newest(touched.unionByName(new)).dropDuplicates()
         staged = f"{target}-staged"  # read whole before the partitions that it comes from are replaced
         merged.write.mode("overwrite").parquet(staged)
