@@ -274,3 +274,21 @@ def compiled_queries(c):
     from ..plans.algebra import compiled_plans
 
     return compiled_plans(c.questions.withColumn("raw_query", F.concat("raw_query", F.when(F.col("query_id") % 2 == 0, " in pkg/m.py").otherwise(""))))
+
+
+_NAMES = "SELECT DISTINCT callee AS name FROM {refs} UNION SELECT DISTINCT module FROM {imports} UNION SELECT DISTINCT callee FROM {edges}"
+
+
+@query(f"""WITH b AS (SELECT 'mod' || CAST(n_nationkey AS VARCHAR) AS variable, min('svc' || CAST(n_regionkey AS VARCHAR) || '.run') AS bound_to FROM {{nation}} WHERE n_nationkey < 4 GROUP BY 1 UNION ALL SELECT 'self.mod5', 'vendor.call_7'), pl AS (SELECT DISTINCT regexp_replace(name, '^.*(::|[.])', '') AS leaf FROM {{functions}} WHERE id % 3 = 0),
+n AS ({_NAMES}), k AS (SELECT name, max(len(string_split(variable, '.'))) AS l FROM n JOIN b ON name = variable OR starts_with(name, variable || '.') GROUP BY 1), r AS (SELECT n.name, CASE WHEN n.name IN (SELECT variable FROM b) THEN (SELECT bound_to FROM b WHERE variable = n.name) WHEN n.name IN (SELECT bound_to FROM b) THEN n.name
+ WHEN l IS NOT NULL THEN (SELECT bound_to FROM b WHERE (variable = n.name OR starts_with(n.name, variable || '.')) AND len(string_split(variable, '.')) = l) END AS bound_to FROM n LEFT JOIN k ON k.name = n.name)
+SELECT name, type, CASE WHEN type = 'runtime' THEN bound_to END AS bound_to FROM (SELECT *, CASE WHEN name IS NULL OR name = '' THEN 'unknown' WHEN string_split(name, '.')[1] IN ({BUILTIN_LIST}) THEN 'builtin' WHEN bound_to IS NOT NULL THEN 'runtime' WHEN string_split(name, '.')[1] IN ('os', 'sys', 're', 'json') THEN 'stdlib'
+WHEN regexp_replace(name, '^.*(::|[.])', '') IN (SELECT leaf FROM pl) THEN 'project' WHEN contains(name, '.') THEN 'external' ELSE 'unknown' END AS type FROM r)""")
+def resolve_symbol_types(c):
+    """Names by what they resolve to, with bindings of variables."""
+    from ..operators.resolve import resolve_types
+
+    names = c.refs.select(F.col("callee").alias("name")).unionByName(c.imports.select(F.col("module").alias("name"))).unionByName(c.edges.select(F.col("callee").alias("name")))
+    bindings = c.nation.filter("n_nationkey < 4").select(F.concat(F.lit("mod"), F.col("n_nationkey").cast("string")).alias("variable"), F.concat(F.lit("svc"), F.col("n_regionkey").cast("string"), F.lit(".run")).alias("bound_to"))
+    bindings = bindings.unionByName(c.spark.createDataFrame([("self.mod5", "vendor.call_7")], "variable string, bound_to string"))
+    return resolve_types(names, bindings, c.functions.filter("id % 3 = 0").select(F.col("name").alias("symbol")))

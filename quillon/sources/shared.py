@@ -91,7 +91,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             around += [path for path in held if path in kept]
 
 
-def parts_for(df: DataFrame, target: int = 64 << 20) -> int:
+def parts_for(df: DataFrame, target: int = 256 << 20) -> int:
     """Partitions for files of about ``target`` bytes by the planner's estimate of ``df``; the cluster's own number at least."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
