@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import blocks, python_code, structured, web_code
+from ..sources import blocks, machines, python_code, structured, web_code
 from .registry import query
 
 
@@ -222,3 +222,35 @@ def class_hierarchy(c):
 def enclosing_functions(c):
     lines = c.native_files.filter("k % 4 = 3").select("file_path", F.explode(F.array(*(F.lit(n) for n in (1, 5, 9, 10, 11)))).alias("line_number"))
     return blocks.enclosing(lines, scanned(c, "ranges"))
+
+
+# State machines
+
+_FOUND = "{machine_sources} WHERE k % 5 <> 0 AND k % 7 <> 0"
+_MACHINES = f"{_FOUND} AND k % 11 <> 0 AND k % 13 <> 0"
+_FSM = "'Combat' || CAST(k AS VARCHAR) || 'FSM::'"
+
+
+def machine_tables(c):
+    return machines.tables(machines.parse_machines(c.machine_sources))
+
+
+@query(f"""SELECT file_path, {_FSM} || part AS name, is_stub, docstring FROM (SELECT file_path, k, unnest(['state::idle', 'state::run' || CAST(k % 3 AS VARCHAR), 'event::go', 'event::stop', 'action::hit' || CAST(k % 4 AS VARCHAR), 'action::miss', 'guard::ok']) AS part,
+unnest([false, false, false, false, true, true, true]) AS is_stub, unnest(['wait', NULL, NULL, NULL, 'strikes', NULL, NULL]) AS docstring FROM {_MACHINES})""")
+def machine_functions(c):
+    return machine_tables(c)["functions"].select("file_path", "name", "is_stub", "docstring")
+
+
+@query(f"SELECT {_FSM} || 'event::go' AS caller, {_FSM} || 'state::run' || CAST(k % 3 AS VARCHAR) AS callee, file_path AS caller_file, 'go' AS source_id, 'run' || CAST(k % 3 AS VARCHAR) AS target_id FROM {_MACHINES}")
+def machine_transitions(c):
+    return machine_tables(c)["edges"].select("caller", "callee", "caller_file", "source_id", "target_id")
+
+
+@query(f"SELECT file_path, CASE WHEN k % 11 = 0 THEN 'JSON parse error' ELSE 'missing or non-string ' || chr(39) || 'name' || chr(39) END AS error FROM {_FOUND} AND (k % 11 = 0 OR k % 13 = 0)")
+def machine_errors(c):
+    return machine_tables(c)["errors"]
+
+
+@query(f"SELECT 'Combat' || CAST(k AS VARCHAR) || 'FSM' AS machine, '[*] --> run' || CAST(k % 3 AS VARCHAR) || ': go' AS line FROM {_MACHINES}")
+def machine_diagrams(c):
+    return machines.diagram(machines.parse_machines(c.machine_sources))

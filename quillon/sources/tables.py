@@ -67,6 +67,8 @@ _RUST = _text(*map(_sql, (f"pub trait Draw~{K}~ {{", "    fn draw(&self);", "
 _CPP = _text(*map(_sql, (f"class Base~{K} % 5~ {{ }};", f"class Item~{K}~ final : public Base~{K} % 5~, private virtual ns::Mix<int, long> {{", "    void go();", "};")))
 _ASYNC = _text(*map(_sql, (f"async function load~{K}~(u) {{", "  const { a, b: c } = await (await fetch(u)).json();", "  const d = await resp.json();", f"  show(d.total, d.k~{K} % 3~);", "  const x = make(u);", "  send(x); // put(no(u))", "  put(pick(u));", "  for (const y of list(u)) { use({ it: x }); }", "}", f"const two~{K}~ = () => go('f(g())');")))
 
+_MACHINE = ("CASE WHEN p_partkey % 11 = 0 THEN 'not json' WHEN p_partkey % 13 = 0 THEN " + _sql('{"states": []}') + " ELSE " + _sql('{"name": "Combat~p_partkey~FSM", "states": [{"name": "idle", "prompt": "wait"}, {"name": "run~p_partkey % 3~"}, {"x": 1}], "events": {"go": {"transitions": [{"to": "run~p_partkey % 3~", "guard": "ok"}, {"to": 3}]}, "stop": null}, "actions": {"hit~p_partkey % 4~": {"description": "strikes"}, "miss": {}}, "guards": {"ok": {"description": ""}}}') + " END")
+
 
 VIEWS: dict[str, str] = {
     # A function per part.
@@ -137,6 +139,7 @@ VIEWS: dict[str, str] = {
     "py_files": f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 19 = 0 THEN 'pkg' || CAST(p_partkey AS STRING) || '/__init__.py' WHEN p_partkey % 13 = 0 THEN 'tests/m' || CAST(p_partkey AS STRING) || '.py' ELSE 'pkg' || CAST(p_partkey % 5 AS STRING) || '/m' || CAST(p_partkey AS STRING) || '.py' END AS file_path,
         CASE WHEN p_partkey % 17 = 0 THEN 'def x(:' ELSE {_PYTHON} END AS text FROM {{part}}""",
     "web_files": f"""SELECT p_partkey AS k, 'web/f' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.html' ELSE '.js' END AS file_path, CASE WHEN p_partkey % 3 = 0 THEN {_PAGE} ELSE {_SCRIPT} END AS text FROM {{part}}""",
+    "machine_sources": f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'data/' WHEN p_partkey % 5 = 1 THEN 'app/fsms/deep/' ELSE 'fsms/' END || 'm' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 7 = 0 THEN '.txt' ELSE '.json' END AS file_path, {_MACHINE} AS text FROM {{part}}""",
     "native_files": f"""SELECT p_partkey AS k, 'src/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.rs' WHEN 2 THEN '.cpp' ELSE '.ts' END AS file_path, CASE p_partkey % 4 WHEN 0 THEN {_GO} WHEN 1 THEN {_RUST} WHEN 2 THEN {_CPP} ELSE {_ASYNC} END AS text FROM {{part}}""",
     "json_files": f"""SELECT p_partkey AS k, 'data/f' || CAST(p_partkey AS STRING) || '.json' AS file_path, {_JSON} AS text FROM {{part}}""",
     # A question per part, each intent's phrases among them.
