@@ -3,6 +3,12 @@
 Stages take (spark, docs, sf_dir) and return rows; all but the last return the
 columns of ``documents``. What one stage returns is written as Parquet and read
 again as the next one's ``docs``.
+
+Null and empty texts have no words, so the rules reject them; nulls in other
+columns change nothing, and a null source is a host of its own. Rows that repeat
+a doc_id are documents of their own; of rows that tie as near-duplicates one
+stays. Very long texts pass whole, further columns pass as they are, and an
+empty table, of documents or of benchmark items, passes every stage.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ and the model is serialised here field by field. Sentencepiece's merging by
 highest score then is merging by lowest rank. Pre-tokens are encoded one by
 one; decoding maps pieces back to bytes.
 
-A null text is empty and has no ids. Texts are never cut. Repeated rows give
+A null text is empty and has no ids; an empty table gives no rows. Texts are
+never cut. Of merges of one rank the leftmost goes first. Repeated rows give
 repeated results. Results carry only the named columns, whatever others the
 input has.
 """

@@ -21,7 +21,9 @@ The chance that no band proposes a pair at exactly the threshold is
 
 Texts that are null, empty or without words have empty sets and link with
 nothing. Rows that repeat a doc_id are separate documents here; a null doc_id
-has no say in component ids. Extra columns don't matter.
+has no say in component ids. Of rows that tie for the smallest doc_id all are
+kept, and ``keep_documents`` keeps one. Texts of any length are taken whole. An
+empty table gives no rows. Extra columns don't matter.
 """
 
 from __future__ import annotations
