@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .shared import spread
 from .web_code import DECLARATIONS, KEYWORDS
 
 ROWS = "kind string, file_path string, name string, target string, detail string, line_number int, end_line int"
@@ -126,7 +127,7 @@ def scan_blocks(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FIELDS)
 
-    return files.select("file_path", N.language("file_path").alias("language"), "text").mapInArrow(scan, ROWS)
+    return spread(files.select("file_path", N.language("file_path").alias("language"), "text")).mapInArrow(scan, ROWS)
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:

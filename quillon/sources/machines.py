@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from .shared import spread
 
 ROWS = "kind string, file_path string, name string, target string, docstring string"
 _FIELDS = [x.split(" ")[0] for x in ROWS.split(", ")]
@@ -57,7 +58,7 @@ def parse_machines(files: DataFrame) -> DataFrame:
                 if rows := parse_machine(path, text):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=_FIELDS)
 
-    return machine_files(files).select("file_path", "text").mapInArrow(parse, ROWS)
+    return spread(machine_files(files).select("file_path", "text")).mapInArrow(parse, ROWS)
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:

@@ -99,6 +99,12 @@ def parts_for(df: DataFrame, target: int = 256 << 20) -> int:
     return max(least, -(-size // target)) if size < 1 << 50 else least  # the planner's word for a size that it doesn't know is larger
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` dealt by path over all cores: parsing costs far more than moving a text, and a small table may be one partition."""
+    spark = files.sparkSession
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "file_path")
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder through the file system that holds it."""
     jvm = spark.sparkContext._jvm
