@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, filter_audit, license_scan, lm_scoring, near_dedup, quality_model, quality_rules, secret_scan, token_files, warc
+from . import alignment, bpe, decontaminate, filter_audit, license_scan, lm_scoring, near_dedup, quality_model, quality_rules, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.query,
     "op9_secret_scan": secret_scan.query,
     "op10_token_files": token_files.query,
+    "op11_token_alignment": alignment.query,
     "op13_filter_audit": filter_audit.query,
 }
 
