@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, filter_audit, license_scan, lm_scoring, near_dedup, quality_model, quality_rules, secret_scan, token_files, warc
+from . import alignment, bpe, decontaminate, filter_audit, license_scan, lm_scoring, near_dedup, neighbours, quality_model, quality_rules, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_token_files": token_files.query,
     "op11_token_alignment": alignment.query,
+    "op12_neighbours": neighbours.query,
     "op13_filter_audit": filter_audit.query,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op5_license_scan": license_scan.SQL,
     "op9_secret_scan": secret_scan.SQL,
+    "op12_neighbours": neighbours.query,
     "op13_filter_audit": filter_audit.SQL,
 }
