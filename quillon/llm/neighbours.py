@@ -14,9 +14,9 @@
 4. Buckets that share their first floors are a cell, where queries meet the
    units of the buckets that they visit. Cells over ``CELL_UNITS`` units or
    ``CELL_QUERIES`` queries are split into a grid.
-5. The best of each cell, unless under what the sample alone gives a query,
-   are scored in double precision, component after component, and merged.
-   Queries that found fewer than asked for (buckets held
+5. The best of each cell, unless under what the sample (later, the first table
+   too) already gives a query, are scored in double precision, component after
+   component, and merged. Queries that found fewer than asked for (buckets held
    too few) meet all units, split in the same way.
 
 Vectors that are null or zero or hold a null or non-finite component take no
@@ -41,6 +41,8 @@ from .common import bound_batches, documents, scratch, written
 NEIGHBOURS = 20
 EVERY = 20
 TABLES = 8
+#: Tables visited first; the last of a query's neighbours there bounds what the others give out.
+FIRST_TABLES = 1
 #: Chance to meet a neighbour that a table's visited buckets must reach: 0.968 over all tables.
 SUCCESS = 0.35
 #: Width of a floor, where projections have deviation 1.
@@ -146,20 +148,20 @@ def distinct(rows: DataFrame, asked: Column, k: int) -> DataFrame:
     return held.join(queried, ["h1", "h2"], "left").withColumn("uid", F.monotonically_increasing_id())
 
 
-def indexed(units: DataFrame, hashes: Hashes, whole: bool) -> DataFrame:
-    """t, cell, bucket and uid of each unit in each table; with its vector and ids if ``whole``."""
+def indexed(units: DataFrame, hashes: Hashes, tables: range) -> DataFrame:
+    """t, cell, bucket, uid, embedding and ids of each unit in each of ``tables``."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = matrix(batch.column(1), hashes.dim)
-            for table in range(TABLES):
+            for table in tables:
                 cell, bucket = hashes.names(hashes.of_units(rows, table))
-                columns = [pa.array(np.full(len(rows), table, np.int32)), pa.array(cell), pa.array(bucket.astype(np.int32)), batch.column(0)]
-                yield pa.RecordBatch.from_arrays(columns + [batch.column(1), batch.column(2)] * whole, names=["t", "cell", "bucket", "uid", "embedding", "ids"][: 6 if whole else 4])
+                columns = [pa.array(np.full(len(rows), table, np.int32)), pa.array(cell), pa.array(bucket.astype(np.int32)), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "cell", "bucket", "uid", "embedding", "ids"])
 
-    return units.select("uid", "embedding", "ids").mapInArrow(index, "t int, cell long, bucket int, uid long" + ", embedding array<double>, ids array<long>" * whole)
+    return units.select("uid", "embedding", "ids").mapInArrow(index, "t int, cell long, bucket int, uid long, embedding array<double>, ids array<long>")
 
 
 def probes(units: DataFrame, hashes: Hashes, sample: tuple[np.ndarray, np.ndarray], n_units: int, k: int) -> DataFrame:
@@ -272,8 +274,12 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> Data
         sample = (drawn.column(0).to_numpy(), matrix(drawn.column(1).combine_chunks(), dim))
         hashes = Hashes(dim, n_units, largest)
         visits = written(probes(units, hashes, sample, n_units, k), "probes")
-        found = written(met(visits, indexed(units, hashes, True), dim, k), "found")
-        lists = written(merged(found, k), "lists")
+        found = written(met(visits.filter(F.col("t") < FIRST_TABLES), indexed(units, hashes, range(FIRST_TABLES)), dim, k), "first-found")
+        last = merged(found, k).filter(F.size("top") == k + 1).select("q", (-F.col("top")[k]["far"]).alias("last"))
+        known = F.col("last") - _SLACK * F.greatest(F.abs("last"), F.lit(1.0))
+        raised = visits.filter(F.col("t") >= FIRST_TABLES).join(written(last, "last"), "q", "left").withColumn("floor", F.greatest("floor", known)).drop("last")
+        further = written(met(raised, indexed(units, hashes, range(FIRST_TABLES, TABLES)), dim, k), "found")
+        lists = written(merged(found.unionByName(further), k), "lists")
         whole = min(k + 1, rows.count())
         short = written(units.filter("asked").join(lists.filter(F.size("top") >= whole), F.col("uid") == F.col("q"), "left_anti"), "short")
         if not short.isEmpty():
