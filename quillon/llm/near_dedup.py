@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import bound_batches, documents, scratch, written
+from .common import bound_batches, documents, scratch, unused, written
 from .spans import MUL_A, MUL_C, SPACE, U64, Texts, chunks_of, mix, owners, windows
 
 SHINGLE_WORDS = 4
@@ -380,14 +380,15 @@ def link_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 def keep_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """One row of each component of ``docs``, all columns as they were; of rows that tie, one."""
     found = written(link_documents(docs, size), "dedup-found")
-    stay = found.filter("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("label").alias("__component"), F.col("n_shingles").alias("__size"))
-    ties = stay.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    key, th, component, held, own, alone = unused(docs, "__id", "__th", "__component", "__size", "__hash", "__alone")
+    stay = found.filter("kept").select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("label").alias(component), F.col("n_shingles").alias(held))
+    ties = stay.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__hash", F.xxhash64("text"))
-    joined = marked.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    joined = marked.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(th)))
     if ties:
-        empty = F.when(F.col("__size") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))  # empty sets link with nothing
-        joined = joined.withColumn("__alone", empty).dropDuplicates(["__component", "__alone"])
+        empty = F.when(F.col(held) == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))  # empty sets link with nothing
+        joined = joined.withColumn(alone, empty).dropDuplicates([component, alone])
     return joined.select(*names)
 
 

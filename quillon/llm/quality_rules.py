@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, documents, written
+from .common import bound_batches, documents, unused, written
 from .spans import MUL_A, SPACE, U64, Texts, chunks_of, mix, owners, per_text, windows
 
 MIN_WORDS = 20
@@ -163,17 +163,18 @@ def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     names = [F.col(f"`{c}`") for c in docs.columns]
+    held, strict_host = unused(docs, "__measures", "__strict_host")
     seen = docs.select(F.col(f"`{host}`").alias("host"), measures.asNondeterministic()("text").alias("m"))
     # Measured once: each rule alone would evaluate the measures anew.
     seen = seen.select("host", *(v.alias(k) for k, v in _ruled(lambda c: F.col(f"m.{c}")).items()))
     verdicts = host_verdicts(seen)
-    strict = verdicts.filter("host_strict").select(F.col("host").alias("__strict_host"))
+    strict = verdicts.filter("host_strict").select(F.col("host").alias(strict_host))
     # Not deterministic for the planner: else filters would be pushed down with a second evaluation each.
-    rows = docs.withColumn("__measures", measures.asNondeterministic()("text"))
-    rules = _ruled(lambda c: F.col(f"__measures.{c}"))
+    rows = docs.withColumn(held, measures.asNondeterministic()("text"))
+    rules = _ruled(lambda c: F.col(f"{held}.{c}"))
     passed = rows.filter(~rules["base_failed"])
-    joined = passed.join(strict, F.col(f"`{host}`").eqNullSafe(F.col("__strict_host")), "left")
-    known = F.coalesce(F.col("__strict_host").isNotNull(), F.lit(False))
+    joined = passed.join(strict, F.col(f"`{host}`").eqNullSafe(F.col(strict_host)), "left")
+    known = F.coalesce(F.col(strict_host).isNotNull(), F.lit(False))
     if verdicts.filter("host_strict AND host IS NULL").limit(1).count():
         known = known | F.col(f"`{host}`").isNull()
     return joined.filter(~(known & rules["strict_failed"])).select(*names)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, unused
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -124,13 +124,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns __base and __all, arrays of (start, kind, stop, and both in bytes) in order of start and kind."""
+def scan(docs: DataFrame, first: str = "__base", every: str = "__all") -> DataFrame:
+    """``docs`` with columns ``first`` (base spans) and ``every`` (all), arrays of (start, kind, stop, and both in bytes) in order of start and kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = _spans(_places(text, ASSIGN), 0, lambda p: F.length(F.regexp_extract(p["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(assign, _spans(_places(text, ACCESS), 1), _spans(_places(text, HEX), 2))
-    found = docs.withColumn("__base", F.sort_array(base)).withColumn("__more", _spans(_places(text, CANDIDATE), 3, _suspect))
-    return found.withColumn("__all", F.sort_array(F.concat("__base", "__more"))).drop("__more")
+    (more,) = unused(docs, "__more")
+    found = docs.withColumn(first, F.sort_array(base)).withColumn(more, _spans(_places(text, CANDIDATE), 3, _suspect))
+    return found.withColumn(every, F.sort_array(F.concat(first, more))).drop(more)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -156,12 +157,13 @@ def redact_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         tail = F.substring(body, last + 1, F.octet_length(body) - last).cast("string")
         return F.array_join(F.concat(F.zip_with(spans, covered, piece), F.array(tail)), "")
 
-    rows = scan(docs)
+    first, every = unused(docs, "__base", "__all")
+    rows = scan(docs, first, every)
     # Bytes are cut at an offset; characters would be counted from the text's beginning for every span.
-    cut = _let(F.col("text").cast("binary"), lambda body: _let(F.col("__all"), lambda spans: redacted(body, spans)))
-    rows = rows.withColumn("text", F.when(F.size("__all") > 0, cut).otherwise(F.col("text")))
+    cut = _let(F.col("text").cast("binary"), lambda body: _let(F.col(every), lambda spans: redacted(body, spans)))
+    rows = rows.withColumn("text", F.when(F.size(every) > 0, cut).otherwise(F.col("text")))
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*(F.col(f"`{c}`") for c in names))
 
 
