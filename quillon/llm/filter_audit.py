@@ -141,7 +141,8 @@ def removals(counted: DataFrame) -> DataFrame:
             columns += [pa.array(c.astype(np.int64).ravel()) for c in counts]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "filter_order", "step", *COUNTS])
 
-    partial = counted.mapInArrow(look_up, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS))
+    # A part has 128 rows at most; in one task they give one set of arrays.
+    partial = counted.repartition("part").mapInArrow(look_up, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS))
     return partial.groupBy("part", "filter_order", "step").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
