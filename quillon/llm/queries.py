@@ -25,6 +25,5 @@ ORACLES = {
     "op4_quality_rules": quality_rules.SQL,
     "op5_license_scan": license_scan.SQL,
     "op9_secret_scan": secret_scan.SQL,
-    "op12_neighbours": neighbours.query,
     "op13_filter_audit": filter_audit.SQL,
 }
