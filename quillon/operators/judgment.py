@@ -52,13 +52,56 @@ def is_lifecycle(name: Column, path: Column) -> Column:
     return F.when(ending == "py", name.isin(*MAGIC)).when(ending.isin("js", "ts", "jsx", "tsx"), name == "constructor").otherwise(N.is_dunder(name) & (F.length(name) > 4))
 
 
+#: Lengths of the pieces that a substring join indexes; a part is found by its rarest piece of the largest length that fits in it.
+PIECES = (1, 2, 3, 6, 12)
+#: Characters of a stretch of text whose pieces are cut together, so that cutting takes time linear in a text.
+STRETCH = 256
+
+
+def _cut(low: Column, width: Column) -> Column:
+    """All pieces of ``width`` characters, as hashes; the whole where it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(low, i, width)))
+
+
+def part_pieces(parts: DataFrame) -> DataFrame:
+    """(part, piece) of distinct lower-case parts: every piece of the one length that a part is found by."""
+    low = parts.filter("part <> ''").select(F.lower("part").alias("part")).distinct()
+    width = F.lit(PIECES[0])
+    for k in PIECES[1:]:
+        width = F.when(F.length("part") >= k, k).otherwise(width)
+    return low.withColumn("width", width).select("part", F.explode(F.array_distinct(_cut(F.col("part"), F.col("width")))).alias("piece"))
+
+
+def text_pieces(texts: DataFrame) -> DataFrame:
+    """(text_hash, piece) of texts, of all lengths in ``PIECES``; stretches overlap by the longest piece."""
+    low = texts.filter("text <> ''").select(F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low"))
+    starts = F.sequence(F.lit(0), F.floor((F.length("low") - 1) / STRETCH).cast("int"))
+    low = low.select("text_hash", F.explode(F.transform(starts, lambda k: F.substring(F.col("low"), k * STRETCH + 1, F.lit(STRETCH + PIECES[-1] - 1)))).alias("low"))
+    return low.select("text_hash", F.explode(F.array_distinct(F.concat(*(_cut(F.col("low"), F.lit(k)) for k in PIECES)))).alias("piece"))
+
+
+def containment_candidates(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(part, text_hash) of lower-case parts and the texts that hold a part's rarest piece.
+
+    A piece's rarity is counted over all texts; a part with a piece that no
+    text holds is in none. Whatever beginnings parts share, each meets only
+    the texts that share the least common stretch of it.
+    """
+    cut = part_pieces(parts)
+    held = text_pieces(texts)
+    common = held.join(cut.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = cut.join(common, "piece", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
+    rarest = rarest.filter("least.n > 0").select("part", F.col("least.piece").alias("piece"))
+    return held.join(rarest, "piece").select("part", "text_hash").distinct()
+
+
 def contained(parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(part, text) where a text holds a part, letter case aside; joined on the part's first three characters, so only texts that share these are compared."""
-    low = F.lower("text")
-    starts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - k + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(k)))
-    keyed = texts.filter("text <> ''").select("text", F.explode(F.array_distinct(F.concat(starts(1), starts(2), starts(3)))).alias("k"))
-    wanted = parts.filter("part <> ''").distinct().select("part", F.lower(F.substring("part", 1, 3)).alias("k"))
-    return keyed.join(wanted, "k").filter(low.contains(F.lower("part"))).select("part", "text").distinct()
+    """(part, text) where a text holds a part, letter case aside; null and empty ones are in none, and equal rows count once."""
+    spelt = parts.filter("part <> ''").select("part").distinct()
+    written_out = texts.filter("text <> ''").select("text").distinct()
+    near = containment_candidates(spelt, written_out).withColumnRenamed("part", "low")
+    near = near.join(written_out.withColumn("text_hash", F.xxhash64("text")), "text_hash").filter(F.lower("text").contains(F.col("low")))
+    return near.join(spelt.withColumn("low", F.lower("part")), "low").select("part", "text")
 
 
 def signals(functions: DataFrame, edges: DataFrame, classes: DataFrame, artifacts: DataFrame, known: DataFrame | None = None) -> DataFrame:
