@@ -97,6 +97,10 @@ VIEWS: dict[str, str] = {
         CAST(a.l_linenumber AS INT) AS line_number, {_path('a.l_partkey')} AS caller_file, a.l_linestatus = 'F' AS resolved,
         CASE WHEN a.l_returnflag = 'R' THEN 'dynamic' WHEN a.l_returnflag = 'A' THEN 'static' WHEN a.l_shipdate < TIMESTAMP '1996-01-01 00:00:00' THEN 'function_reference' ELSE 'data_flow' END AS edge_type
         FROM {{lineitem}} a JOIN {{lineitem}} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1) e""",
+    # The same, and calls of functions that nobody wrote, of built-in ones and of the caller itself.
+    "plan_edges": f"""SELECT * FROM {{edges}} UNION ALL SELECT caller, callee, line_number, caller_file, resolved, edge_type, caller, callee FROM (
+        SELECT {_name('l_partkey')} AS caller, CASE WHEN l_suppkey % 4 = 0 THEN 'print' WHEN l_suppkey % 4 = 1 THEN {_name('l_partkey')} ELSE 'missing_helper' || CAST(l_suppkey % 40 AS STRING) END AS callee,
+        CAST(l_linenumber AS INT) AS line_number, {_path('l_partkey')} AS caller_file, l_suppkey % 4 = 1 AS resolved, 'static' AS edge_type FROM {{lineitem}} WHERE l_quantity = 7) e""",
     "trade_edges": """SELECT 'c' || CAST(o_custkey AS STRING) AS caller, 's' || CAST(l_suppkey AS STRING) AS callee, CAST(l_linenumber AS INT) AS line_number, o_orderpriority AS caller_file,
         l_linestatus = 'F' AS resolved, l_returnflag AS edge_type FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""",
     "fk_edges": """SELECT 'r' || CAST(n_regionkey AS STRING) AS caller, 'n' || CAST(n_nationkey AS STRING) AS callee FROM {nation}
