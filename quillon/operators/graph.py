@@ -108,15 +108,20 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, include_
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(caller, callee) of every pair joined by a path of one edge or more; a node pairs with itself on a cycle. Paths double each round."""
-    seen = written(pairs(edges), "closure")
-    count = seen.count()
+    """(caller, callee) of every pair joined by a path of one edge or more; a node pairs with itself on a cycle.
+
+    Paths double each round. Of two halves one at least is new since the round
+    before, so pairs that are long known aren't joined with each other again.
+    """
+    old, new = None, written(pairs(edges), "closure")
     while True:
-        ahead = seen.select("caller", F.col("callee").alias("mid")).join(seen.select(F.col("caller").alias("mid"), "callee"), "mid").select("caller", "callee")
-        seen = written(seen.unionByName(ahead).distinct(), "closure")
-        before, count = count, seen.count()
-        if count == before:
+        seen = new if old is None else old.unionByName(new)
+        joined = lambda a, b: a.select("caller", F.col("callee").alias("mid")).join(b.select(F.col("caller").alias("mid"), "callee"), "mid").select("caller", "callee")
+        ahead = joined(new, seen) if old is None else joined(new, seen).unionByName(joined(old, new))
+        fresh = written(ahead.distinct().join(seen, ["caller", "callee"], "left_anti"), "closure")
+        if fresh.isEmpty():
             return seen
+        old, new = seen, fresh
 
 
 def _trimmed(core: DataFrame, ends: str) -> tuple[DataFrame, int]:
