@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import blocks, machines, python_code, structured, web_code
+from ..sources.shared import written
 from .registry import query
 
 
 def parsed(c, name: str):
-    return python_code.tables(python_code.parse_files(c.py_files))[name]
+    return python_code.tables(python_code.parse_files(c.py_files, python_code.KINDS[name]))[name]
 
 
 _OK = "{py_files} WHERE k % 17 <> 0"
@@ -149,7 +150,8 @@ _ROUTED = f"SELECT {_STR} AS id, 'get_' || {_STR} AS handler FROM {_OK}"
 @query(f"""WITH r AS ({_ROUTED}), least AS (SELECT min(handler) AS handler FROM r) SELECT DISTINCT caller_file, callee, 'http_fetch' AS edge_type FROM (SELECT file_path AS caller_file, handler AS callee FROM {{web_files}} w JOIN r ON r.id = CAST(w.k AS VARCHAR) UNION ALL SELECT file_path, handler FROM {_HTML.replace('WHERE', ', least WHERE')})""")
 def cross_language_edges(c):
     """Requests of scripts and pages to the handlers of their urls."""
-    return web_code.cross_language_edges(c.web_files, parsed(c, "routes"), parsed(c, "events"))
+    found = python_code.tables(written(python_code.parse_files(c.py_files, ("decorator",)), "decorators"))  # one parse for both tables
+    return web_code.cross_language_edges(c.web_files, found["routes"], found["events"])
 
 
 @query("""SELECT doc_id, arrows, rows, bullets, lines, CASE WHEN arrows * 5 >= lines THEN 'flow' WHEN rows * 3 >= lines THEN 'table' WHEN bullets * 3 >= lines THEN 'outline' ELSE 'prose' END AS shape FROM (

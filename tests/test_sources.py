@@ -142,3 +142,16 @@ def test_scratch_tables_are_removed(spark):
         assert not os.path.exists(place(three)) and four.count() == 4
     assert two.count() == 2 and not os.path.exists(place(one)) and not os.path.exists(place(four))
     assert os.path.exists(place(table(5)))
+
+
+def test_rows_of_some_kinds_are_those_of_all(spark):
+    """Kinds asked for alone are the rows that a whole parse has of them, and no others; files share batches."""
+    texts = {"a.py": CODE, "b.py": "def x(:\n", "c.py": "class A:\n    def __init__(self):\n        self.n, self.m = Store(), 0\n    def go(self):\n        global k\n        if self.n and k:\n            raise NotImplementedError\n        self.n = op.join(f(k))\n        return {'k': 1}\n"}
+    every = [r for p, t in texts.items() for r in python_code.rows_of(p, t)]
+    assert {r[0] for r in every} >= {"layout", "conditional", "response", "attribute", "chain", "mutation", "flow", "error"}
+    for kinds in python_code.KINDS.values():
+        some = [r for p, t in texts.items() for r in python_code.rows_of(p, t, frozenset(kinds))]
+        assert sorted(map(repr, some)) == sorted(repr(r) for r in every if r[0] in kinds)
+    files = spark.createDataFrame([(f"f{k}.py", "import os\nos.path.join(a)\n") for k in range(300)], "file_path string, text string")
+    batches = python_code.parse_files(files, ("import",)).mapInArrow(lambda rows: (b.select(["number"]).slice(0, 1) for b in rows), "number int")
+    assert python_code.parse_files(files, ("import",)).count() == 300 and batches.count() <= 16
