@@ -225,3 +225,13 @@ def test_rendering(spark):
     assert render.to_text_tree(e, "a").splitlines()[0] == "a"
     assert '"a" -> "b";' in render.to_dot(e)
     assert G.bfs_callees(e, "a", 2, 2).count() == 2
+
+
+def test_exploded_rows_do_not_pass_the_driver(spark):
+    """Sentences and terms grow with the documents, which the planner can't see: no join of them broadcasts a side, and a table of one partition is spread."""
+    docs = spark.createDataFrame([("docs/a.md", "# Store\nThe store must keep all orders\nCallers must not touch orders of the store", 1), ("docs/b.md", "# Store\nCallers must always touch orders of the store\nPlain prose about the store", 2)], "file_path string, text string, doc_id long").coalesce(1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = D.conflicts(D.extract_rules(D.catalogue(docs)))
+    assert "Broadcast" not in plan(found) and "Broadcast" not in plan(X.induced(docs))
+    assert {r["confidence"] for r in found.collect()} == {"conflicted"}
+    assert "Exchange hashpartitioning(file_path" in plan(D.catalogue(docs))
