@@ -25,28 +25,68 @@ def unit(df: DataFrame, column: str = "embedding", name: str = "unit") -> DataFr
     return df.filter(n > 0).withColumn(name, F.transform(column, lambda x: x.cast("double") / n))
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.0, block: int = 64) -> DataFrame:
+#: Rows of one side of a product, and how far a product may be from a cosine rounded to six places: half of the last place, twice for two of them, and as much for rounding errors.
+QUERY_BLOCK, VECTOR_BLOCK, SLACK = 2048, 16384, 2e-6
+
+
+def _rows(table: pa.Table, column: str, size: int) -> np.ndarray:
+    out = np.zeros((table.num_rows, size))
+    for k, r in enumerate(table.column(column).to_pylist()):
+        out[k, : len(r)] = [0.0 if x is None else x for x in r]
+    return out
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = -1.0, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, cosine): the k nearest of ``vectors(vec_id, embedding)`` for each of ``queries(query_id, embedding)``.
 
-    The queries are a stated set and are taken in blocks: each block is one row
-    that meets every vector, and a vector keeps only what reaches ``least``.
-    Within a task the window's group limit keeps each query's best k before
-    rows are dealt, so a query costs k rows a task, not one for each vector.
+    The queries are a stated set and all of them meet all vectors: blocks of
+    both are dealt by pair and a task multiplies two of them at a time. A pair
+    of blocks gives out, for a query, what may be among its best k, which is
+    a little more than k rows; the cosines of the best of all are then taken
+    from the vectors themselves.
     """
     from pyspark.sql import Window
 
-    blocks = max(1, -(-queries.count() // block))
-    q = unit(queries.select("query_id", "embedding"), name="q").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    v = unit(vectors.select("vec_id", "embedding")).select("vec_id", "unit")
-    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    out = None
-    for b in range(blocks):
-        held = q.filter(F.col("b") == b).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))  # at most a few blocks' worth of queries
-        rows = v.crossJoin(F.broadcast(held)).select("vec_id", "unit", F.explode("qs").alias("one"))
-        rows = rows.select(F.col("one.query_id").alias("query_id"), "vec_id", F.round(dot(F.col("unit"), F.col("one.q")), 6).alias("cosine")).filter((F.col("cosine") >= least) & (F.col("query_id") != F.col("vec_id")))
-        top = rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("query_id", "vec_id", "cosine")
-        out = top if out is None else out.unionByName(top)
-    return out
+    q = written(unit(queries.select("query_id", "embedding").filter("query_id IS NOT NULL"), name="q").select("query_id", "q"), "query-units")
+    v = written(unit(vectors.select("vec_id", "embedding").filter("vec_id IS NOT NULL")).select("vec_id", "unit"), "vector-units")
+    nq, nv = (max(1, -(-df.count() // n)) for df, n in ((q, block), (v, VECTOR_BLOCK)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = q.select("query_id", "q", part("query_id", nq).alias("i"), each(nv).alias("j"))
+    held = v.select("vec_id", "unit", each(nq).alias("i"), part("vec_id", nv).alias("j"))
+    kinds = ((q, "query_id"), (v, "vec_id"))
+    schema = T.StructType([df.schema[c] for df, c in kinds] + [T.StructField("near", T.DoubleType())])
+
+    def best_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, names = left.column("query_id"), right.column("vec_id")
+        rows, columns, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            size = max(len(r) for t, c in ((left, "q"), (right, "unit")) for r in t.column(c).to_pylist())
+            a, b = _rows(left, "q", size), _rows(right, "unit", size).T
+            places: dict = {}
+            for c, name in enumerate(names.to_pylist()):
+                places.setdefault(name, []).append(c)
+            asked_ids = ids.to_pylist()
+            for x in range(0, len(a), 128):
+                products = a[x : x + 128] @ b
+                products[np.isnan(products)] = np.inf  # not a number is more than any number, as in the order of rows
+                for r, name in enumerate(asked_ids[x : x + 128]):
+                    products[r, places.get(name, [])] = -np.inf
+                bar = np.partition(products, -k, axis=1)[:, -k] if products.shape[1] > k else np.full(len(products), -np.inf)
+                r, c = np.nonzero(products >= np.maximum(bar, least)[:, None] - SLACK)
+                real = products[r, c] > -np.inf
+                rows.append(r[real] + x)
+                columns.append(c[real])
+                near.append(products[r, c][real])
+        taken = ids.take(pa.array(np.concatenate(rows))), names.take(pa.array(np.concatenate(columns)))
+        return pa.table({"query_id": taken[0], "vec_id": taken[1], "near": np.concatenate(near)})
+
+    near = asked.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInArrow(best_of, schema)
+    of_query = Window.partitionBy("query_id")
+    near = near.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("near"))))
+    near = near.withColumn("bar", F.min(F.when(F.col("place") <= k, F.col("near"))).over(of_query)).filter(F.col("near") >= F.col("bar") - SLACK).select("query_id", "vec_id")
+    found = near.distinct().join(q, "query_id").join(v, "vec_id").select("query_id", "vec_id", F.round(dot(F.col("unit"), F.col("q")), 6).alias("cosine")).filter((F.col("cosine") >= least) & (F.col("query_id") != F.col("vec_id")))
+    return found.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("cosine"), "vec_id"))).filter(F.col("place") <= k).select("query_id", "vec_id", "cosine")
 
 
 #: Chance to miss a pair at the threshold.

@@ -235,3 +235,21 @@ def test_exploded_rows_do_not_pass_the_driver(spark):
     assert "Broadcast" not in plan(found) and "Broadcast" not in plan(X.induced(docs))
     assert {r["confidence"] for r in found.collect()} == {"conflicted"}
     assert "Exchange hashpartitioning(file_path" in plan(D.catalogue(docs))
+
+
+def test_search_multiplies_blocks(spark):
+    """Blocks of queries and vectors meet in products, none through the driver; ties, copies, own ids and odd vectors as in a full search."""
+    rng = random.Random(5)
+    rows = [(k, [rng.choice((-1.0, 0.5, 2.0)) for _ in range(6)]) for k in range(300)] + [(300, None), (301, []), (302, [0.0] * 6), (303, [None, 1.0, None, 1.0, 0.0, 2.0]), (304, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    got = V.cosine_top_k(df, asked, 4, 0.2, block=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "FlatMapCoGroups" in plan
+    pad = {k: [x or 0.0 for x in v] + [0.0] * (6 - len(v)) for k, v in rows if v}
+    units = {k: [x / n for x in v] for k, v in pad.items() if (n := sum(x * x for x in v) ** 0.5) > 0}
+    want = set()
+    for a in (k for k in units if k % 3 == 0):
+        found = sorted((-round(sum(x * y for x, y in zip(units[a], units[b], strict=True)), 6), b) for b in units if b != a)
+        want |= {(a, b, -c) for c, b in found[:4] if -c >= 0.2}
+    assert {(r["query_id"], r["vec_id"], r["cosine"]) for r in got.collect()} == want
