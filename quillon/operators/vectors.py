@@ -89,47 +89,56 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, least: floa
     return found.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("cosine"), "vec_id"))).filter(F.col("place") <= k).select("query_id", "vec_id", "cosine")
 
 
-#: Chance to miss a pair at the threshold.
-MISS = 1e-5
-
-
-def plane_tables(n: int, threshold: float) -> tuple[int, int]:
-    """(tables, bits) for n vectors: keys of so many bits that unlike vectors share one by chance a few times each, and so many tables that a pair at the threshold is missed with chance ``MISS``."""
-    bits = int(min(24, max(8, np.ceil(np.log2(max(n, 2))) - 4)))
-    same = (1 - np.arccos(min(max(threshold, -1.0), 1.0)) / np.pi) ** bits
-    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-min(same, 1 - 1e-12))))), bits
-
+def _floats(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    lists = column.combine_chunks()
+    lengths, values = lists.value_lengths().to_numpy(), lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), size), np.float32)
+    rows = np.repeat(np.arange(len(lists)), lengths)
+    out[rows, np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
+    return out
 
-def plane_keys(column: str, tables: int, bits: int) -> Column:
-    """A key for each table: the signs of a vector's products with fixed random directions."""
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def keys(vectors: pa.Array) -> pa.Array:
-        rows = vectors.to_pylist()
-        size = max((len(r) for r in rows), default=0)
-        x = np.zeros((len(rows), size))
-        for k, r in enumerate(rows):
-            x[k, : len(r)] = [v or 0.0 for v in r]
-        planes = np.random.default_rng(3).standard_normal((size, tables * bits))  # a row for each dimension, the first ones the same however many there are
-        signs = (x @ planes > 0).reshape(len(rows), tables, bits)
-        packed = (signs.astype(np.int64) << np.arange(bits)).sum(2) + (np.arange(tables, dtype=np.int64) << bits)
-        return pa.array(packed.tolist(), pa.list_(pa.int64()))
+def near_pairs(units: DataFrame, threshold: float, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(a, b), a < b, of ``units(rep, unit)`` whose product may reach ``threshold``: none that does is missing, and those that fall short do so by a rounding error.
 
-    return keys(column)
+    All vectors meet: blocks are dealt by pair and a task multiplies two of
+    them in single precision, a strip at a time. A vector is copied once for
+    each block.
+    """
+    k = max(1, -(-units.count() // block))
+    small = units.filter("rep IS NOT NULL").select("rep", F.col("unit").cast("array<float>").alias("v"), F.pmod(F.xxhash64("rep"), F.lit(k)).cast("int").alias("part"))
+    left = small.select(F.col("rep").alias("a"), "v", F.col("part").alias("i"), F.explode(F.sequence("part", F.lit(k - 1))).alias("j"))
+    right = small.select(F.col("rep").alias("b"), "v", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    kind = units.schema["rep"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("own", T.BooleanType())])
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own = False
+        if one.num_rows and two.num_rows:
+            own = one.column("i")[0].as_py() == one.column("j")[0].as_py()
+            size = max(int(t.column("v").combine_chunks().value_lengths().to_numpy().max()) for t in (one, two))
+            x, y = _floats(one.column("v"), size), _floats(two.column("v"), size).T
+            bar = np.float32(threshold - (size + 4) * 1.2e-7 - SLACK)
+            for at in range(0, len(x), 256):
+                r, c = np.nonzero(~(x[at : at + 256] @ y < bar))  # not a number is more than any number, as in the order of rows
+                rows.append(r + at)
+                columns.append(c)
+        r, c = np.concatenate(rows), np.concatenate(columns)
+        return pa.table({"a": one.column("a").take(pa.array(r)), "b": two.column("b").take(pa.array(c)), "own": np.full(len(r), own)})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+    return found.filter("NOT own OR a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b, cosine) of pairs of ``vectors(vec_id, embedding)`` with cosine at least ``threshold``.
+    """(a, b, cosine) of all pairs of ``vectors(vec_id, embedding)`` with cosine at least ``threshold``.
 
-    Candidates share a table's key; keys lengthen with the number of vectors,
-    so chance partners stay few, and tables with the keys. Only ids are dealt;
-    equal vectors are one until the end, when their pairs are put in.
+    Equal vectors are one until the end, when their pairs are put in.
     """
     v = written(unit(vectors.select("vec_id", "embedding")).select("vec_id", "unit", F.xxhash64("unit").alias("h")), "unit-vectors")
     groups = written(v.groupBy("h", "unit").agg(F.min("vec_id").alias("rep")), "vector-groups")
-    tables, bits = plane_tables(groups.count(), threshold)
-    keyed = groups.select("rep", F.explode(plane_keys("unit", tables, bits)).alias("key"))
-    near = keyed.select(F.col("rep").alias("a"), "key").join(keyed.select(F.col("rep").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+    near = written(near_pairs(groups.select("rep", "unit"), threshold), "near-pairs")
     both = near.join(groups.select(F.col("rep").alias("a"), F.col("unit").alias("ua")), "a").join(groups.select(F.col("rep").alias("b"), F.col("unit").alias("ub")), "b")
     found = both.select("a", "b", F.round(dot(F.col("ua"), F.col("ub")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
     own = groups.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.round(dot(F.col("unit"), F.col("unit")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)

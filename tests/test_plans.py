@@ -178,6 +178,20 @@ def test_vectors(spark):
     assert {(r["query_id"], r["vec_id"]) for r in near} == {(k, 100 + k) for k in range(3)}
 
 
+def test_near_pairs_meet_in_blocks(spark):
+    """Every near pair is found in any blocks, few others are given out, and no pair is made of keys."""
+    rng = random.Random(2)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(k, v) for k, v in enumerate(base)] + [(100 + k, [x + rng.gauss(0, 0.3) for x in v]) for k, v in enumerate(base)] + [(200 + k, base[k][:]) for k in range(5)]
+    df = V.unit(spark.createDataFrame(rows, "rep long, embedding array<double>"))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and cos(x, y) >= 0.85}
+    for block in (1000, 20, 7):
+        got = [(r["a"], r["b"]) for r in V.near_pairs(df.select("rep", "unit"), 0.85, block).collect()]
+        assert len(got) == len(set(got)) and want == set(got)
+    assert V.near_pairs(df.select("rep", "unit").limit(0), 0.85).count() == 0
+
+
 def test_sentence_passes(spark):
     """The four passes on one text, and a text without rules."""
     text = "# Title must go\n- The store must never read a record\n- The cache must never read a record\nThe store will hold and validate every record\nIt rains in spring and in autumn\nshort\nThe cache may keep no record of anything"
