@@ -146,3 +146,28 @@ def test_names(spark):
         N.is_noise("a").alias("noise"), N.normalize_symbol("b").alias("bare"), N.normalize_url("u").alias("url"), N.snake_case("c").alias("snake"), N.concept_base("c").alias("base"),
         N.url_matches(F.lit("/api/7"), F.lit("/api/*")).alias("m"), N.url_matches(F.lit("/api/7/x"), F.lit("/api/*")).alias("n")).first()
     assert tuple(one) == (True, "c", "/api/*", "order_line_store", "OrderLine", True, False)
+
+
+def test_co_occurring_pairs_are_counted_in_tasks(spark, monkeypatch):
+    """Counts equal all pairs by brute force, in several blocks, and no join pairs a caller's callees."""
+    rng = random.Random(5)
+    calls = [(f"c{rng.randrange(40)}", f"s{min(rng.randrange(60), rng.randrange(60))}") for _ in range(900)] + [("c1", None), (None, "s1"), ("c90", "s1"), ("c91", "s2")]
+    edges = spark.createDataFrame(calls, "caller string, callee string")
+    of = {}
+    for a, b in calls:
+        if a and b:
+            of.setdefault(a, set()).add(b)
+    monkeypatch.setattr(G, "PAIRS_AT_ONCE", 500)
+    for least in (1, 3):
+        count = {}
+        for used in of.values():
+            for a in used:
+                for b in used:
+                    if a < b:
+                        count[a, b] = count.get((a, b), 0) + 1
+        got = G.co_occurring_callees(edges, least)
+        rows = [(r["callee_a"], r["callee_b"], r["callers"]) for r in got.collect()]
+        assert sorted(rows) == sorted((a, b, n) for (a, b), n in count.items() if n >= least) and rows
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and not any("Join" in line and "caller" in line for line in plan.splitlines())
+    assert G.co_occurring_callees(edges.limit(0)).count() == 0
