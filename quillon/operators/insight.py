@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.shared import written
 from . import graph as G
 from .judgment import READINGS, classify_stubs, contained
 from .stubs import by_name, chain_positions, concept_ghosts, convention_members, known_calls
@@ -148,6 +149,7 @@ def work_primer(functions: DataFrame, edges: DataFrame, classes: DataFrame, arti
     handler = F.col("name").contains("::action::") | F.col("name").contains("::guard::")
     machines = code.filter(F.col("is_stub") & handler).groupBy(F.substring_index("name", "::", 1).alias("name")).agg(F.count(F.lit(1)).alias("handlers"))
     machines = machines.select(F.lit("FSM-SPEC").alias("badge"), "name", F.lit(0).cast("long").alias("callers"), F.lit(0.0).alias("composite"), "handlers", F.lit(0).alias("rank"))
+    edges = written(edges.select("caller", "callee").distinct(), "judged-edges")  # read by both of the next, which count distinct ends
     known = known_calls(functions, edges)
     judged = classify_stubs(functions, edges, classes, artifacts, known).filter(~F.lower("file_path").rlike("test.|.test") & ~handler).filter(F.col("reading") != READINGS[0])
     bodies = functions.filter("is_stub").groupBy("name", "file_path").agg(F.min("body_shape").alias("body"), F.size(N.concepts(F.max(F.trim(F.coalesce("docstring", F.lit("")))))).alias("concepts"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.shared import written
 from . import graph as G
 from .stubs import caller_counts, chain_positions, convention_members, known_calls
 
@@ -187,6 +188,7 @@ def rank_stubs(functions: DataFrame, edges: DataFrame, classes: DataFrame, artif
     """
     if mode not in ("priority", "gap", "perusal"):
         raise ValueError(f"no mode {mode}")
+    edges = written(edges.select("caller", "callee").distinct(), "judged-edges")  # read by both of the next, which count distinct ends
     known = known_calls(functions, edges)
     rows = classify_stubs(functions, edges, classes, artifacts, known).filter(~F.lower("file_path").rlike("test.|.test"))
     odd = convention_members(functions, edges, False).filter("is_stub AND diverges <> ''").select("name").distinct().withColumn("odd", F.lit(3))

@@ -42,3 +42,12 @@ def test_rows_equal_sql(spark, name):
     rows = sorted(repr([plain(r[c]) for c in order]) for r in df.collect())
     at = [want.columns.index(c) for c in order]
     assert rows == sorted(repr([plain(r[k]) for k in at]) for r in want.fetchall())
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ("stub_gap_survey", "work_session_primer"))
+def test_surveys_of_stubs_read_calls_once(spark, name):
+    """Calls are a table that was written, not joined from lines again, and the rows equal the SQL."""
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+    test_rows_equal_sql(spark, name)
