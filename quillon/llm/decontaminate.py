@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages, weighted by TF-IDF with document
-frequencies of the whole corpus. They and a bounded sample of corpus windows
-are reduced by a randomised SVD whose passes run over the passages' partitions,
-so words that the corpus uses together fall together. Documents are searched in
+frequencies of the whole corpus. They and all windows of the corpus are reduced
+by a randomised SVD, so words that the corpus uses together fall together. The
+windows are read once: their rows' products are added by pair of words, and the
+SVD's passes run over those sums and the passages. Documents are searched in
 the latent space: each window of words whose cosine with a passage's latent
 image is high enough is a candidate. A candidate counts if the longest common subsequence of the
 item's words and the document's words around the window covers most of the
@@ -51,8 +52,10 @@ from .spans import ALNUM, MUL_A, U64, HashTable, Texts, chunks_of, owners
 CELLS_BITS = 18
 WINDOW, STRIDE = 32, 16
 ITEMS_PER_BLOCK = 192
-#: Dimensions of a block's latent space, and corpus windows that it is fitted to beside the block's own passages.
-MAX_RANK, SAMPLE_PASSAGES = 160, 4096
+#: Dimensions of a block's latent space, and what all windows of the corpus weigh beside the block's own passages, one each, if they are more.
+MAX_RANK, CORPUS_WEIGHT = 160, 4096
+#: Sums that a task holds at once, of 8 bytes; a block with more is taken by ranges of words, in more readings.
+SUMS_HELD = 1 << 24
 OVERSAMPLE = 16
 LEAST_COSINE = 0.35
 #: Shares of an item's words that the common subsequence must hold: alone, and with the answer's words.
@@ -71,8 +74,8 @@ def cell(h: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by cell of a task's texts; the last row counts all documents."""
-    total, count = np.zeros(1 << CELLS_BITS, np.int64), 0
+    """Documents by cell of a task's texts; the last rows count all documents and all windows."""
+    total, count, cut = np.zeros(1 << CELLS_BITS, np.int64), 0, 0
     for batch in batches:
         for a, b in chunks_of(batch.column(0)):
             h, bounds = _words(batch.column(0).slice(a, b - a))
@@ -80,19 +83,20 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
             total += np.bincount(seen & ((1 << CELLS_BITS) - 1), minlength=1 << CELLS_BITS)
             count += b - a
+            cut += len(windows(bounds)[0])
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], count))], names=["cell", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(total[at], [count, cut]))], names=["cell", "df"])
 
 
 def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """ln((N + 1) / (df + 1)) by cell, over all documents, and N; 2^18 cells however many there are."""
+    """ln((N + 1) / (df + 1)) by cell, over all N documents, and the number of their windows; 2^18 cells however many there are."""
     parts = docs.select("text").mapInArrow(_frequencies, "cell int, df long")
     got = parts.groupBy("cell").agg(F.sum("df").alias("df")).toPandas()
     df = np.zeros(1 << CELLS_BITS)
     at = got["cell"].to_numpy()
     df[at[at >= 0]] = got["df"].to_numpy()[at >= 0]
-    n = int(got["df"].to_numpy()[at < 0].sum())
-    return np.maximum(np.log((n + 1) / (df + 1)), 0).astype(np.float32), n
+    n, cut = (int(got["df"].to_numpy()[at == x].sum()) for x in (-1, -2))
+    return np.maximum(np.log((n + 1) / (df + 1)), 0).astype(np.float32), cut
 
 
 def cuts(n: int) -> list[tuple[int, int]]:
@@ -101,6 +105,16 @@ def cuts(n: int) -> list[tuple[int, int]]:
     return [(s, min(n, s + WINDOW)) for s in [*range(0, last, STRIDE), last]] if n else []
 
 
+def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of all ``cuts`` of texts, in order."""
+    sizes = np.diff(bounds)
+    count = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STRIDE)) + 1, 0)
+    own = np.repeat(np.arange(len(sizes)), count)
+    step = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    begin = bounds[own] + np.minimum(step * STRIDE, np.maximum(0, sizes[own] - WINDOW))
+    return own, begin, np.minimum(begin + WINDOW, bounds[own + 1])
+
+
 def _matrix(rows: list, idf: np.ndarray, columns: HashTable, width: int) -> np.ndarray:
     """TF-IDF of passages, each divided by its norm over all its words, in the columns of one vocabulary."""
     out, norms = np.zeros((len(rows), width)), np.zeros(len(rows))
@@ -125,59 +139,187 @@ def _save(uri: str, **arrays: np.ndarray) -> str:
     return uri
 
 
-def corpus_passages(docs: DataFrame, idf_total: int) -> DataFrame:
-    """(words) of at most ``SAMPLE_PASSAGES`` windows of distinct texts, those of least hash."""
-    share = min(1.0, 2 * SAMPLE_PASSAGES / max(idf_total, 1))
-    mark = F.xxhash64("text")
-    some = docs.filter(F.col("text").isNotNull() & (F.pmod(mark, F.lit(1_000_000)) < int(1_000_000 * share) + 1)).select("text").distinct()
+def _window_sums(h: np.ndarray, weight: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of 1 / norm^2 of windows: before the first window that holds a word, and up to the last one.
 
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The second of a word less the first of a later one is the sum over the
+    windows that hold both; it is not positive if there are none.
+    """
+    squares = weight.astype(np.float64) ** 2
+    energy = np.append(0, np.cumsum(squares))
+    place = np.arange(len(h))
+    low, high = np.searchsorted(end, place, side="right"), np.searchsorted(begin, place, side="right")
+    pairs = np.zeros(len(begin) + 1)  # a word c times in a window weighs (c w)^2: w^2 for each occurrence and 2 w^2 for each pair of them
+    for d in range(1, min(WINDOW, len(h))):
+        p = np.flatnonzero(h[:-d] == h[d:])
+        first, last = low[p + d], high[p]
+        p, first, last = (x[first < last] for x in (p, first, last))
+        pairs += np.bincount(first, 2 * squares[p], len(pairs)) - np.bincount(last, 2 * squares[p], len(pairs))
+    norms = energy[end] - energy[begin] + np.cumsum(pairs)[:-1]
+    total = np.append(0, np.cumsum(np.where(norms > 1e-9, 1 / np.maximum(norms, 1e-9), 0)))
+    return total[low], total[high]
+
+
+def _add_pairs(total: np.ndarray, place: np.ndarray, before: np.ndarray, upto: np.ndarray, width: int, first: int, end: int) -> None:
+    """Add to ``total`` (words first to end x all words, flat) what pairs of words weigh in the windows that hold both, by the smaller word; ``place`` is a word's column or -1."""
+    known = np.flatnonzero(place >= 0)
+    word, before, upto = place[known], before[known], upto[known]
+    for d in range(min(WINDOW, len(known))):
+        both = upto[: len(known) - d] - before[d:]
+        at = np.flatnonzero(both > 0)
+        if not len(at):  # words further apart share no window either
+            break
+        a, b = word[at], word[at + d]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        value = both[at] * np.where(a == b, 2, 1) if d else both[at]  # two occurrences make two products
+        if first or end < width:
+            inside = (a >= first) & (a < end)
+            a, b, value = a[inside], b[inside], value[inside]
+        np.add.at(total, (a - first) * width + b, value)
+
+
+SUMS = "block int, row int, v binary"
+
+
+def corpus_sums(docs: DataFrame, blocks: dict[int, tuple[str, int]], idf: np.ndarray) -> DataFrame:
+    """(block, row, v): upper triangles of the products of all windows' TF-IDF rows, by block of (file, words) and word; v begins at the diagonal.
+
+    Every window of every row of ``docs`` counts, divided by its norm. A task
+    holds ``SUMS_HELD`` sums or one word's; more are taken in more readings.
+    Few tasks, by the cluster's cores, give their sums out, in single precision,
+    so that what is shuffled does not grow with the corpus.
+    """
+    spark = docs.sparkSession
+    weights = spark.sparkContext.broadcast(idf)
+    readings: list[list[tuple[int, str, int, int, int]]] = [[]]
+    left = SUMS_HELD
+    for block, (uri, width) in sorted(blocks.items()):
+        first = 0
+        while first < width:
+            rows = min(width - first, left // width)
+            if not rows and readings[-1]:
+                readings.append([])
+                left = SUMS_HELD
+                continue
+            rows = max(rows, 1)
+            readings[-1].append((block, uri, width, first, first + rows))
+            first, left = first + rows, left - rows * width
+
+    def reader(ranges: list[tuple[int, str, int, int, int]]):
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = [HashTable(_load(uri)["vocabulary"]) for _, uri, *_ in ranges]
+            totals = [np.zeros((end - first) * width) for _, _, width, first, end in ranges]
+            for batch in batches:
+                for a, b in chunks_of(batch.column(0)):
+                    h, bounds = _words(batch.column(0).slice(a, b - a))
+                    if len(h):
+                        before, upto = _window_sums(h, weights.value[cell(h)], *windows(bounds)[1:])
+                        for table, total, (_, _, width, first, end) in zip(tables, totals, ranges, strict=True):
+                            _add_pairs(total, table.find(h), before, upto, width, first, end)
+            for total, (block, uri, width, first, end) in zip(totals, ranges, strict=True):
+                weight = weights.value[cell(_load(uri)["vocabulary"])].astype(np.float64)
+                total = total.reshape(-1, width)
+                for a in range(first, end, 256):
+                    some = [r for r in range(a, min(a + 256, end)) if total[r - first, r:].any()]
+                    values = [(total[r - first, r:] * weight[r] * weight[r:]).astype(np.float32).tobytes() for r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block, np.int32)), pa.array(some, pa.int32()), pa.array(values, pa.binary())], names=["block", "row", "v"])
+
+        return read
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for a, b in chunks_of(batch.column(0)):
-                h, bounds = _words(batch.column(0).slice(a, b - a))
-                rows = [h[x + s : x + z].view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True) for s, z in cuts(int(y - x))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], names=["words"])
-
-    return some.mapInArrow(windows_of, "words array<long>").withColumn("mark", F.xxhash64("words")).orderBy("mark", "words").limit(SAMPLE_PASSAGES).select("words")
+            for block, row, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(v, np.float32)
+                if (block, row) in held:
+                    held[block, row] += part
+                else:
+                    held[block, row] = part.astype(np.float64)
+        keys = sorted(held)
+        for k in range(0, len(keys), 256):
+            some = keys[k : k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.int32()), pa.array([held[x].tobytes() for x in some], pa.binary())], names=["block", "row", "v"])
+
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, size >> 30 if size < 1 << 50 else 0)
+    parts = None
+    for ranges in readings:
+        one = docs.select("text").coalesce(tasks).mapInArrow(reader(ranges), SUMS)
+        parts = one if parts is None else parts.unionByName(one)
+    # Few files in order of blocks: each gives out a product for each of its blocks in every pass.
+    out = written(parts.repartition("block", "row").mapInArrow(add, SUMS).coalesce(4).sortWithinPartitions("block", "row"), "window-sums")
+    weights.destroy()
+    return out
 
 
-def randomised_svd(passages: DataFrame, blocks: dict[int, str], idf: np.ndarray, rank: int, folder: str, seed: int = 7) -> dict[int, str]:
-    """Latent spaces of all blocks at once: files with the leading right singular vectors (vocabulary x rank) of ``passages(block, words)``.
+def randomised_svd(passages: DataFrame, sums: DataFrame, share: float, blocks: dict[int, str], idf: np.ndarray, rank: int, folder: str, seed: int = 7) -> dict[int, str]:
+    """Latent spaces of all blocks at once: files with the leading right singular vectors (vocabulary x rank) of ``passages(block, words)`` and the corpus.
 
-    A block's matrix has its own passages and those without a block, which all
-    blocks share. Each pass multiplies a basis by the rows of a partition and
-    back by their transpose; partial products are added and made orthogonal by
+    A block's matrix has its own passages and all windows of the corpus, of
+    which it takes ``sums(block, row, v)``, times ``share``. Each pass
+    multiplies a basis by the rows of a partition and back by their transpose,
+    or by a partition's sums; partial products are added and made orthogonal by
     block, in tasks. The driver sees names of files alone, and no task holds
     more than a partition's passages and one block's basis.
     """
     spark = passages.sparkSession
     weights = spark.sparkContext.broadcast(idf)  # a fixed number of cells
-    kind = "block int, row int, v binary"
+
+    def opened(uri: str) -> tuple[np.ndarray, np.ndarray]:
+        held = _load(uri)
+        q = held.get("basis")
+        if q is None:
+            q = np.random.default_rng(seed).standard_normal((len(held["vocabulary"]), min(rank + OVERSAMPLE, len(held["vocabulary"]))))
+        return held["vocabulary"], q
+
+    def rows_of(block: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.union1d([0], np.flatnonzero(np.abs(total).sum(1)))  # a block without any weight has a row too
+        for k in range(0, len(at), 1024):
+            part = at[k : k + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part.astype(np.int32)), pa.array([total[x].tobytes() for x in part], pa.binary())], names=["block", "row", "v"])
 
     def step(names: dict[int, str], square: bool) -> dict[int, str]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: dict[int | None, list] = {}
+            own: dict[int, list] = {}
             for batch in batches:
                 for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     own.setdefault(block, []).append(words)
-            for block, uri in names.items():
-                rows = own.get(block, []) + own.get(None, [])
-                if not rows:
-                    continue
-                held = _load(uri)
-                columns, q = HashTable(held["vocabulary"]), held.get("basis")
-                if q is None:
-                    q = np.random.default_rng(seed).standard_normal((len(held["vocabulary"]), min(rank + OVERSAMPLE, len(held["vocabulary"]))))
+            for block, rows in own.items():
+                vocabulary, q = opened(names[block])
+                columns = HashTable(vocabulary)
                 total = np.zeros((q.shape[1] if square else len(q), q.shape[1]))
                 for k in range(0, len(rows), 256):
                     a = _matrix(rows[k : k + 256], weights.value, columns, len(q))
                     y = a @ q
                     total += y.T @ y if square else a.T @ y
-                at = np.union1d([0], np.flatnonzero(np.abs(total).sum(1)))  # a block without any weight has a row too
-                for k in range(0, len(at), 1024):
-                    part = at[k : k + 1024]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part.astype(np.int32)), pa.array([total[x].tobytes() for x in part], pa.binary())], names=["block", "row", "v"])
+                yield from rows_of(block, total)
+
+        def from_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, q, total = None, None, None
+            for batch in batches:
+                numbers, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cut = np.union1d(np.flatnonzero(np.diff(numbers)) + 1, np.arange(0, len(rows) + 256, 256).clip(max=len(rows)))
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    if numbers[a] != now:
+                        if now is not None:
+                            yield from rows_of(now, total)
+                        now = int(numbers[a])
+                        _, q = opened(names[now])
+                        total = np.zeros((q.shape[1] if square else len(q), q.shape[1]))
+                    some = rows[a:b]
+                    upper = np.zeros((b - a, len(q)))
+                    for k, (r, v) in enumerate(zip(some.tolist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)):
+                        upper[k, r:] = np.frombuffer(v)
+                        upper[k, r] /= 2  # the other triangle has the other half
+                    y = upper @ q * share
+                    if square:
+                        y = q[some].T @ y
+                        total += y + y.T
+                    else:
+                        total[some] += y  # a word has one row in a table
+                        total += upper.T @ q[some] * share
+            if now is not None:
+                yield from rows_of(now, total)
 
         def fold(group: pa.Table) -> pa.Table:
             block = group.column("block")[0].as_py()
@@ -195,7 +337,7 @@ def randomised_svd(passages: DataFrame, blocks: dict[int, str], idf: np.ndarray,
             uri = _save(f"{folder}/basis-{block}-{uuid.uuid4().hex}.npz", **held)
             return pa.table({"block": pa.array([block], pa.int32()), "uri": [uri]})
 
-        parts = passages.mapInArrow(partial, kind).groupBy("block").applyInArrow(fold, "block int, uri string")
+        parts = passages.mapInArrow(partial, SUMS).unionByName(sums.mapInArrow(from_sums, SUMS)).groupBy("block").applyInArrow(fold, "block int, uri string")
         return {r["block"]: r["uri"] for r in written(parts, "svd").collect()}  # a row for each block
 
     out = blocks
@@ -220,6 +362,8 @@ class Block:
         self.space = held["space"].astype(np.float32)
         self.images = held["images"].astype(np.float32)
         self.item_of = held["item_of"]
+        #: The largest part of a word in the image of any passage.
+        self.most = np.concatenate([(self.space[k : k + 1024] @ self.images.T).max(1, initial=0) for k in range(0, len(self.space), 1024)])
         self.idf = held["idf"]
         words, at = held["words"], held["at"]
         self.items = [words[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -256,15 +400,11 @@ class Block:
 
     def search(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, float]]:
         """(text, item, cosine, share) of the items contained in texts given by word hashes."""
-        sizes = np.diff(bounds)
-        count = np.where(sizes > 0, np.maximum(0, -(-(sizes - WINDOW) // STRIDE)) + 1, 0)
-        own = np.repeat(np.arange(len(sizes)), count)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        begin = bounds[own] + np.minimum(step * STRIDE, np.maximum(0, sizes[own] - WINDOW))
-        end = np.minimum(begin + WINDOW, bounds[own + 1])
+        own, begin, end = windows(bounds)
         weight = self.idf[cell(h)]
         place = self.vocabulary.find(h)
         hopeful = self._hopeful(h, weight, place, begin, end)
+        hopeful = hopeful[self._in_reach(weight, place, begin[hopeful], end[hopeful])]
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         for some, cosines in self._cosines(h, weight, place, begin, end, hopeful, LEAST_COSINE):
             for r, c in zip(*np.nonzero(cosines >= LEAST_COSINE), strict=True):
@@ -324,6 +464,19 @@ class Block:
         np.cumsum(inside, out=inside)
         return np.flatnonzero(inside[end] - inside[begin] >= LEAST_COSINE**2 * np.maximum(energy[end] - energy[begin], 1e-12) * (1 - 1e-6))
 
+    def _in_reach(self, weight: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether windows may reach the least cosine if each word fell on the passage it is nearest to; no window that can is left out.
+
+        Repeated words add up as their occurrences do, and a norm is no less
+        than that of occurrences apart.
+        """
+        energy, most = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
+        np.cumsum(weight * weight, out=energy[1:], dtype=np.float64)
+        known = np.flatnonzero(place >= 0)
+        most[1 + known] = weight[known].astype(np.float64) * self.most[place[known]]
+        np.cumsum(most, out=most)
+        return most[end] - most[begin] >= LEAST_COSINE * np.sqrt(np.maximum(energy[end] - energy[begin], 0)) * (1 - 1e-4)
+
     def _cosines(self, h: np.ndarray, weight: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray, least: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Some of the wanted windows and their cosines with all passages; those that can't reach the least cosine, or have no weight in the block, are left out."""
         for a in range(0, len(wanted), 1024):
@@ -437,23 +590,23 @@ def fit_blocks(docs: DataFrame, benchmark: DataFrame) -> list[str]:
         full = np.flatnonzero(np.diff(bounds))
         block = group.column("block")[0].as_py()
         if not len(full):
-            return pa.table({"block": pa.array([], pa.int32()), "uri": pa.array([], pa.string()), "words": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"block": pa.array([], pa.int32()), "uri": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "words": pa.array([], pa.list_(pa.int64()))})
         passages = [(k, h[bounds[k] + a : bounds[k] + z]) for k in full for a, z in cuts(int(bounds[k + 1] - bounds[k]))]
         ids = group.column("item_id").take(pa.array(full))
+        vocabulary = np.unique(h)
         uri = _save(
-            f"{folder}/items-{block}-{uuid.uuid4().hex}.npz", vocabulary=np.unique(h), words=np.concatenate([h[bounds[k] : bounds[k + 1]] for k in full]), at=np.cumsum([0, *np.diff(bounds)[full]]),
+            f"{folder}/items-{block}-{uuid.uuid4().hex}.npz", vocabulary=vocabulary, words=np.concatenate([h[bounds[k] : bounds[k + 1]] for k in full]), at=np.cumsum([0, *np.diff(bounds)[full]]),
             ids=ids.fill_null(0).to_numpy().astype(np.int64), known=np.array(ids.is_valid().to_pylist(), bool), item_of=np.searchsorted(full, [k for k, _ in passages]),
             flat=np.concatenate([w for _, w in passages]), cut=np.cumsum([0, *(len(w) for _, w in passages)]))
-        return pa.table({"block": pa.array([block] * len(passages), pa.int32()), "uri": [uri] * len(passages), "words": pa.array([w.view(np.int64) for _, w in passages], pa.list_(pa.int64()))})
+        return pa.table({"block": pa.array([block] * len(passages), pa.int32()), "uri": [uri] * len(passages), "size": pa.array([len(vocabulary)] * len(passages), pa.int32()), "words": pa.array([w.view(np.int64) for _, w in passages], pa.list_(pa.int64()))})
 
-    prepared = written(dealt.groupBy("block").applyInArrow(prepare, "block int, uri string, words array<long>"), "passages")
-    blocks = {r["block"]: r["uri"] for r in prepared.select("block", "uri").distinct().collect()}  # a row for each block
+    prepared = written(dealt.groupBy("block").applyInArrow(prepare, "block int, uri string, size int, words array<long>"), "passages")
+    blocks = {r["block"]: (r["uri"], r["size"]) for r in prepared.select("block", "uri", "size").distinct().collect()}  # a row for each block
     if not blocks:
         return []
-    idf, total = inverse_frequencies(docs)
-    # Written in few files, as they are few: at most the sample and the benchmark's passages.
-    passages = written(prepared.select("block", "words").unionByName(corpus_passages(docs, total).select(F.lit(None).cast("int").alias("block"), "words")).coalesce(4), "svd-passages")
-    spaces = randomised_svd(passages, blocks, idf, MAX_RANK, folder)
+    idf, count = inverse_frequencies(docs)
+    sums = corpus_sums(docs, blocks, idf)
+    spaces = randomised_svd(prepared.select("block", "words"), sums, min(1.0, CORPUS_WEIGHT / max(count, 1)), {k: uri for k, (uri, _) in blocks.items()}, idf, MAX_RANK, folder)
     weights = spark.sparkContext.broadcast(idf)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

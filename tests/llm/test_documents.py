@@ -342,6 +342,30 @@ def test_latent_space_finds_paraphrases(spark, monkeypatch):
     assert energy >= 0.95 * np.sum(exact[1][:60] ** 2)
 
 
+@pytest.mark.parametrize("held", [1 << 24, 100, 1])
+def test_latent_space_is_fitted_to_all_windows(spark, monkeypatch, tmp_path, held):
+    """The sums are those of a dense product of all windows, over 4,096 of them, copies and short texts too, however few sums a task holds."""
+    monkeypatch.setattr(decontaminate, "SUMS_HELD", held)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(rng.choice([1, 5, 31, 32, 33, 48, 200]))) for _ in range(150 if held < 1 << 24 else 1500)]
+    texts = [*texts, texts[0], texts[0], "w1 w1 w1", "", "?!", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    idf, count = decontaminate.inverse_frequencies(docs)
+    vocabularies = {k: np.unique(decontaminate._words(pa.array([" ".join(f"w{x}" for x in some)]))[0]) for k, some in enumerate([range(0, 60, 2), range(12)])}
+    blocks = {k: (decontaminate._save(f"file://{tmp_path}/{k}.npz", vocabulary=v), len(v)) for k, v in vocabularies.items()}
+    rows = decontaminate.corpus_sums(docs, blocks, idf).collect()
+    h, bounds = decontaminate._words(pa.array([t or "" for t in texts]))
+    windows = [h[x + a : x + z].view(np.int64) for x, y in zip(bounds[:-1], bounds[1:]) for a, z in decontaminate.cuts(int(y - x))]
+    assert count == len(windows) > (4096 if held == 1 << 24 else 400)
+    for k, v in vocabularies.items():
+        dense = decontaminate._matrix(windows, idf, decontaminate.HashTable(v), len(v))
+        got = np.zeros((len(v), len(v)))
+        for r in rows:
+            if r["block"] == k:
+                got[r["row"], r["row"] :] += np.frombuffer(r["v"])
+        np.testing.assert_allclose(got, np.triu(dense.T @ dense), rtol=1e-5, atol=1e-5)
+
+
 def test_decontamination_skips_no_window_that_can_reach_the_cosine():
     """Words that repeat in a window weigh more than their occurrences; the example is four times one item word among seven rarer words."""
     rng = np.random.default_rng(3)
@@ -360,6 +384,21 @@ def test_decontamination_skips_no_window_that_can_reach_the_cosine():
     assert skipped
 
 
+def test_decontamination_keeps_every_window_in_reach(spark):
+    """The bound by words taken apart leaves out no window whose latent cosine is high enough, and most of the others."""
+    rng = random.Random(13)
+    say = lambda n: " ".join(f"w{min(int(rng.expovariate(0.01)), 900)}" for _ in range(n))
+    docs = spark.createDataFrame([(k, say(rng.choice([3, 40, 150]))) for k in range(200)], "doc_id long, text string")
+    place, = decontaminate.fit_blocks(docs, spark.createDataFrame([(k, say(30)) for k in range(20)], "item_id long, text string"))
+    block = decontaminate.Block(place)
+    h, bounds = decontaminate._words(pa.array([r["text"] for r in docs.collect()] + [say(6) * 4 + say(20) for _ in range(50)]))
+    weight, at = block.idf[decontaminate.cell(h)], block.vocabulary.find(h)
+    _, begin, end = decontaminate.windows(bounds)
+    reach = block._in_reach(weight, at, begin, end)
+    near = np.concatenate([some[(c >= decontaminate.LEAST_COSINE).any(1)] for some, c in block._cosines(h, weight, at, begin, end, np.arange(len(begin)))])
+    assert len(near) and reach[near].all() and not reach.all()
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
