@@ -4,12 +4,14 @@ import base64
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import bpe
+from quillon.llm import bpe, decontaminate
 
 
 def test_stages(spark, tmp_path):
@@ -49,6 +51,19 @@ def test_stages_of_nulls_repeats_and_nothing(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
 
 
+def test_decontamination_is_fitted_to_every_window_of_the_stage(spark, tmp_path, monkeypatch):
+    """An item holds all words of the corpus, so a window's row has norm 1 and the sums' diagonal adds up to the number of all windows, over 4,096 of them."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(100)) for _ in range(900)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(400)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sums, seen = decontaminate.corpus_sums, []
+    monkeypatch.setattr(decontaminate, "corpus_sums", lambda *given: seen.append(sums(*given)) or seen[-1])
+    dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    count = len(decontaminate.windows(decontaminate._words(pa.array(texts))[1])[0])
+    assert count > 4096 and abs(sum(np.frombuffer(r["v"])[0] for r in seen[0].collect()) - count) < 0.01
+
+
 def test_run_equals_brute_force(spark, tmp_path):
     """Every stage in plain Python on a few hundred documents: rules, links of five-word shingles, items held, spans redacted, ids of the public library."""
     rng = random.Random(30)
