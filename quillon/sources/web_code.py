@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from .shared import written
+from .shared import spread, written
 
 #: Declarations of functions: the first group is the name.
 DECLARATIONS = {
@@ -21,12 +21,17 @@ DECLARATIONS = {
     "c": r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*\)\s*\{", "cpp": r"^[A-Za-z_][\w\s*&:<>,]*?\b([\w:~]+)\s*\([^;]*\)[^;]*\{", "cuda": r"^(?:__global__|__device__|__host__)[\w\s*]*?\b(\w+)\s*\(",
 }
 CALL = r"\b([A-Za-z_][\w.]*)\s*\("
+#: Requests for urls, by the caller: scripts and elements of pages; and events sent to a server.
+FETCH = r"fetch\(\s*['\"`]([^'\"`]+)['\"`](?:\s*,\s*\{[^}]*method\s*:\s*['\"](\w+)['\"])?"
+AXIOS = r"axios\.(get|post|put|delete|patch)\(\s*['\"`]([^'\"`]+)['\"`]"
+ELEMENT = r"hx-(get|post|put|delete|patch)=[\"']([^\"']+)[\"']"
+EMIT = r"\.emit\(\s*['\"]([\w:.-]+)['\"]"
 KEYWORDS = ("if", "for", "while", "switch", "return", "function", "func", "fn", "catch", "sizeof", "match", "and", "or", "not")
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:
     """(file_path, language, line_number, line)."""
-    rows = files.select("file_path", N.language("file_path").alias("language"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "line"))
+    rows = spread(files.select("file_path", "text")).select("file_path", N.language("file_path").alias("language"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "line"))
     return rows.select("file_path", "language", (F.col("p") + 1).alias("line_number"), "line")
 
 
@@ -63,23 +68,22 @@ def cuda_launches(files: DataFrame) -> DataFrame:
 
 
 def _found(files: DataFrame, pattern: str, groups: list[str]) -> DataFrame:
-    """(file_path, groups...) of every match of a pattern in whole texts."""
+    """(file_path, groups...) of every match of a pattern in whole texts, which are dealt over all cores."""
     hits = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
-    rows = files.select("file_path", F.explode(hits).alias("hit"))
+    rows = spread(files.select("file_path", "text")).select("file_path", F.explode(hits).alias("hit"))
     return rows.select("file_path", *(F.regexp_extract("hit", pattern, k + 1).alias(g) for k, g in enumerate(groups)))
 
 
 def fetch_calls(files: DataFrame) -> DataFrame:
     """(file_path, method, url) of fetch and axios calls; fetch without an options method is GET."""
-    fetch = _found(files, r"fetch\(\s*['\"`]([^'\"`]+)['\"`](?:\s*,\s*\{[^}]*method\s*:\s*['\"](\w+)['\"])?", ["url", "method"])
-    axios = _found(files, r"axios\.(get|post|put|delete|patch)\(\s*['\"`]([^'\"`]+)['\"`]", ["method", "url"])
+    fetch, axios = _found(files, FETCH, ["url", "method"]), _found(files, AXIOS, ["method", "url"])
     both = fetch.select("file_path", F.when(F.col("method") == "", "GET").otherwise(F.upper("method")).alias("method"), "url").unionByName(axios.select("file_path", F.upper("method").alias("method"), "url"))
     return both.distinct()
 
 
 def element_requests(files: DataFrame) -> DataFrame:
     """(file_path, method, url) of hx-get and its like."""
-    return _found(files, r"hx-(get|post|put|delete|patch)=[\"']([^\"']+)[\"']", ["method", "url"]).withColumn("method", F.upper("method"))
+    return _found(files, ELEMENT, ["method", "url"]).withColumn("method", F.upper("method"))
 
 
 def inline_handlers(files: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def listeners(files: DataFrame) -> DataFrame:
 
 
 def emitted_events(files: DataFrame) -> DataFrame:
-    return _found(files, r"\.emit\(\s*['\"]([\w:.-]+)['\"]", ["event"])
+    return _found(files, EMIT, ["event"])
 
 
 def native_calls(files: DataFrame) -> DataFrame:
@@ -104,7 +108,12 @@ def native_calls(files: DataFrame) -> DataFrame:
 
 
 def matched_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """calls(file_path, url) with the handler of routes(handler, url) that matches segment by segment, the first by name.
+    """calls(file_path, url) with the handler of routes(handler, url) that matches segment by segment, the first by name."""
+    return _routed(calls, routes).distinct()
+
+
+def _routed(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """``matched_routes`` with a row for each call.
 
     Each distinct url is matched once. One without parameters joins on its text
     with the wildcards of a pattern put in, for the few placements of wildcards
@@ -121,15 +130,18 @@ def matched_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     plain = urls.filter(~F.col("client").contains("*")).join(masks, "segments").select("client", put.alias("pattern")).join(b, "pattern").select("client", "handler")
     open_ = urls.filter(F.col("client").contains("*")).join(b, "segments").filter(N.url_matches(F.col("client"), F.col("pattern"))).select("client", "handler")
     hits = plain.unionByName(open_).groupBy("client").agg(F.min("handler").alias("handler"))
-    return a.join(hits, "client").select(*calls.columns, "handler").distinct()
+    return a.join(hits, "client").select(*calls.columns, "handler")
 
 
 def cross_language_edges(files: DataFrame, routes: DataFrame, events: DataFrame) -> DataFrame:
-    """(caller_file, callee, edge_type): requests to handlers by url, and emitted events to handlers by name."""
-    asked = matched_routes(fetch_calls(files).unionByName(element_requests(files)), routes)
-    http = asked.select(F.col("file_path").alias("caller_file"), F.col("handler").alias("callee"), F.lit("http_fetch").alias("edge_type"))
-    sent = emitted_events(files).join(events.select("event", "handler").distinct(), "event")
-    return http.unionByName(sent.select(F.col("file_path").alias("caller_file"), F.col("handler").alias("callee"), F.lit("cross_language").alias("edge_type"))).distinct()
+    """(caller_file, callee, edge_type): requests to handlers by url, and emitted events to handlers by name. Texts are read once, for both."""
+    every = lambda pattern, group: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(group))
+    urls = F.array_distinct(F.concat(every(FETCH, 1), every(AXIOS, 2), every(ELEMENT, 2)))
+    found = written(spread(files.select("file_path", "text")).select(F.col("file_path").alias("caller_file"), urls.alias("urls"), F.array_distinct(every(EMIT, 1)).alias("events")), "requests")
+    asked = _routed(found.select("caller_file", F.explode("urls").alias("url")), routes)
+    http = asked.select("caller_file", F.col("handler").alias("callee"), F.lit("http_fetch").alias("edge_type"))
+    sent = found.select("caller_file", F.explode("events").alias("event")).join(events.select("event", "handler").distinct(), "event")
+    return http.unionByName(sent.select("caller_file", F.col("handler").alias("callee"), F.lit("cross_language").alias("edge_type"))).distinct()
 
 
 def trace_route(url: Column | str, files: DataFrame, routes: DataFrame, edges: DataFrame) -> DataFrame:

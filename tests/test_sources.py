@@ -101,6 +101,21 @@ def test_web_links(spark):
     assert {tuple(r) for r in web_code.trace_route("/api/3", files, routes, edges).collect()} == {("handler", "fetch"), ("client", "a.js"), ("callee", "load")}
 
 
+def test_web_texts_are_read_once_over_all_cores(spark, tmp_path):
+    """Links take all that they need from one reading of the texts, and scanners deal texts of one partition by path; repeated urls and null texts change nothing."""
+    texts = [(f"{k}.js", f"fetch('/api/{k}'); fetch('/api/{k}', {{method: 'put'}}); axios.get(\"/api/x/y\"); s.emit('ping{k % 3}'); s.emit('ping{k % 3}');" if k % 7 else None) for k in range(40)] + [("p.html", '<a hx-delete="/api/2/">')]
+    spark.createDataFrame(texts, "file_path string, text string").coalesce(1).write.parquet(place := str(tmp_path / "texts"))
+    files = spark.read.parquet(place)
+    routes = spark.createDataFrame([("one", "/api/<id>"), ("two", "/api/<id>")], "handler string, url string")
+    events = spark.createDataFrame([("on", "ping1"), ("on", "ping1"), ("off", "ping9")], "handler string, event string")
+    links = web_code.cross_language_edges(files, routes, events)
+    assert not any("/texts/" in f for f in links.inputFiles())
+    asked = {f"{k}.js" for k in range(40) if k % 7} | {"p.html"}
+    assert sorted(map(tuple, links.collect())) == sorted([(f, "one", "http_fetch") for f in asked] + [(f"{k}.js", "on", "cross_language") for k in range(40) if k % 7 and k % 3 == 1])
+    for rows in (web_code.element_requests(files), web_code.inline_handlers(files), web_code.declarations(files)):
+        assert rows.rdd.getNumPartitions() >= 4
+
+
 def test_structured_files(spark):
     machine = {"states": [{"id": "s1"}, {"id": "s2"}], "transitions": [{"from": "s1", "to": "s2", "action": "go", "guard": "ok"}]}
     files = spark.createDataFrame([("m.json", json.dumps(machine)), ("x.json", "{bad"), ("n.json", None), ("l.json", "[1, 2]")], "file_path string, text string")
